@@ -14,7 +14,7 @@ Search
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +34,7 @@ class LexicalIndex:
     postings: DataFrame  # id, term, peso (rows of a document have norm 1)
     documents: DataFrame  # id of every document, with or without terms
     stop_words: list[str]
+    counts: DataFrame | None = None  # id, term, tf of a fresh fit
 
 
 def corpus_text(titulo: Column, texto: Column, title_weight: int = fixed.TITLE_WEIGHT) -> Column:
@@ -104,7 +105,14 @@ def fit(articles: DataFrame, max_features: int = fixed.MAX_FEATURES,
     counts = term_counts(arrays, "id")
     n_docs = articles.agg(F.count("*").alias("n")).scalar()
     vocab = vocabulary(counts, n_docs, max_features)
-    return LexicalIndex(vocab, weigh(counts, vocab, "id"), articles.select("id"), stop_words)
+    return LexicalIndex(
+        vocab, weigh(counts, vocab, "id"), articles.select("id"), stop_words, counts
+    )
+
+
+def reweigh(index: LexicalIndex, vocab: DataFrame) -> LexicalIndex:
+    """The same fit with its vocabulary read back from a written table."""
+    return replace(index, vocab=vocab, postings=weigh(index.counts, vocab, "id"))
 
 
 def scores(index: LexicalIndex, queries: DataFrame,
@@ -118,12 +126,16 @@ def scores(index: LexicalIndex, queries: DataFrame,
         term_arrays(queries, "query_id", F.col("consulta"), index.stop_words), "query_id"
     )
     asked = weigh(counts, index.vocab, "query_id").withColumnRenamed("peso", "q")
+    on = ["term"]
+    if "term_bucket" in index.postings.columns:  # stored postings: prune by partition
+        asked = asked.join(F.broadcast(index.vocab.select("term", "term_bucket")), "term")
+        on = ["term", "term_bucket"]
     if counts.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
-        matched = index.postings.join(F.broadcast(asked), "term")
+        matched = index.postings.join(F.broadcast(asked), on)
     else:
         all_salts = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
         salted = index.postings.withColumn("sal", F.pmod(F.xxhash64("id"), F.lit(salts)))
-        matched = salted.join(asked.withColumn("sal", F.explode(all_salts)), ["term", "sal"])
+        matched = salted.join(asked.withColumn("sal", F.explode(all_salts)), [*on, "sal"])
     return matched.groupBy("query_id", "id").agg(
         F.round(F.sum(F.col("peso") * F.col("q")), SIM_DIGITS).alias("similitud")
     )
