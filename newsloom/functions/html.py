@@ -29,10 +29,9 @@ def visible(html: Column) -> Column:
 
 
 def _entity_map() -> Column:
-    pairs = []
-    for name in sorted(name2codepoint):
-        pairs += [F.lit(name), F.lit(chr(name2codepoint[name]))]
-    return F.create_map(*pairs)
+    """Entity name to character, as one constant (names are case-sensitive)."""
+    pairs = (f"{name}\u0002{chr(cp)}" for name, cp in sorted(name2codepoint.items()))
+    return F.str_to_map(F.lit("\u0001".join(pairs)), F.lit("\u0001"), F.lit("\u0002"))
 
 
 def _code_point(n: Column) -> Column:

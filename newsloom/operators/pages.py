@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,23 +112,34 @@ PARSERS: dict[str, Callable[[Column], Column]] = {
 
 def parse(pages: DataFrame, portals: list[dict] = fixed.PORTALS,
           parsers: dict[str, Callable[[Column], Column]] = PARSERS) -> DataFrame:
-    """Add ``articulo`` (NULL if the page is rejected) by the portal's parser.
+    """Add ``titulo``, ``texto``, ``fecha_pub`` by the portal's parser.
 
-    All portals go through one scan: the parser is chosen by a CASE on the
-    setting, not by one branch of the plan per portal.  A parser may also return
-    a pandas-UDF column.
+    ``titulo`` is NULL where the parser rejects the page.  All portals go through
+    one scan: the parser is chosen by a CASE on the setting, not by one branch of
+    the plan per portal.  A parser may also return a pandas-UDF column.
+
+    The struct is unpacked by a generator, through which the optimizer pushes no
+    filter, so the parser runs once per page however its fields are used.
     """
     ready = with_portal(pages, portals).withColumn("_visible", hx.visible(F.col("html")))
+    names = sorted({p["parser"] for p in portals})
+    article = _chosen_article(
+        pages.sparkSession.sparkContext.applicationId, tuple((n, parsers[n]) for n in names)
+    )
+    return ready.select(*pages.columns, "fuente", F.inline_outer(F.array(article)))
+
+
+@lru_cache(maxsize=16)
+def _chosen_article(application: str, parsers: tuple) -> Column:
+    """CASE over the parsers; large expressions, so built once per application."""
     article = F.lit(None).cast(ARTICLE_TYPE)
-    for name in sorted({p["parser"] for p in portals}):
-        article = F.when(
-            F.col("parser") == name, parsers[name](F.col("_visible"))
-        ).otherwise(article)
-    return ready.withColumn("articulo", article).drop("_visible")
+    for name, parser in parsers:
+        article = F.when(F.col("parser") == name, parser(F.col("_visible"))).otherwise(article)
+    return article
 
 
 def articles_of(parsed: DataFrame) -> DataFrame:
     """Extracted articles in the shape of arriving rows (without ``seq``)."""
-    return parsed.filter(F.col("articulo").isNotNull()).select(
-        "page_id", "url", "articulo.titulo", "articulo.texto", "fuente", "articulo.fecha_pub"
+    return parsed.filter(F.col("titulo").isNotNull()).select(
+        "page_id", "url", "titulo", "texto", "fuente", "fecha_pub"
     )

@@ -63,27 +63,26 @@ def resolve(existing: DataFrame, incoming: DataFrame, track_title: bool = False,
         "url", F.col("seq").cast("long").alias("seq"),
         F.floor(F.col("seq") / chunk_span).cast("long").alias("chunk"),
         F.md5("texto").alias("hash"), fingerprint(F.md5("texto")).alias("h"),
-        article_key(F.col("url")).alias("id"), "fuente", "fecha_pub",
+        F.struct(article_key(F.col("url")).alias("id"), "fuente", "fecha_pub").alias("own"),
     )
-    stored = existing.join(arrivals.select("url").distinct(), "url", "left_semi").select(
+    stored = existing.join(incoming.select("url").distinct(), "url", "left_semi").select(
         "url", F.lit(STORED_SEQ).cast("long").alias("seq"),
         F.lit(STORED_SEQ).cast("long").alias("chunk"),
         F.col("hash_texto").alias("hash"), fingerprint(F.col("hash_texto")).alias("h"),
-        "id", "fuente", "fecha_pub",
+        F.struct("id", "fuente", "fecha_pub").alias("own"),
     )
 
     inside = Window.partitionBy("url", "chunk").orderBy("seq")
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Both levels read this exchange: bodies are scanned and hashed once.
     rows = (
-        stored.unionByName(arrivals)
+        stored.unionByName(arrivals).repartition("url", "chunk")
         .withColumn("prev", F.lag("h").over(inside))
         .withColumn("last", F.lead("seq").over(inside).isNull())
         .withColumn("first_h", F.first("h").over(so_far))
         .withColumn("edit", F.col("prev").isNotNull() & (F.col("h") != F.col("prev")))
         .withColumn("edits", F.sum(F.col("edit").cast("long")).over(so_far))
-        .withColumn(
-            "origin", F.first(F.struct("id", "fuente", "fecha_pub")).over(so_far)
-        )
+        .withColumn("origin", F.first("own").over(so_far))
     )
 
     across = Window.partitionBy("url").orderBy("chunk")
@@ -101,11 +100,14 @@ def resolve(existing: DataFrame, incoming: DataFrame, track_title: bool = False,
             F.first("origin").over(across).alias("url_origin"),
         )
     )
+    # Never NULL; naming ``own`` keeps the columns of both readers equal, which
+    # is what lets the exchange be reused.
+    origin = F.coalesce("url_origin", "own")
 
     changed = F.when(F.col("prev").isNull(), F.col("opens")).otherwise(F.col("edit"))
     version = F.col("base") + F.col("opens").cast("long") + F.col("edits")
     return (
-        rows.select("url", "chunk", "seq", "hash", "prev", "edit", "edits")
+        rows.select("url", "chunk", "seq", "hash", "prev", "edit", "edits", "own")
         .join(bounds, ["url", "chunk"])
         .select(
             "url", "seq", "hash",
@@ -114,9 +116,8 @@ def resolve(existing: DataFrame, incoming: DataFrame, track_title: bool = False,
             version.alias("version"),
             "versions",
             F.when(~changed, SAME).when(version == 1, NEW).otherwise(UPDATED).alias("estado"),
-            F.col("url_origin.id").alias("id"),
-            F.col("url_origin.fuente").alias("fuente"),
-            F.col("url_origin.fecha_pub").alias("fecha_pub"),
+            origin["id"].alias("id"), origin["fuente"].alias("fuente"),
+            origin["fecha_pub"].alias("fecha_pub"),
         )
     )
 

@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom import fixed
-from newsloom.operators import metrics, pages as pg, versions
+from newsloom.operators import pages as pg
+from newsloom.sources import tables
 from newsloom.sources.store import ArticleStore
 
+EXTRACTED = T.StructType([
+    T.StructField("page_id", T.LongType()),
+    *[T.StructField(n, T.StringType()) for n in ("url", "fuente", "titulo", "texto", "fecha_pub")],
+])
+
 
 def extract(pages: DataFrame, portals: list[dict] = fixed.PORTALS) -> DataFrame:
-    """Accepted pages of known portals with their ``articulo`` (NULL if rejected)."""
+    """Accepted pages of known portals, parsed (``titulo`` NULL if rejected)."""
     return pg.parse(pg.accepted(pages), portals)
 
 
@@ -25,22 +32,12 @@ def rejected(pages: DataFrame, portals: list[dict] = fixed.PORTALS) -> DataFrame
     stopped = pg.gate(pages).filter(F.col("gate") != "ok").select(
         "page_id", "url", F.col("gate").alias("motivo")
     )
-    unparsed = extract(pages, portals).filter(F.col("articulo").isNull()).select(
+    unparsed = extract(pages, portals).filter(F.col("titulo").isNull()).select(
         "page_id", "url", F.lit("sin_articulo").alias("motivo")
     )
     return stopped.unionByName(unparsed)
 
 
-def summary(pages: DataFrame, existing: DataFrame, now: str,
-            portals: list[dict] = fixed.PORTALS) -> DataFrame:
-    """Run summary of a batch of pages against the stored articles, as one plan."""
-    merged = versions.upsert(existing, arrivals(pages, portals), now)
-    outcomes = merged.status.select("estado").unionByName(
-        rejected(pages, portals).select(F.lit("error").alias("estado"))
-    )
-    return metrics.run_summary(outcomes)
-
-
 def run(store: ArticleStore, pages: DataFrame, batch_id: int, now: str,
         portals: list[dict] = fixed.PORTALS) -> None:
     """Merge a batch of landed pages into the store.
@@ -49,12 +46,10 @@ def run(store: ArticleStore, pages: DataFrame, batch_id: int, now: str,
     reads it several times.
     """
     target = f"{store.base}/extracted/batch_id={batch_id}"
-    extracted = extract(pages, portals).select("page_id", "url", "fuente", "articulo")
+    extracted = extract(pages, portals).select(*EXTRACTED.names)
     extracted.write.mode("overwrite").parquet(target)
-    extracted = store.spark.read.schema(
-        f"page_id bigint, url string, fuente string, articulo {pg.ARTICLE_TYPE}"
-    ).parquet(target)
+    extracted = tables.read(store.spark, target, EXTRACTED)
     stopped = pg.gate(pages).filter(F.col("gate") != "ok").select("page_id")
-    failed = extracted.filter(F.col("articulo").isNull()).select("page_id").unionByName(stopped)
+    failed = extracted.filter(F.col("titulo").isNull()).select("page_id").unionByName(stopped)
     incoming = pg.articles_of(extracted).withColumnRenamed("page_id", "seq")
     store.apply(incoming, batch_id, now, rejected=failed)

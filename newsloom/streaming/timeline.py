@@ -9,11 +9,18 @@ from pyspark.sql import functions as F
 def daily_counts(events: DataFrame, key: str = "event_type", ts: str = "ts",
                  late: str = "1 hour") -> DataFrame:
     """Rows per day and key; rows later than the watermark are dropped."""
+    # A watermark needs an instant; the zone-free event time is read as UTC, so
+    # days are calendar days of the event time whatever the session's zone.
+    zone = events.sparkSession.conf.get("spark.sql.session.timeZone")
+    instant = F.from_utc_timestamp(F.col(ts).cast("timestamp"), zone)
     return (
-        events.withWatermark(ts, late)
-        .groupBy(F.window(ts, "1 day"), key)
+        events.withColumn("_t", instant)
+        .withWatermark("_t", late)
+        .groupBy(F.window("_t", "1 day"), key)
         .agg(F.count("*").alias("total"))
-        .select(F.to_date("window.start").alias("fecha"), key, "total")
+        .select(
+            F.to_date(F.to_utc_timestamp("window.start", zone)).alias("fecha"), key, "total"
+        )
     )
 
 
