@@ -18,6 +18,7 @@ from newsloom.plans import ingest
 from newsloom.session import work_dir
 from newsloom.sources import testviews as tv
 from newsloom.sources.store import ArticleStore
+from newsloom.sources.tables import spread
 from newsloom.streaming import changes as st_changes
 from newsloom.streaming import ingest as st_ingest
 from newsloom.streaming import timeline as st_timeline
@@ -253,30 +254,34 @@ def ingest_job(spark, sf):
 # ------------------------------------------------------------------ lexical
 
 
+def fitted(spark: SparkSession, sf: str) -> lexical.LexicalIndex:
+    return lexical.fit(spread(tv.articles(spark, sf)))
+
+
 @query
 def tfidf_vocab(spark, sf):
-    return lexical.fit(tv.articles(spark, sf)).vocab.select(
+    return fitted(spark, sf).vocab.select(
         "term", "cf", "df", F.round("idf", 6).alias("idf")
     )
 
 
 @query
 def tfidf_weights(spark, sf):
-    return lexical.fit(tv.articles(spark, sf)).postings.select(
+    return fitted(spark, sf).postings.select(
         "id", "term", F.round("peso", 6).alias("peso")
     )
 
 
 @query
 def tfidf_search(spark, sf):
-    hits = lexical.search(lexical.fit(tv.articles(spark, sf)), tv.query_texts(spark, sf))
+    hits = lexical.search(fitted(spark, sf), tv.query_texts(spark, sf))
     return lexical.present(hits, tv.articles(spark, sf), tv.SAMPLE_RULES, tv.SAMPLE_DEFAULT)
 
 
 @query
 def search_summary(spark, sf):
     queries = tv.query_texts(spark, sf)
-    hits = lexical.search(lexical.fit(tv.articles(spark, sf)), queries)
+    hits = lexical.search(fitted(spark, sf), queries)
     return lexical.summary(queries, hits)
 
 

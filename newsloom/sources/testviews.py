@@ -22,12 +22,8 @@ SAMPLE_DEFAULT = "General"
 EPOCH = "2024-02-01 00:00:00"
 
 
-HEAVY = {"documents", "pages"}  # tables whose rows are expensive to process
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in HEAVY else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def articles(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
@@ -106,7 +102,7 @@ def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(*[f.name for f in schemas.PAGES])
+    return spread(table(spark, sf_dir, "pages").select(*schemas.PAGES.names))
 
 
 # Portals of the generated pages: hosts end in one of three domains.  Links in
