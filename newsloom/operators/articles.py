@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,25 +19,27 @@ def topic_case(content: Column, rules: Rules = fixed.TOPIC_RULES,
     """First topic, in rule order, with any keyword as a substring of ``content``.
 
     One ordered CASE over literal ``contains`` tests: no join, no Python, and the
-    first hit ends the evaluation.
+    first hit ends the evaluation.  The content is bound, so it is built once per
+    row even where the optimizer copies the tag into a pushed-down filter.
     """
-    expr = None
-    for topic, words in rules:
-        test = tx.contains_any(content, words)
-        expr = F.when(test, topic) if expr is None else expr.when(test, topic)
-    return F.lit(default) if expr is None else expr.otherwise(default)
+    def choose(text: Column) -> Column:
+        expr = F.lit(default)
+        for topic, words in reversed(rules):
+            expr = F.when(tx.contains_any(text, words), topic).otherwise(expr)
+        return expr
 
+    return tx.bind(content, choose)
 
-def tag_topics(articles: DataFrame, rules: Rules = fixed.TOPIC_RULES,
-               default: str = fixed.TOPIC_DEFAULT, out: str = "topico") -> DataFrame:
-    content = F.lower(F.concat(
+
+def _content() -> Column:
+    return F.lower(F.concat(
         F.coalesce("titulo", F.lit("")), F.lit(" "), F.coalesce("texto", F.lit(""))
     ))
-    return (
-        articles.withColumn("_contenido", content)
-        .withColumn(out, topic_case(F.col("_contenido"), rules, default))
-        .drop("_contenido")
-    )
+
+
+def tag_topics(articles: DataFrame, rules: Rules = fixed.TOPIC_RULES,
+               default: str = fixed.TOPIC_DEFAULT, out: str = "topico") -> DataFrame:
+    return articles.withColumn(out, topic_case(_content(), rules, default))
 
 
 def tag_topics_from_table(articles: DataFrame, rules: DataFrame,
@@ -45,23 +50,21 @@ def tag_topics_from_table(articles: DataFrame, rules: DataFrame,
     The rule table is packed into one ordered array of at most ``max_rules``
     entries, read as a scalar subquery, so no row of articles is multiplied.
     """
-    packed = rules.agg(
+    packed = rules.limit(max_rules + 1).agg(
         F.array_sort(F.collect_list(F.struct("priority", "topic", "keywords"))).alias("r")
     ).select(
         F.when(F.size("r") <= max_rules, F.col("r"))
         .otherwise(F.raise_error(F.lit(f"more than {max_rules} topic rules"))).alias("r")
     )
-    content = F.lower(F.concat(
-        F.coalesce("titulo", F.lit("")), F.lit(" "), F.coalesce("texto", F.lit(""))
-    ))
-    prepared = articles.withColumn("_contenido", content).withColumn("_reglas", packed.scalar())
-    hit = F.filter(
-        F.col("_reglas"),
-        lambda r: F.exists(r["keywords"], lambda k: F.contains(F.col("_contenido"), k)),
-    )
-    return prepared.withColumn(
-        out, F.coalesce(F.get(hit, F.lit(0))["topic"], F.lit(default))
-    ).drop("_contenido", "_reglas")
+    def first_hit(text: Column) -> Column:
+        hits = F.filter(
+            F.col("_reglas"), lambda r: F.exists(r["keywords"], lambda k: F.contains(text, k))
+        )
+        return F.coalesce(F.get(hits, F.lit(0))["topic"], F.lit(default))
+
+    return articles.withColumn("_reglas", packed.scalar()).withColumn(
+        out, tx.bind(_content(), first_hit)
+    ).drop("_reglas")
 
 
 def enrich(articles: DataFrame, rules: Rules = fixed.TOPIC_RULES,
@@ -77,29 +80,36 @@ def newest_first(enriched: DataFrame) -> DataFrame:
     return enriched.orderBy(F.desc_nulls_last("fecha_final"), F.asc("id"))
 
 
-def feed_filter(enriched: DataFrame, fuente: str = fixed.ALL_SOURCES,
-                topico: str = fixed.ALL_TOPICS, start: str | None = None,
-                end: str | None = None, search: str = "", literal: bool = False,
-                end_inclusive_midnight: bool = True) -> DataFrame:
-    """Source, topic, date-range and text filters, in that order.
+def feed_condition(fuente: str = fixed.ALL_SOURCES, topico: str = fixed.ALL_TOPICS,
+                   start: str | None = None, end: str | None = None, search: str = "",
+                   literal: bool = False, end_inclusive_midnight: bool = True) -> Column:
+    """Source, topic, date-range and text filters as one condition.
+
+    The cheap tests come first and the topic, which reads the body, last; AND
+    stops at the first failure.
 
     ``search`` is a regular expression matched on lower-cased title or body
     (``literal=True`` for a plain substring); blank means no filter.
     """
-    out = enriched
+    tests = []
     if fuente != fixed.ALL_SOURCES:
-        out = out.filter(F.col("fuente") == fuente)
-    if topico != fixed.ALL_TOPICS:
-        out = out.filter(F.col("topico") == topico)
+        tests.append(F.col("fuente") == fuente)
     if start is not None or end is not None:
-        out = out.filter(dates.in_range(F.col("fecha_final"), start, end, end_inclusive_midnight))
+        tests.append(dates.in_range(F.col("fecha_final"), start, end, end_inclusive_midnight))
     query = search.strip().lower()
     if query:
         def test(name):
             low = F.lower(F.col(name))
             return low.contains(query) if literal else low.rlike(query)
-        out = out.filter(test("titulo") | test("texto"))
-    return out
+        tests.append(test("titulo") | test("texto"))
+    if topico != fixed.ALL_TOPICS:
+        tests.append(F.col("topico") == topico)
+    return reduce(and_, tests, F.lit(True))
+
+
+def feed_filter(enriched: DataFrame, **filters) -> DataFrame:
+    """Articles that pass the feed's filters."""
+    return enriched.filter(feed_condition(**filters))
 
 
 def feed(enriched: DataFrame, limit: int = fixed.FEED_LIMIT, **filters) -> DataFrame:

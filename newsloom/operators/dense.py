@@ -143,8 +143,13 @@ def _block_scores(docs: DataFrame, queries: DataFrame, k: int, max_queries: int)
     return left.groupBy("db", "qb").cogroup(right.groupBy("db", "qb")).applyInPandas(run, HITS)
 
 
-def _fits(queries: DataFrame, limit: int) -> bool:
-    return queries.select("query_id").limit(limit + 1).count() <= limit
+def _bounded(queries: DataFrame, limit: int) -> pd.DataFrame | None:
+    """The query batch on the driver, None if it has more than ``limit`` rows.
+
+    At most ``limit`` + 1 rows are fetched, in one evaluation.
+    """
+    batch = queries.limit(limit + 1).toPandas()
+    return batch if len(batch) <= limit else None
 
 
 def rank(scored: DataFrame, k: int) -> DataFrame:
@@ -154,13 +159,16 @@ def rank(scored: DataFrame, k: int) -> DataFrame:
 
 def nearest(docs: DataFrame, queries: DataFrame, k: int = fixed.DENSE_TOP_K,
             max_broadcast_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
-    """Exact top k documents (id, embedding) per query (query_id, embedding)."""
+    """Exact top k documents (id, embedding) per query (query_id, embedding).
+
+    The result is marked for broadcast where the number of queries, hence of
+    hits, was checked: joining it to document payloads then moves no payload.
+    """
     wanted = queries.select("query_id", "embedding")
-    if _fits(wanted, max_broadcast_queries):
-        scored = _broadcast_scores(docs, wanted.toPandas(), k)
-    else:
-        scored = _block_scores(docs, wanted, k, max_broadcast_queries)
-    return rank(scored, k)
+    batch = _bounded(wanted, max_broadcast_queries)
+    if batch is None:
+        return rank(_block_scores(docs, wanted, k, max_broadcast_queries), k)
+    return F.broadcast(rank(_broadcast_scores(docs, batch, k), k))
 
 
 # ---------------------------------------------------------------- approximate
@@ -206,21 +214,23 @@ def nearest_lsh(index: DataFrame, queries: DataFrame, model, k: int = fixed.DENS
     it, and cut to the top k in the task; a hot bucket spreads over as many tasks
     as its files have splits.  Similarities are exact.
     """
-    wanted = queries.select("query_id", "embedding")
-    if not _fits(wanted, max_broadcast_queries):
+    spark = index.sparkSession
+    wanted = _bounded(queries.select("query_id", "embedding"), max_broadcast_queries)
+    if wanted is None:
         raise ValueError("split the query batch or raise max_broadcast_queries")
-    probes = _buckets(model.transform(_with_vector(wanted)), "query_id").withColumn(
+    if wanted.empty:
+        return rank(spark.createDataFrame([], HITS), k)
+    # Queries x tables x probed buckets rows, bounded by the check.
+    fetched = spark.createDataFrame(wanted, "query_id long, embedding array<double>")
+    batch = _buckets(model.transform(_with_vector(fetched)), "query_id").withColumn(
         "cubeta", F.explode(F.sequence(F.col("cubeta") - probe, F.col("cubeta") + probe))
-    )
-    batch = probes.toPandas()  # queries x tables x probes rows, bounded by the check
+    ).toPandas()
     vectors = {}
     members: dict[tuple[int, int], list[int]] = {}
     for t, c, q, e in batch[["tabla", "cubeta", "query_id", "embedding"]].itertuples(index=False):
         vectors.setdefault(q, e)
         members.setdefault((t, c), []).append(q)
     qids = np.array(sorted(vectors), dtype=np.int64)
-    if not len(qids):
-        return rank(index.sparkSession.createDataFrame([], HITS), k)
     matrix = _unit(np.stack([vectors[q] for q in qids]).astype(np.float64))
     slots = {key: np.searchsorted(qids, np.array(qs)) for key, qs in members.items()}
 
@@ -242,7 +252,9 @@ def nearest_lsh(index: DataFrame, queries: DataFrame, model, k: int = fixed.DENS
         if best is not None:
             yield _as_batch(best)
 
-    reached = F.broadcast(probes.select("tabla", "cubeta").distinct())
+    reached = F.broadcast(spark.createDataFrame(
+        pd.DataFrame(list(members), columns=["tabla", "cubeta"]), "tabla int, cubeta int"
+    ))
     candidates = index.join(reached, ["tabla", "cubeta"], "left_semi")
     scored = candidates.select("tabla", "cubeta", "id", "embedding").mapInArrow(run, HITS)
     return rank(scored.distinct(), k)

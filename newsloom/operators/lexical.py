@@ -35,6 +35,7 @@ class LexicalIndex:
     documents: DataFrame  # id of every document, with or without terms
     stop_words: list[str]
     counts: DataFrame | None = None  # id, term, tf of a fresh fit
+    max_features: int = fixed.MAX_FEATURES
 
 
 def corpus_text(titulo: Column, texto: Column, title_weight: int = fixed.TITLE_WEIGHT) -> Column:
@@ -81,9 +82,16 @@ def vocabulary(counts: DataFrame, n_docs: Column,
     )
 
 
-def weigh(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
+def _vocab_side(vocab: DataFrame, max_features: int) -> DataFrame:
+    """Broadcast the vocabulary while its size limit allows it."""
+    return F.broadcast(vocab) if max_features <= MAX_BROADCAST_ROWS else vocab
+
+
+def weigh(counts: DataFrame, vocab: DataFrame, key: str,
+          max_features: int = fixed.MAX_FEATURES) -> DataFrame:
     """L2-normalised sublinear TF-IDF weights of the vocabulary's terms."""
-    raw = counts.join(F.broadcast(vocab.select("term", "idf")), "term").select(
+    idf = _vocab_side(vocab.select("term", "idf"), max_features)
+    raw = counts.join(idf, "term").select(
         key, "term", ((F.log(F.col("tf")) + 1) * F.col("idf")).alias("w")
     )
     # A document has at most max_features rows here, so the window is bounded.
@@ -106,13 +114,15 @@ def fit(articles: DataFrame, max_features: int = fixed.MAX_FEATURES,
     n_docs = articles.agg(F.count("*").alias("n")).scalar()
     vocab = vocabulary(counts, n_docs, max_features)
     return LexicalIndex(
-        vocab, weigh(counts, vocab, "id"), articles.select("id"), stop_words, counts
+        vocab, weigh(counts, vocab, "id", max_features), articles.select("id"), stop_words,
+        counts, max_features,
     )
 
 
 def reweigh(index: LexicalIndex, vocab: DataFrame) -> LexicalIndex:
     """The same fit with its vocabulary read back from a written table."""
-    return replace(index, vocab=vocab, postings=weigh(index.counts, vocab, "id"))
+    return replace(index, vocab=vocab, postings=weigh(
+        index.counts, vocab, "id", index.max_features))
 
 
 def scores(index: LexicalIndex, queries: DataFrame,
@@ -125,10 +135,11 @@ def scores(index: LexicalIndex, queries: DataFrame,
     counts = term_counts(
         term_arrays(queries, "query_id", F.col("consulta"), index.stop_words), "query_id"
     )
-    asked = weigh(counts, index.vocab, "query_id").withColumnRenamed("peso", "q")
+    asked = weigh(counts, index.vocab, "query_id", index.max_features).withColumnRenamed("peso", "q")
     on = ["term"]
     if "term_bucket" in index.postings.columns:  # stored postings: prune by partition
-        asked = asked.join(F.broadcast(index.vocab.select("term", "term_bucket")), "term")
+        buckets = _vocab_side(index.vocab.select("term", "term_bucket"), index.max_features)
+        asked = asked.join(buckets, "term")
         on = ["term", "term_bucket"]
     if counts.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
         matched = index.postings.join(F.broadcast(asked), on)
@@ -192,10 +203,16 @@ def summary(queries: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
-def present(hits: DataFrame, articles: DataFrame, rules=fixed.TOPIC_RULES,
-            default_topic: str = fixed.TOPIC_DEFAULT) -> DataFrame:
-    """Hits with their article and display values."""
+def present(hits: DataFrame, articles: DataFrame, queries: DataFrame, rules=fixed.TOPIC_RULES,
+            default_topic: str = fixed.TOPIC_DEFAULT, max_queries: int = 10_000) -> DataFrame:
+    """Hits with their article and display values.
+
+    There are at most k hits per query, so up to ``max_queries`` queries the hits
+    are broadcast and article bodies are not shuffled.
+    """
     sim = F.col("similitud")
+    if queries.limit(max_queries + 1).count() <= max_queries:
+        hits = F.broadcast(hits)
     joined = tag_topics(articles.join(hits, "id"), rules, default_topic)
     return joined.select(
         "query_id", "rank", "id", "similitud", "relevante", "titulo", "url", "fuente", "topico",

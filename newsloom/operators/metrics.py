@@ -6,7 +6,7 @@ topic or date that holds a large part of the rows costs one partial row per task
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom import fixed
@@ -35,7 +35,7 @@ def count_map(df: DataFrame, column: str, max_keys: int = 100_000) -> DataFrame:
     More than ``max_keys`` distinct values is an error, not a silent cut: use
     ``count_by`` there.
     """
-    packed = count_by(df, column).agg(
+    packed = count_by(df, column).limit(max_keys + 1).agg(
         F.array_sort(F.collect_list(F.struct(column, "total"))).alias("pares")
     )
     checked = F.when(F.size("pares") <= max_keys, F.col("pares")).otherwise(
@@ -51,15 +51,23 @@ def edit_stats(articles: DataFrame, history: DataFrame, approximate: bool = Fals
     return articles.agg(F.count("*").alias("total")).withColumn("editadas", edited.scalar())
 
 
-def kpis(enriched: DataFrame, filtered: DataFrame, limit: int = fixed.FEED_LIMIT) -> DataFrame:
-    """KPI row.  ``filtered`` is the feed filter's result before the row cap."""
-    n = filtered.agg(F.count("*").alias("n")).scalar()
-    return enriched.agg(
-        F.count("*").alias("total"),
+def kpis(enriched: DataFrame, condition: Column, limit: int = fixed.FEED_LIMIT) -> DataFrame:
+    """KPI row in one pass; ``condition`` is the feed's filter (before the row cap).
+
+    Rows are first folded per (source, topic), so the distinct counts run over a
+    few partial rows instead of expanding every article.
+    """
+    folded = enriched.groupBy("fuente", "topico").agg(
+        F.count("*").alias("n"), F.count_if(condition).alias("f"),
+        F.max("fecha_final").alias("ultima"),
+    )
+    return folded.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
         F.count_distinct(F.col("fuente")).alias("fuentes"),
         F.count_distinct(F.col("topico")).alias("topicos"),
-        dates.stamp_text(F.max("fecha_final")).alias("ultima"),
-    ).withColumn("filtradas_sin_tope", n).withColumn(
+        dates.stamp_text(F.max("ultima")).alias("ultima"),
+        F.coalesce(F.sum("f"), F.lit(0)).alias("filtradas_sin_tope"),
+    ).withColumn(
         "filtradas", F.least(F.col("filtradas_sin_tope"), F.lit(limit).cast("long"))
     )
 
@@ -99,15 +107,19 @@ def feed_groups(listed: DataFrame) -> DataFrame:
     )
 
 
-def with_group_size(listed: DataFrame, key: str = "fecha_str", out: str = "n_grupo") -> DataFrame:
+def with_group_size(listed: DataFrame, key: str = "fecha_str", out: str = "n_grupo",
+                    bounded_key: bool = True) -> DataFrame:
     """Rows labelled with their group's size.
 
     Counts are aggregated first and joined back, instead of a window over the
     raw rows: a date with a third of all rows stays spread over its tasks.  The
-    join side has one row per distinct key; AQE broadcasts it when it is small
-    and splits skewed partitions when it is not.
+    sizes are broadcast for keys of bounded cardinality: the default key is a
+    calendar day or "no date", at most 3.7 million values.  Pass
+    ``bounded_key=False`` for others; AQE then picks the join and splits skew.
     """
     sizes = listed.groupBy(key).agg(F.count("*").alias(out))
+    if bounded_key:
+        sizes = F.broadcast(sizes)
     return listed.join(sizes, listed[key].eqNullSafe(sizes[key]), "left").drop(sizes[key])
 
 

@@ -19,18 +19,21 @@ def gate(pages: DataFrame) -> DataFrame:
     """Add ``gate``: ok, bloqueado, error or no_html.  ``status`` is optional."""
     low = F.lower(F.coalesce("html", F.lit("")))
     code = F.col("status") if "status" in pages.columns else F.lit(None).cast("int")
-    is_html = (
-        F.regexp_replace(low, rf"^{tx.SPACE_CLASS}+", "").startswith("<!doctype")
-        | F.substring(low, 1, fixed.HTML_HEAD_CHARS).contains("<html")
-    )
-    verdict = (
-        F.when(code.isin(fixed.BLOCKED_STATUS), "bloqueado")
-        .when(tx.contains_any(low, fixed.BLOCKED_PHRASES), "bloqueado")
-        .when(code >= 400, "error")
-        .when(~is_html, "no_html")
-        .otherwise("ok")
-    )
-    return pages.withColumn("gate", verdict)
+
+    def verdict(page: Column) -> Column:
+        is_html = (
+            page.rlike(rf"^{tx.SPACE_CLASS}*<!doctype")
+            | F.substring(page, 1, fixed.HTML_HEAD_CHARS).contains("<html")
+        )
+        return (
+            F.when(code.isin(fixed.BLOCKED_STATUS), "bloqueado")
+            .when(tx.contains_any(page, fixed.BLOCKED_PHRASES), "bloqueado")
+            .when(code >= 400, "error")
+            .when(~is_html, "no_html")
+            .otherwise("ok")
+        )
+
+    return pages.withColumn("gate", tx.bind(low, verdict))
 
 
 def accepted(pages: DataFrame) -> DataFrame:

@@ -61,7 +61,8 @@ def resolve(existing: DataFrame, incoming: DataFrame, track_title: bool = False,
 
     arrivals = incoming.select(
         "url", F.col("seq").cast("long").alias("seq"),
-        F.floor(F.col("seq") / chunk_span).cast("long").alias("chunk"),
+        # Not NULL, so the join below adds no filter to one of its sides only.
+        F.coalesce(F.floor(F.col("seq") / chunk_span).cast("long"), F.lit(0)).alias("chunk"),
         F.md5("texto").alias("hash"), fingerprint(F.md5("texto")).alias("h"),
         F.struct(article_key(F.col("url")).alias("id"), "fuente", "fecha_pub").alias("own"),
     )

@@ -110,8 +110,7 @@ def facets(spark, sf):
 
 @query
 def kpis(spark, sf):
-    table = enriched(spark, sf)
-    return metrics.kpis(table, ar.feed_filter(table, **FEED_FILTERS))
+    return metrics.kpis(enriched(spark, sf), ar.feed_condition(**FEED_FILTERS))
 
 
 @query
@@ -274,8 +273,11 @@ def tfidf_weights(spark, sf):
 
 @query
 def tfidf_search(spark, sf):
-    hits = lexical.search(fitted(spark, sf), tv.query_texts(spark, sf))
-    return lexical.present(hits, tv.articles(spark, sf), tv.SAMPLE_RULES, tv.SAMPLE_DEFAULT)
+    queries = tv.query_texts(spark, sf)
+    hits = lexical.search(fitted(spark, sf), queries)
+    return lexical.present(
+        hits, tv.articles(spark, sf), queries, tv.SAMPLE_RULES, tv.SAMPLE_DEFAULT
+    )
 
 
 @query
@@ -368,7 +370,7 @@ def stream_ingest(spark, sf):
 def events_stream(spark: SparkSession, sf: str) -> DataFrame:
     return (
         spark.readStream.schema(schemas.EVENTS).option("pathGlobFilter", "events.parquet")
-        .parquet(sf)
+        .option("maxBytesPerTrigger", st_ingest.MAX_BYTES).parquet(sf)
     )
 
 

@@ -9,9 +9,10 @@ Layout under one base folder, every write under the batch that made it:
     runs/batch_id=N                run summary
 
 A bucket is a hash of the url.  The current table is, per bucket, the content
-written by its latest batch, so a batch rewrites only the buckets it touches
-and readers prune to live files by partition.  The ``snapshot`` rows are written
-last but for the summary and make a batch visible.  A batch reads only batches
+written by its latest batch: a batch reads only the buckets its urls fall into,
+rewrites only those it changes, and readers list only live folders.  Bucket
+lists are at most BUCKETS numbers, which bounds what the driver sees of a batch.
+The ``snapshot`` rows are written last but for the summary and make a batch visible.  A batch reads only batches
 before its own number and overwrites its own folders: after a failure it is run
 again with the same result.
 """
@@ -24,9 +25,9 @@ from pyspark.sql import types as T
 
 from newsloom import schemas
 from newsloom.operators import metrics, versions
-from newsloom.sources.tables import read_or_empty
+from newsloom.sources.tables import empty, read_or_empty
 
-BUCKETS = 256
+BUCKETS = 4096  # aim at a few GB of articles per bucket
 
 _BATCH = T.StructField("batch_id", T.LongType(), False)
 _BUCKET = T.StructField("bucket", T.IntegerType(), False)
@@ -57,20 +58,31 @@ class ArticleStore:
 
     # ------------------------------------------------------------------ read
 
-    def _live(self, before: int | None) -> DataFrame:
-        """Latest visible batch of each bucket: at most ``buckets`` rows."""
+    def _live(self, before: int | None) -> dict[int, int]:
+        """Latest visible batch of each bucket: at most ``buckets`` entries."""
         seen = self._read("snapshot", T.StructType([_BUCKET, _BATCH]))
         if before is not None:
             seen = seen.filter(F.col("batch_id") < before)
-        return seen.groupBy("bucket").agg(F.max("batch_id").alias("batch_id"))
+        latest = seen.groupBy("bucket").agg(F.max("batch_id").alias("batch_id"))
+        return {r.bucket: r.batch_id for r in latest.collect()}
+
+    def _buckets_of(self, df: DataFrame) -> DataFrame:
+        return df.select(self.bucket(F.col("url")).alias("bucket")).distinct()
 
     def articles(self, before: int | None = None) -> DataFrame:
         """Current articles (as they were before batch ``before``)."""
-        return self._articles(before).select(*schemas.ARTICLES.names)
-
-    def _articles(self, before: int | None) -> DataFrame:
-        files = self._read("articles", T.StructType([*schemas.ARTICLES, _BATCH, _BUCKET]))
-        return files.join(F.broadcast(self._live(before)), ["bucket", "batch_id"])
+        return self._articles(before)
+
+    def _articles(self, before: int | None, buckets: DataFrame | None = None) -> DataFrame:
+        """Live articles, of the given buckets only if any are given."""
+        live = self._live(before)
+        if buckets is not None:
+            live = {r.bucket: live[r.bucket] for r in buckets.collect() if r.bucket in live}
+        if not live:
+            return empty(self.spark, schemas.ARTICLES)
+        root = self._path("articles")
+        folders = [f"{root}/batch_id={b}/bucket={k}" for k, b in sorted(live.items())]
+        return self.spark.read.schema(schemas.ARTICLES).parquet(*folders)
 
     def history(self) -> DataFrame:
         return self._read("article_history", HISTORY)
@@ -87,7 +99,7 @@ class ArticleStore:
               rejected: DataFrame | None = None, track_title: bool = False) -> None:
         """Merge one batch of arrivals.  ``rejected`` rows count as errors."""
         stamp = F.lit(now).cast("timestamp_ntz")
-        existing = self.articles(before=batch_id)
+        existing = self._articles(batch_id, self._buckets_of(incoming))
 
         resolved = versions.resolve(existing, incoming, track_title)
         resolved.write.mode("overwrite").parquet(self._path("outcomes", batch_id))
@@ -99,12 +111,8 @@ class ArticleStore:
         )
 
         delta = versions.delta_of(resolved, incoming, stamp)
-        touched = resolved.filter(
-            ~F.col("stored") & F.col("changed")
-        ).select(self.bucket(F.col("url")).alias("bucket")).distinct()
-        # Rows of untouched buckets stay where they are: their files are not read.
-        beside = self._articles(batch_id).join(F.broadcast(touched), "bucket", "left_semi")
-        merged = versions.current_of(beside.select(*schemas.ARTICLES.names), delta)
+        touched = self._buckets_of(resolved.filter(~F.col("stored") & F.col("changed")))
+        merged = versions.current_of(self._articles(batch_id, touched), delta)
         (
             merged.withColumn("bucket", self.bucket(F.col("url")))
             .hint("rebalance", "bucket")  # AQE splits large buckets and joins small ones

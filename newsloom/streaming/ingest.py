@@ -9,13 +9,13 @@ from newsloom import schemas
 from newsloom.sources.store import ArticleStore
 
 
+MAX_BYTES = 8 << 30  # input of one micro-batch
+
+
 def landed(spark: SparkSession, folder: str, schema: T.StructType = schemas.INCOMING,
-           max_files: int | None = None) -> DataFrame:
-    """Stream of parquet files as they land; ``max_files`` bounds a micro-batch."""
-    reader = spark.readStream.schema(schema)
-    if max_files is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(folder)
+           max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Stream of parquet files as they land; ``max_bytes`` bounds a micro-batch."""
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes).parquet(folder)
 
 
 def ingest(stream: DataFrame, store: ArticleStore, checkpoint: str, now: str):

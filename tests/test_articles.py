@@ -142,10 +142,10 @@ def test_metrics(make):
     assert metrics.count_map(df, "fuente").first()[0] == {"f": 2, "g": 1}
     window = metrics.date_window(df).first()
     assert window.inicio == dt.date(2026, 5, 8)
-    row = metrics.kpis(df, df, limit=2).first()
+    row = metrics.kpis(df, F.lit(True), limit=2).first()
     assert (row.total, row.filtradas, row.filtradas_sin_tope, row.ultima) == (
         3, 2, 3, "15/05/2026 00:00")
-    assert metrics.kpis(df.filter("id = 3"), df).first().ultima == "N/D"
+    assert metrics.kpis(df.filter("id = 3"), F.lit(True)).first().ultima == "N/D"
     groups = [(r.fecha_str, r.n) for r in metrics.feed_groups(df).collect()]
     assert groups == [("2026-05-15", 1), ("2026-05-01", 1), ("Sin fecha", 1)]
 

@@ -23,7 +23,7 @@ def test_ingest_over_split_files_equals_one_batch(spark, tmp_path):
     store = ArticleStore(spark, str(tmp_path / "store"), buckets=4)
     for lo in (0, 20, 40):
         frame(rows[lo:lo + 20]).coalesce(1).write.mode("append").parquet(str(tmp_path / "land"))
-        stream = ingest.landed(spark, str(tmp_path / "land"), max_files=1)
+        stream = ingest.landed(spark, str(tmp_path / "land"), max_bytes=1024)
         drain(ingest.ingest(stream, store, str(tmp_path / "ck"), NOW))
     state = lambda s: (sorted((r.url, r.titulo, r.texto) for r in s.articles().collect()),
                        sorted((r.url, r.titulo, r.texto_anterior) for r in s.history().collect()))
