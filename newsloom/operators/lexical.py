@@ -129,6 +129,9 @@ def scores(index: LexicalIndex, queries: DataFrame,
            max_broadcast_rows: int = MAX_BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
     """Cosine of every (query, document) pair that shares a term.
 
+    ``bruta`` is the value as computed, for thresholds and display; ``similitud``
+    is rounded, so that rank and ties do not hang on the order of a sum.
+
     The number of query terms is checked on the queries alone, before the
     vocabulary is known, and only up to the limit.
     """
@@ -148,8 +151,8 @@ def scores(index: LexicalIndex, queries: DataFrame,
         salted = index.postings.withColumn("sal", F.pmod(F.xxhash64("id"), F.lit(salts)))
         matched = salted.join(asked.withColumn("sal", F.explode(all_salts)), [*on, "sal"])
     return matched.groupBy("query_id", "id").agg(
-        F.round(F.sum(F.col("peso") * F.col("q")), SIM_DIGITS).alias("similitud")
-    )
+        F.sum(F.col("peso") * F.col("q")).alias("bruta")
+    ).withColumn("similitud", F.round("bruta", SIM_DIGITS))
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -174,29 +177,30 @@ def search(index: LexicalIndex, queries: DataFrame, k: int = fixed.LEXICAL_TOP_K
         F.array_sort(F.collect_list("id")).alias("ids")
     )
     fillers = asked.select(
-        "query_id", F.explode(first_ids.scalar()).alias("id"), F.lit(0.0).alias("similitud")
+        "query_id", F.explode(first_ids.scalar()).alias("id"),
+        F.lit(0.0).alias("bruta"), F.lit(0.0).alias("similitud"),
     )
     merged = hits.unionByName(fillers).groupBy("query_id", "id").agg(
-        F.max("similitud").alias("similitud")
+        F.max("bruta").alias("bruta"), F.max("similitud").alias("similitud")
     )
-    return top_k(merged, k).withColumn("relevante", scoring.relevant(F.col("similitud")))
+    return top_k(merged, k).withColumn("relevante", scoring.relevant(F.col("bruta")))
 
 
 def summary(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """One row per query: result flag, message, best similarity, relevant hits."""
     per_query = hits.groupBy("query_id").agg(
-        F.max("similitud").alias("max_similitud"),
+        F.max("bruta").alias("maxima"),
         F.count_if("relevante").alias("n_relevantes"),
     )
     blank = tx.strip(F.coalesce("consulta", F.lit(""))) == ""
-    found = F.col("max_similitud").isNotNull()
-    best = F.coalesce("max_similitud", F.lit(0.0))
+    found = F.col("maxima").isNotNull()
+    best = F.coalesce("maxima", F.lit(0.0))
     return queries.join(per_query, "query_id", "left").select(
         "query_id",
         found.alias("tiene_resultados"),
         F.when(found, scoring.result_message(best, F.col("n_relevantes")))
         .when(blank, fixed.MSG_BLANK_QUERY).otherwise(fixed.MSG_EMPTY_CORPUS).alias("mensaje"),
-        best.alias("max_similitud"),
+        F.round(best, SIM_DIGITS).alias("max_similitud"),
         F.coalesce("n_relevantes", F.lit(0)).alias("n_relevantes"),
         scoring.three_decimals(best).alias("max_texto"),
         scoring.band(best).alias("banda"),
@@ -210,7 +214,7 @@ def present(hits: DataFrame, articles: DataFrame, queries: DataFrame, rules=fixe
     There are at most k hits per query, so up to ``max_queries`` queries the hits
     are broadcast and article bodies are not shuffled.
     """
-    sim = F.col("similitud")
+    sim = F.col("bruta")
     if queries.limit(max_queries + 1).count() <= max_queries:
         hits = F.broadcast(hits)
     joined = tag_topics(articles.join(hits, "id"), rules, default_topic)
