@@ -38,7 +38,7 @@ def rejected(pages: DataFrame, portals: list[dict] = fixed.PORTALS) -> DataFrame
     return stopped.unionByName(unparsed)
 
 
-def run(store: ArticleStore, pages: DataFrame, batch_id: int, now: str,
+def run(store: ArticleStore, pages: DataFrame, batch_id: int, now: str | None = None,
         portals: list[dict] = fixed.PORTALS) -> None:
     """Merge a batch of landed pages into the store.
 

@@ -34,7 +34,8 @@ REGISTRY: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    REGISTRY[fn.__name__] = fn
+    """Register under the function's name (less a trailing underscore)."""
+    REGISTRY[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -336,7 +337,7 @@ def rag_prompts(spark, sf):
 
 
 @query
-def conversation_transcripts(spark, sf):
+def transcripts_(spark, sf):
     table = transcripts.transcripts(tv.table(spark, sf, "conversations"))
     return table.select(
         "conv_id", F.col("segmento").cast("long").alias("segmento"),

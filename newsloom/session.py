@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import tempfile
 import uuid
@@ -39,6 +40,11 @@ def local_session(cores: int | str = "*", app: str = "newsloom", **conf: str) ->
     return spark
 
 
+def run_stamp() -> str:
+    """Local time of a run, to the second: one literal per batch, not per row."""
+    return dt.datetime.now().isoformat(sep=" ", timespec="seconds")
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``.
 

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from newsloom import schemas
 from newsloom.operators import metrics, versions
+from newsloom.session import run_stamp
 from newsloom.sources.tables import empty, read_or_empty
 
 BUCKETS = 4096  # aim at a few GB of articles per bucket
@@ -95,10 +96,10 @@ class ArticleStore:
 
     # ----------------------------------------------------------------- write
 
-    def apply(self, incoming: DataFrame, batch_id: int, now: str,
+    def apply(self, incoming: DataFrame, batch_id: int, now: str | None = None,
               rejected: DataFrame | None = None, track_title: bool = False) -> None:
         """Merge one batch of arrivals.  ``rejected`` rows count as errors."""
-        stamp = F.lit(now).cast("timestamp_ntz")
+        stamp = F.lit(now or run_stamp()).cast("timestamp_ntz")
         existing = self._articles(batch_id, self._buckets_of(incoming))
 
         resolved = versions.resolve(existing, incoming, track_title)

@@ -18,11 +18,12 @@ def landed(spark: SparkSession, folder: str, schema: T.StructType = schemas.INCO
     return spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes).parquet(folder)
 
 
-def ingest(stream: DataFrame, store: ArticleStore, checkpoint: str, now: str):
+def ingest(stream: DataFrame, store: ArticleStore, checkpoint: str, now: str | None = None):
     """Merge every micro-batch into the store, then stop when the input is drained.
 
     The micro-batch number is the store's batch number: a replayed micro-batch
-    overwrites its own folders and reads only what was there before it.
+    overwrites its own folders and reads only what was there before it.  Without
+    ``now``, each micro-batch is stamped with the time it is merged.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         store.apply(batch, batch_id, now)

@@ -1,6 +1,5 @@
 """Gate, links and article extraction on hand-made pages."""
 
-import pytest
 
 from newsloom import fixed
 from newsloom.functions import html as hx
