@@ -147,14 +147,19 @@ def history_of(resolved: DataFrame, existing: DataFrame, incoming: DataFrame,
     return from_store.select(*columns).unionByName(from_batch.select(*columns))
 
 
+def latest_of(resolved: DataFrame) -> DataFrame:
+    """Narrow rows of the latest version of each new or changed url."""
+    return resolved.filter(
+        ~F.col("stored") & F.col("changed") & (F.col("version") == F.col("versions"))
+    )
+
+
 def delta_of(resolved: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
-    """Latest version of each new or changed url.
+    """Latest version of each new or changed url, with its title and body.
 
     Source and published date stay those of the first version.
     """
-    latest = resolved.filter(
-        ~F.col("stored") & F.col("changed") & (F.col("version") == F.col("versions"))
-    )
+    latest = latest_of(resolved)
     payload = incoming.select("url", F.col("seq").cast("long").alias("seq"), "titulo", "texto")
     return latest.join(payload, ["url", "seq"]).select(
         "id", "url", "titulo", "texto", "fuente", F.col("hash").alias("hash_texto"),
@@ -162,9 +167,13 @@ def delta_of(resolved: DataFrame, incoming: DataFrame, now: Column) -> DataFrame
     )
 
 
-def current_of(existing: DataFrame, delta: DataFrame) -> DataFrame:
-    """Stored articles replaced or extended by the delta."""
-    kept = existing.join(delta.select("url"), "url", "left_anti").select(*delta.columns)
+def current_of(existing: DataFrame, resolved: DataFrame, delta: DataFrame) -> DataFrame:
+    """Stored articles replaced or extended by the delta.
+
+    Replaced urls come from the narrow rows, not from the delta with its bodies.
+    """
+    replaced = latest_of(resolved).select("url")
+    kept = existing.join(replaced, "url", "left_anti").select(*delta.columns)
     return kept.unionByName(delta)
 
 
@@ -179,7 +188,7 @@ def upsert(existing: DataFrame, incoming: DataFrame, now: str, track_title: bool
         status=status_of(resolved),
         history=history_of(resolved, existing, incoming, stamp),
         delta=delta,
-        current=current_of(existing, delta),
+        current=current_of(existing, resolved, delta),
     )
 
 

@@ -113,7 +113,7 @@ class ArticleStore:
 
         delta = versions.delta_of(resolved, incoming, stamp)
         touched = self._buckets_of(resolved.filter(~F.col("stored") & F.col("changed")))
-        merged = versions.current_of(self._articles(batch_id, touched), delta)
+        merged = versions.current_of(self._articles(batch_id, touched), resolved, delta)
         (
             merged.withColumn("bucket", self.bucket(F.col("url")))
             .hint("rebalance", "bucket")  # AQE splits large buckets and joins small ones
