@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import langid, licenses, mixing, packing, quality, tokens, vectors
+from newsloom.llm import jaccard, langid, licenses, mixing, packing, quality, tokens, vectors
 from newsloom.llm.common import table
 
 
@@ -40,10 +40,14 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_topk_search, op2_best_fit_packing, op3_quality_rules, op4_language_id, op5_mixing,
-        op6_token_files, op9_license_scan,
+        op6_token_files, op9_license_scan, op10_ngram_jaccard,
     )
 }
 
