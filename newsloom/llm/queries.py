@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import jaccard, langid, licenses, mixing, packing, quality, tokens, vectors
+from newsloom.llm import (
+    jaccard, langid, licenses, mixing, packing, pages, quality, suffixes, tokens, vectors,
+)
 from newsloom.llm.common import table
 
 
@@ -36,6 +38,14 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_and_check(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -47,7 +57,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_topk_search, op2_best_fit_packing, op3_quality_rules, op4_language_id, op5_mixing,
-        op6_token_files, op9_license_scan, op10_ngram_jaccard,
+        op6_token_files, op7_suffix_dedup, op8_main_text, op9_license_scan, op10_ngram_jaccard,
     )
 }
 
