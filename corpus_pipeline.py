@@ -1,0 +1,70 @@
+"""A training corpus from ``documents`` in five stages.
+
+Each stage reads what the stage before wrote and applies one operator to all of it.
+The columns of ``documents`` go through to the last stage, which packs what is left
+into sequences.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from newsloom.llm import jaccard, langid, mixing, packing, suffixes
+from newsloom.llm.common import table, written
+
+#: Least mean probability of the predicted language for a document to stay.
+LEAST_SCORE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose text is in no language: none predicted, or hardly sure."""
+    field = langid.fit(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
+    return langid.with_language(docs, field).where(
+        (F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each class of linked documents."""
+    first = jaccard.classes(docs).where("doc_id = component_id").select(
+        F.col("doc_id").alias("__id")).distinct()
+    return docs.join(first, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+
+
+def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes repeated passages from the texts; documents left without a word go."""
+    return suffixes.cleaned(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes documents as the mix asks: not at all, once, or once more."""
+    taken = mixing.mix(docs).where("taken > 0").select(
+        F.col("doc_id").alias("__id"), F.explode(F.sequence(
+            F.lit(1), (F.col("taken") / F.col("size")).cast("int"))).alias("__copy"))
+    return docs.join(taken, F.col("doc_id") == F.col("__id")).drop("__id", "__copy")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all documents in sequences of permitted lengths."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", language),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", long_repeats),
+    ("mixing sources to target weights", mixed),
+    ("best-fit packing", packed),
+]
+
+#: The stages cannot be said in SQL; tests compare with brute-force versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

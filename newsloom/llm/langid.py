@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The field is fitted on about this many documents of each language.
 SAMPLE_PER_LANG = 120
@@ -306,6 +307,22 @@ def predict(docs: DataFrame, field: Field) -> DataFrame:
         run, "doc_id long, lang_pred string, score double")
 
 
+def with_language(docs: DataFrame, field: Field) -> DataFrame:
+    """The rows of ``docs`` as they are, with ``__lang`` and ``__score`` of their text."""
+    at, names = docs.columns.index("text"), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, scores = label([t or "" for t in batch.column(at).to_pylist()], field)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())],
+                [*names, "__lang", "__score"])
+
+    return docs.mapInArrow(run, T.StructType([
+        *docs.schema.fields, T.StructField("__lang", T.StringType()),
+        T.StructField("__score", T.DoubleType())]))
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row.
 

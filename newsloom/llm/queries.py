@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from newsloom.llm import (
     jaccard, langid, licenses, mixing, packing, pages, quality, suffixes, tokens, vectors,
 )
@@ -54,10 +55,14 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_topk_search, op2_best_fit_packing, op3_quality_rules, op4_language_id, op5_mixing,
-        op6_token_files, op7_suffix_dedup, op8_main_text, op9_license_scan, op10_ngram_jaccard,
+        op6_token_files, op7_suffix_dedup, op8_main_text, op9_license_scan, op10_ngram_jaccard, pipeline,
     )
 }
 

@@ -388,6 +388,28 @@ def cut(data: bytes, spans) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, runs
 
 
+def cleaned(docs: DataFrame) -> DataFrame:
+    """``docs`` without repeated strings in ``text``; rows left without a word go.
+
+    Bytes of a character cut in two are dropped with it.  ``n_chars``, if there is
+    such a column, is counted anew.
+    """
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = {n: batch.column(n) for n in batch.schema.names}
+            texts = [cut(t, s)[0].decode("utf-8", "ignore") for t, s in zip(
+                encoded(cols["text"].to_pylist()), cols["__spans"].to_pylist())]
+            keep = pa.array([bool(t.strip()) for t in texts])
+            cols["text"] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([cols[n] for n in names], names).filter(keep)
+
+    rows = with_spans(docs).withColumnRenamed("spans", "__spans").select(*names, "__spans")
+    out = rows.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row.
 
