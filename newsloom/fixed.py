@@ -42,20 +42,22 @@ TOPIC_RULES = [
 TOPIC_DEFAULT = "📰 General"
 
 # --- stop words of the lexical index -----------------------------------------
-STOP_WORDS = """
-de la el en y a los del se las un por con una
-su para es al lo como más pero sus le ya o fue
-este ha si porque esta son entre cuando muy sin sobre
-también me hasta hay donde quien desde todo nos durante
-todos uno les ni contra otros ese eso ante ellos e
-esto antes algunos qué unos otro otras otra él tanto
-esa estos mucho cual poco ella estar estas algunas algo
-nosotros mi mis tú te ti tu tus que no ser hacer
-tener haber poder ir ver han sido hizo era eran tiene
-tienen os aun bien cada cuyo ello esos
-esas aquí allí allá ahora luego pues así bajo
-cabe hacia según so tras versus vía
-""".split()
+STOP_WORDS = [
+    "de", "la", "el", "en", "y", "a", "los", "del", "se", "las", "un", "por", "con", "una",
+    "su", "para", "es", "al", "lo", "como", "más", "pero", "sus", "le", "ya", "o", "fue",
+    "este", "ha", "si", "porque", "esta", "son", "entre", "cuando", "muy", "sin", "sobre",
+    "también", "me", "hasta", "hay", "donde", "quien", "desde", "todo", "nos", "durante",
+    "todos", "uno", "les", "ni", "contra", "otros", "ese", "eso", "ante", "ellos", "e",
+    "esto", "antes", "algunos", "qué", "unos", "otro", "otras", "otra", "él", "tanto",
+    "esa", "estos", "mucho", "cual", "poco", "ella", "estar", "estas", "algunas", "algo",
+    "nosotros", "mi", "mis", "tú", "te", "ti", "tu", "tus", "que", "no", "ser", "hacer",
+    "tener", "haber", "poder", "ir", "ver", "han", "sido", "hizo", "era", "eran", "tiene",
+    "tienen", "le", "les", "les", "nos", "os", "me", "te", "se", "si", "ya", "aun", "bien",
+    "cada", "cual", "cuyo", "desde", "donde", "ello", "entre", "esta", "este", "esos",
+    "esas", "aquí", "allí", "allá", "ahora", "luego", "pues", "así", "ante", "bajo",
+    "cabe", "con", "contra", "de", "desde", "en", "entre", "hacia", "hasta", "para",
+    "por", "según", "sin", "so", "sobre", "tras", "versus", "vía",
+]
 
 # --- lexical retrieval ---------------------------------------------------------
 MAX_FEATURES = 8000
@@ -129,7 +131,7 @@ BODY_CLASS = "field-name-body"
 TITLE_META = "og:title"
 DATE_META = "article:published_time"
 MIN_BODY_PAGE_HEADER = 100
-MIN_PARAGRAPH_ARTICLE_TAG = 41
+MIN_PARAGRAPH_ARTICLE_TAG = 40  # longer than this
 MIN_BODY_ARTICLE_TAG = 200
 
 # --- prompt texts; {contexto} and {pregunta} are filled per query ---------------

@@ -29,6 +29,7 @@ from newsloom import fixed
 
 SIM_DIGITS = 6
 MAX_BROADCAST_QUERIES = 4096
+MAX_BROADCAST_HITS = 100_000
 DOC_BLOCK_ROWS = 50_000
 QUERY_SLICE = 512
 
@@ -152,6 +153,23 @@ def _bounded(queries: DataFrame, limit: int) -> pd.DataFrame | None:
     return batch if len(batch) <= limit else None
 
 
+def usable(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose vectors can be compared: not NULL, without NULL parts, of the
+    dimension most queries have; one row per document id, its least vector.
+
+    A zero vector is similar to nothing (0.0), in exact and in hashed search.
+    """
+    def whole(df: DataFrame) -> DataFrame:
+        return df.filter(F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull()))
+
+    queries = whole(queries)
+    sizes = queries.groupBy(F.size("embedding").alias("n")).count()
+    width = sizes.orderBy(F.desc("count"), "n").first()
+    fits = F.size("embedding") == (width["n"] if width else 0)
+    folded = whole(docs).filter(fits).groupBy("id").agg(F.min("embedding").alias("embedding"))
+    return folded, queries.filter(fits)
+
+
 def rank(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("similitud"), F.asc("id"))
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -161,14 +179,15 @@ def nearest(docs: DataFrame, queries: DataFrame, k: int = fixed.DENSE_TOP_K,
             max_broadcast_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
     """Exact top k documents (id, embedding) per query (query_id, embedding).
 
-    The result is marked for broadcast where the number of queries, hence of
-    hits, was checked: joining it to document payloads then moves no payload.
+    The result is marked for broadcast where the number of queries, and with k that
+    of hits, was checked: joining it to document payloads then moves no payload.
     """
-    wanted = queries.select("query_id", "embedding")
+    docs, wanted = usable(docs.select("id", "embedding"), queries.select("query_id", "embedding"))
     batch = _bounded(wanted, max_broadcast_queries)
     if batch is None:
         return rank(_block_scores(docs, wanted, k, max_broadcast_queries), k)
-    return F.broadcast(rank(_broadcast_scores(docs, batch, k), k))
+    hits = rank(_broadcast_scores(docs, batch, k), k)
+    return F.broadcast(hits) if len(batch) * k <= MAX_BROADCAST_HITS else hits
 
 
 # ---------------------------------------------------------------- approximate
@@ -206,18 +225,46 @@ def _buckets(hashed: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _joined_scores(index: DataFrame, queries: DataFrame, model, k: int, probe: int) -> DataFrame:
+    """Candidates by an equi-join of probed buckets, scored in Arrow batches.
+
+    A pair that meets in several buckets is scored once; a bucket with very many
+    documents is split by the planner's skew handling.
+    """
+    probes = _buckets(model.transform(_with_vector(queries.select("query_id", "embedding"))), "query_id")
+    probes = probes.select(
+        "query_id", "tabla", F.explode(F.sequence(F.col("cubeta") - probe, F.col("cubeta") + probe))
+        .alias("cubeta"))
+    pairs = index.select("tabla", "cubeta", "id").join(probes, ["tabla", "cubeta"]).select(
+        "query_id", "id").distinct()
+    vectors = index.filter("tabla = 0").select("id", "embedding")
+    both = pairs.join(vectors, "id").join(
+        queries.select("query_id", F.col("embedding").alias("q")), "query_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                d, q = _unit(_matrix(b.column(2))), _unit(_matrix(b.column(3)))
+                yield _as_batch(pd.DataFrame({
+                    "query_id": b.column(0).to_numpy(), "id": b.column(1).to_numpy(),
+                    "similitud": np.round(np.einsum("ij,ij->i", d, q), SIM_DIGITS) + 0.0}))
+
+    return both.select("query_id", "id", "embedding", "q").mapInArrow(run, HITS)
+
+
 def nearest_lsh(index: DataFrame, queries: DataFrame, model, k: int = fixed.DENSE_TOP_K,
                 probe: int = 1, max_broadcast_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
     """Approximate top k: only buckets near a query's own are read and scored.
 
     Candidates of a bucket are scored as a block against the queries that probe
     it, and cut to the top k in the task; a hot bucket spreads over as many tasks
-    as its files have splits.  Similarities are exact.
+    as its files have splits.  Similarities are exact.  Larger query batches meet
+    the index in a join on the probed buckets instead.
     """
     spark = index.sparkSession
     wanted = _bounded(queries.select("query_id", "embedding"), max_broadcast_queries)
     if wanted is None:
-        raise ValueError("split the query batch or raise max_broadcast_queries")
+        return rank(_joined_scores(index, queries, model, k, probe), k)
     if wanted.empty:
         return rank(spark.createDataFrame([], HITS), k)
     # Queries x tables x probed buckets rows, bounded by the check.

@@ -6,7 +6,7 @@ topic or date that holds a large part of the rows costs one partial row per task
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom import fixed
@@ -22,26 +22,16 @@ def ordered_count_by(df: DataFrame, column: str) -> DataFrame:
 
 
 def share_by(df: DataFrame, column: str) -> DataFrame:
-    """Count and share of the whole; the window runs over the grouped rows only."""
-    whole = Window.partitionBy()
-    return count_by(df, column).withColumn(
-        "proporcion", F.col("total") / F.sum("total").over(whole)
+    """Count and share of the whole; the whole is one number, counted apart."""
+    counts = count_by(df, column)
+    return counts.withColumn(
+        "proporcion", F.col("total") / counts.agg(F.sum("total")).scalar()
     )
 
 
-def count_map(df: DataFrame, column: str, max_keys: int = 100_000) -> DataFrame:
-    """One row with all counts as a map, for columns of few distinct values.
-
-    More than ``max_keys`` distinct values is an error, not a silent cut: use
-    ``count_by`` there.
-    """
-    packed = count_by(df, column).limit(max_keys + 1).agg(
-        F.array_sort(F.collect_list(F.struct(column, "total"))).alias("pares")
-    )
-    checked = F.when(F.size("pares") <= max_keys, F.col("pares")).otherwise(
-        F.raise_error(F.lit(f"more than {max_keys} distinct values of {column}"))
-    )
-    return packed.select(F.map_from_entries(checked).alias("por_" + column))
+def count_map(df: DataFrame, column: str) -> DataFrame:
+    """The counts of a mapping as rows (clave, total), whatever their number."""
+    return count_by(df, column).select(F.col(column).alias("clave"), "total")
 
 
 def edit_stats(articles: DataFrame, history: DataFrame, approximate: bool = False) -> DataFrame:
@@ -107,19 +97,14 @@ def feed_groups(listed: DataFrame) -> DataFrame:
     )
 
 
-def with_group_size(listed: DataFrame, key: str = "fecha_str", out: str = "n_grupo",
-                    bounded_key: bool = True) -> DataFrame:
+def with_group_size(listed: DataFrame, key: str = "fecha_str", out: str = "n_grupo") -> DataFrame:
     """Rows labelled with their group's size.
 
     Counts are aggregated first and joined back, instead of a window over the
-    raw rows: a date with a third of all rows stays spread over its tasks.  The
-    sizes are broadcast for keys of bounded cardinality: the default key is a
-    calendar day or "no date", at most 3.7 million values.  Pass
-    ``bounded_key=False`` for others; AQE then picks the join and splits skew.
+    raw rows: the planner picks the join by the size of the counts and splits a
+    date with a third of all rows.
     """
     sizes = listed.groupBy(key).agg(F.count("*").alias(out))
-    if bounded_key:
-        sizes = F.broadcast(sizes)
     return listed.join(sizes, listed[key].eqNullSafe(sizes[key]), "left").drop(sizes[key])
 
 

@@ -41,8 +41,8 @@ def accepted(pages: DataFrame) -> DataFrame:
 
 
 def links(pages: DataFrame, portals: list[dict] = fixed.PORTALS,
-          max_links: int = fixed.MAX_LINKS_PER_PAGE) -> DataFrame:
-    """Article links of each page, first ``max_links`` distinct ones by position.
+          max_links: int | None = fixed.MAX_LINKS_PER_PAGE) -> DataFrame:
+    """Article links of each page, first ``max_links`` distinct ones by position (None: all).
 
     Link rules come from the portal table; everything is per-row array work.
     """
@@ -64,7 +64,9 @@ def links(pages: DataFrame, portals: list[dict] = fixed.PORTALS,
             ))
         )
 
-    kept = F.slice(F.array_distinct(F.filter("enlaces", keep)), 1, max_links)
+    kept = F.array_distinct(F.filter("enlaces", keep))
+    if max_links is not None:
+        kept = F.slice(kept, 1, max_links)
     # Outer, then filtered: no size filter is inferred that would repeat the work.
     return found.withColumn("enlaces", kept).select(
         "page_id", "fuente", F.posexplode_outer("enlaces").alias("pos", "enlace")
@@ -100,7 +102,7 @@ def parse_article_tag(page: Column) -> Column:
     titulo = hx.node_text(hx.element_inner(page, "h1"), "")
     long_ones = F.filter(
         hx.paragraphs(hx.element_inner(page, "article")),
-        lambda p: F.length(p) >= fixed.MIN_PARAGRAPH_ARTICLE_TAG,
+        lambda p: F.length(p) > fixed.MIN_PARAGRAPH_ARTICLE_TAG,
     )
     texto = tx.strip(F.array_join(long_ones, " "))
     return _article(titulo, texto, F.lit(None).cast("string"), fixed.MIN_BODY_ARTICLE_TAG)
@@ -114,17 +116,21 @@ PARSERS: dict[str, Callable[[Column], Column]] = {
 
 
 def parse(pages: DataFrame, portals: list[dict] = fixed.PORTALS,
-          parsers: dict[str, Callable[[Column], Column]] = PARSERS) -> DataFrame:
+          parsers: dict[str, Callable[[Column], Column]] = PARSERS,
+          keep_unknown: bool = False) -> DataFrame:
     """Add ``titulo``, ``texto``, ``fecha_pub`` by the portal's parser.
 
-    ``titulo`` is NULL where the parser rejects the page.  All portals go through
+    ``titulo`` is NULL where the parser rejects the page; with ``keep_unknown`` pages
+    of no portal stay too, with ``fuente`` NULL.  All portals go through
     one scan: the parser is chosen by a CASE on the setting, not by one branch of
     the plan per portal.  A parser may also return a pandas-UDF column.
 
     The struct is unpacked by a generator, through which the optimizer pushes no
     filter, so the parser runs once per page however its fields are used.
     """
-    ready = with_portal(pages, portals).withColumn("_visible", hx.visible(F.col("html")))
+    ready = with_portal(
+        pages, portals, keep_unknown=keep_unknown
+    ).withColumn("_visible", hx.visible(F.col("html")))
     names = sorted({p["parser"] for p in portals})
     article = _chosen_article(
         pages.sparkSession.sparkContext.applicationId, tuple((n, parsers[n]) for n in names)

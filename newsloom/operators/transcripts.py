@@ -5,26 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEGMENT_TURNS = 256
 
+def transcripts(turns: DataFrame) -> DataFrame:
+    """Turns of each conversation in append order, role-tagged: one line per turn.
 
-def transcripts(turns: DataFrame, segment_turns: int = SEGMENT_TURNS) -> DataFrame:
-    """Turns of each conversation in append order, role-tagged.
-
-    A row holds one segment of ``segment_turns`` consecutive turn numbers, so no
-    row or task collects a conversation of unbounded length: (conv_id, turn) is
-    unique.  A conversation of fewer turns is one row; longer ones are read in
-    segment order.
+    Lines are dealt by ranges of (conv_id, turn) and sorted in their partitions, so
+    the partitions read one after another are the transcripts, and a conversation of
+    any length is never collected into a row or a task.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    return (
-        turns.groupBy("conv_id", F.floor(F.col("turn") / segment_turns).alias("segmento"))
-        .agg(ordered.alias("turnos"))
-        .select(
-            "conv_id", "segmento", "turnos",
-            F.size("turnos").alias("n_turnos"),
-            F.array_join(
-                F.transform("turnos", lambda t: F.concat(t["role"], F.lit(": "), t["text"])), "\n"
-            ).alias("transcripcion"),
-        )
-    )
+    lines = turns.select(
+        "conv_id", "turn", "role", F.concat("role", F.lit(": "), "text").alias("linea"))
+    return lines.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn")

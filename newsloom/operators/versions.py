@@ -67,19 +67,23 @@ def resolve(existing: DataFrame, incoming: DataFrame, track_title: bool = False,
         F.coalesce(F.floor(F.col("seq") / chunk_span).cast("long"), F.lit(0)).alias("chunk"),
         F.md5("texto").alias("hash"), fingerprint(F.md5("texto")).alias("h"),
         F.struct(article_key(F.col("url")).alias("id"), "fuente", "fecha_pub").alias("own"),
+        row_tie().alias("tie"),
     )
     stored = existing.join(incoming.select("url").distinct(), "url", "left_semi").select(
         "url", F.lit(STORED_SEQ).cast("long").alias("seq"),
         F.lit(STORED_SEQ).cast("long").alias("chunk"),
         F.col("hash_texto").alias("hash"), fingerprint(F.col("hash_texto")).alias("h"),
-        F.struct("id", "fuente", "fecha_pub").alias("own"),
+        F.struct("id", "fuente", "fecha_pub").alias("own"), F.lit(0).cast("long").alias("tie"),
     )
 
-    inside = Window.partitionBy("url", "chunk").orderBy("seq")
+    inside = Window.partitionBy("url", "chunk").orderBy("seq", "hash", "tie")
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Both levels read this exchange: bodies are scanned and hashed once.
     rows = (
         stored.unionByName(arrivals).repartition("url", "chunk")
+        # Arrivals delivered twice, or two with one order, count once.
+        .withColumn("again", F.coalesce(F.lag("seq").over(inside) == F.col("seq"), F.lit(False)))
+        .filter(~F.col("again"))
         .withColumn("prev", F.lag("h").over(inside))
         .withColumn("last", F.lead("seq").over(inside).isNull())
         .withColumn("first_h", F.first("h").over(so_far))
@@ -110,10 +114,10 @@ def resolve(existing: DataFrame, incoming: DataFrame, track_title: bool = False,
     changed = F.when(F.col("prev").isNull(), F.col("opens")).otherwise(F.col("edit"))
     version = F.col("base") + F.col("opens").cast("long") + F.col("edits")
     return (
-        rows.select("url", "chunk", "seq", "hash", "prev", "edit", "edits", "own")
+        rows.select("url", "chunk", "seq", "hash", "tie", "prev", "edit", "edits", "own")
         .join(bounds, ["url", "chunk"])
         .select(
-            "url", "seq", "hash",
+            "url", "seq", "hash", "tie",
             (F.col("seq") == STORED_SEQ).alias("stored"),
             changed.alias("changed"),
             version.alias("version"),
@@ -125,6 +129,19 @@ def resolve(existing: DataFrame, incoming: DataFrame, track_title: bool = False,
     )
 
 
+def row_tie() -> Column:
+    """Tells arrivals with the same url and order apart."""
+    return F.xxhash64("texto", "titulo", "fuente", "fecha_pub")
+
+
+def with_payload(resolved: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Title and body of resolved arrivals; repeated rows meet in one partition and fold."""
+    keys = ["url", "seq", "tie"]
+    payload = incoming.select(
+        "url", F.col("seq").cast("long").alias("seq"), row_tie().alias("tie"), "titulo", "texto")
+    return resolved.join(payload, keys).dropDuplicates(keys)
+
+
 def status_of(resolved: DataFrame) -> DataFrame:
     return resolved.filter(~F.col("stored")).select("url", "seq", "estado")
 
@@ -134,10 +151,7 @@ def history_of(resolved: DataFrame, existing: DataFrame, incoming: DataFrame,
     """Every superseded version, with the title and body it was stored with."""
     superseded = resolved.filter(F.col("changed") & (F.col("version") < F.col("versions")))
     from_store = superseded.filter("stored").join(existing.select("url", "titulo", "texto"), "url")
-    from_batch = superseded.filter(~F.col("stored")).join(
-        incoming.select("url", F.col("seq").cast("long").alias("seq"), "titulo", "texto"),
-        ["url", "seq"],
-    )
+    from_batch = with_payload(superseded.filter(~F.col("stored")), incoming)
     columns = [
         F.xxhash64("url", "hash", now, "version").alias("id"),
         F.col("id").alias("noticia_id"), "url", "titulo",
@@ -160,8 +174,7 @@ def delta_of(resolved: DataFrame, incoming: DataFrame, now: Column) -> DataFrame
     Source and published date stay those of the first version.
     """
     latest = latest_of(resolved)
-    payload = incoming.select("url", F.col("seq").cast("long").alias("seq"), "titulo", "texto")
-    return latest.join(payload, ["url", "seq"]).select(
+    return with_payload(latest, incoming).select(
         "id", "url", "titulo", "texto", "fuente", F.col("hash").alias("hash_texto"),
         "fecha_pub", now.alias("fecha_scrape"),
     )
@@ -179,7 +192,10 @@ def current_of(existing: DataFrame, resolved: DataFrame, delta: DataFrame) -> Da
 
 def upsert(existing: DataFrame, incoming: DataFrame, now: str, track_title: bool = False,
            chunk_span: int = CHUNK_SPAN) -> Upsert:
-    """Merge ``incoming`` (unique by url and seq) into ``existing`` (unique by url)."""
+    """Merge ``incoming`` into ``existing`` (unique by url).
+
+    Of several arrivals with one url and seq, the first by hash and content counts.
+    """
     stamp = F.lit(now).cast("timestamp_ntz")
     resolved = resolve(existing, incoming, track_title, chunk_span)
     delta = delta_of(resolved, incoming, stamp)

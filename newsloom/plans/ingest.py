@@ -18,8 +18,9 @@ EXTRACTED = T.StructType([
 
 
 def extract(pages: DataFrame, portals: list[dict] = fixed.PORTALS) -> DataFrame:
-    """Accepted pages of known portals, parsed (``titulo`` NULL if rejected)."""
-    return pg.parse(pg.accepted(pages), portals)
+    """Accepted pages, parsed: ``titulo`` is NULL if the parser rejects the page, and
+    ``fuente`` as well if it belongs to no portal."""
+    return pg.parse(pg.accepted(pages), portals, keep_unknown=True)
 
 
 def arrivals(pages: DataFrame, portals: list[dict] = fixed.PORTALS) -> DataFrame:
@@ -28,12 +29,13 @@ def arrivals(pages: DataFrame, portals: list[dict] = fixed.PORTALS) -> DataFrame
 
 
 def rejected(pages: DataFrame, portals: list[dict] = fixed.PORTALS) -> DataFrame:
-    """Pages stopped by the gate, or by their parser."""
+    """Pages stopped by the gate, by their parser, or for want of a portal."""
     stopped = pg.gate(pages).filter(F.col("gate") != "ok").select(
         "page_id", "url", F.col("gate").alias("motivo")
     )
     unparsed = extract(pages, portals).filter(F.col("titulo").isNull()).select(
-        "page_id", "url", F.lit("sin_articulo").alias("motivo")
+        "page_id", "url",
+        F.when(F.col("fuente").isNull(), "sin_portal").otherwise("sin_articulo").alias("motivo"),
     )
     return stopped.unionByName(unparsed)
 

@@ -18,7 +18,6 @@ from newsloom.plans import ingest
 from newsloom.session import work_dir
 from newsloom.sources import testviews as tv
 from newsloom.sources.store import ArticleStore
-from newsloom.sources.tables import spread
 from newsloom.streaming import changes as st_changes
 from newsloom.streaming import ingest as st_ingest
 from newsloom.streaming import timeline as st_timeline
@@ -126,13 +125,7 @@ def by_source(spark, sf):
 
 @query
 def source_map(spark, sf):
-    pairs = F.transform(
-        F.array_sort(F.map_entries("por_fuente")),
-        lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")),
-    )
-    return metrics.count_map(tv.articles(spark, sf), "fuente").select(
-        F.array_join(pairs, ",").alias("por_fuente")
-    )
+    return metrics.count_map(tv.articles(spark, sf), "fuente")
 
 
 @query
@@ -230,7 +223,8 @@ def page_links(spark, sf):
 
 @query
 def portal_links(spark, sf):
-    return pg.distinct_links(page_links(spark, sf))
+    every = pg.links(pg.accepted(tv.pages(spark, sf)), tv.SAMPLE_PORTALS, max_links=None)
+    return pg.distinct_links(every)
 
 
 @query
@@ -255,7 +249,7 @@ def ingest_job(spark, sf):
 
 
 def fitted(spark: SparkSession, sf: str) -> lexical.LexicalIndex:
-    return lexical.fit(spread(tv.articles(spark, sf)))
+    return lexical.fit(tv.articles(spark, sf))
 
 
 @query
@@ -338,11 +332,7 @@ def rag_prompts(spark, sf):
 
 @query
 def transcripts_(spark, sf):
-    table = transcripts.transcripts(tv.table(spark, sf, "conversations"))
-    return table.select(
-        "conv_id", F.col("segmento").cast("long").alias("segmento"),
-        F.col("n_turnos").cast("long").alias("n_turnos"), "transcripcion",
-    )
+    return transcripts.transcripts(tv.table(spark, sf, "conversations"))
 
 
 # ---------------------------------------------------------------- streaming
@@ -371,7 +361,7 @@ def stream_ingest(spark, sf):
 def events_stream(spark: SparkSession, sf: str) -> DataFrame:
     return (
         spark.readStream.schema(schemas.EVENTS).option("pathGlobFilter", "events.parquet")
-        .option("maxBytesPerTrigger", st_ingest.MAX_BYTES).parquet(sf)
+        .parquet(sf)
     )
 
 

@@ -37,8 +37,9 @@ def site_of(url: Column, portals: list[dict] = fixed.PORTALS) -> Column:
 
 
 def with_portal(pages: DataFrame, portals: list[dict] = fixed.PORTALS,
-                max_portals: int = 10_000) -> DataFrame:
-    """Pages joined to their portal's settings; pages of other hosts are dropped.
+                max_portals: int = 10_000, keep_unknown: bool = False) -> DataFrame:
+    """Pages joined to their portal's settings; pages of other hosts are dropped,
+    or kept without settings.
 
     The table is built from the driver-side list, so its size is known before it
     is broadcast; a longer list is joined without the hint.
@@ -46,4 +47,5 @@ def with_portal(pages: DataFrame, portals: list[dict] = fixed.PORTALS,
     config = portal_table(pages.sparkSession, portals)
     if len(portals) <= max_portals:
         config = F.broadcast(config)
-    return pages.withColumn("sitio", site_of(F.col("url"), portals)).join(config, "sitio")
+    return pages.withColumn("sitio", site_of(F.col("url"), portals)).join(
+        config, "sitio", "left" if keep_unknown else "inner")

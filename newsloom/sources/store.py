@@ -34,7 +34,8 @@ _BATCH = T.StructField("batch_id", T.LongType(), False)
 _BUCKET = T.StructField("bucket", T.IntegerType(), False)
 OUTCOMES = T.StructType([
     T.StructField("url", T.StringType()), T.StructField("seq", T.LongType()),
-    T.StructField("hash", T.StringType()), T.StructField("stored", T.BooleanType()),
+    T.StructField("hash", T.StringType()), T.StructField("tie", T.LongType()),
+    T.StructField("stored", T.BooleanType()),
     T.StructField("changed", T.BooleanType()), T.StructField("version", T.LongType()),
     T.StructField("versions", T.LongType()), T.StructField("estado", T.StringType()),
     T.StructField("id", T.LongType()), T.StructField("fuente", T.StringType()),
@@ -137,10 +138,16 @@ class DocumentIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def read(self, before: int | None = None) -> DataFrame:
+    def _rows(self, before: int | None) -> DataFrame:
         df = read_or_empty(self.spark, self.path, T.StructType([*schemas.DOC_INDEX, _BATCH]))
         return df if before is None else df.filter(F.col("batch_id") < before)
 
+    def read(self, before: int | None = None) -> DataFrame:
+        """Each document as its latest batch wrote it; chosen on narrow columns."""
+        rows = self._rows(before)
+        latest = rows.groupBy("doc_key").agg(F.max("batch_id").alias("batch_id"))
+        return rows.join(latest, ["doc_key", "batch_id"], "left_semi").select(*rows.columns)
+
     def keys(self, before: int | None = None) -> DataFrame:
         return self.read(before).select("doc_key", "hash_texto")
 

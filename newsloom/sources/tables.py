@@ -13,16 +13,6 @@ def read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a scan that has fewer partitions than the cluster has cores.
-
-    Large tables have many more splits than cores and pass through unchanged; a
-    small file with one row group would otherwise run on a single core.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     """A table without rows, planned as an empty relation."""
     return spark.range(0).select(

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom import schemas
-from newsloom.sources.tables import spread
 
 # Keywords that occur in the generated text; the first matching topic wins.
 SAMPLE_RULES = [
@@ -102,7 +101,7 @@ def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages").select(*schemas.PAGES.names))
+    return table(spark, sf_dir, "pages").select(*schemas.PAGES.names)
 
 
 # Portals of the generated pages: hosts end in one of three domains.  Links in

@@ -28,9 +28,8 @@ def detect(rows: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """nueva / actualizada / sin_cambios of each row against the key's last one.
 
     The state of a key is its last fingerprint.  Only narrow rows reach Python.
-    A key's rows of one micro-batch are sorted in memory, so the source must bound
-    the micro-batch (``maxBytesPerTrigger``, as ``streaming.ingest.landed`` does);
-    however hot a key is, a task then holds at most that much.
+    A micro-batch holds all that has landed, in any number of files; within it rows
+    go by their order.  A key's narrow rows of one micro-batch are sorted in memory.
     ``ttl_ms`` drops the state of keys that stay silent for that long.
     """
     timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout

@@ -9,13 +9,9 @@ from newsloom import schemas
 from newsloom.sources.store import ArticleStore
 
 
-MAX_BYTES = 8 << 30  # input of one micro-batch
-
-
-def landed(spark: SparkSession, folder: str, schema: T.StructType = schemas.INCOMING,
-           max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Stream of parquet files as they land; ``max_bytes`` bounds a micro-batch."""
-    return spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes).parquet(folder)
+def landed(spark: SparkSession, folder: str, schema: T.StructType = schemas.INCOMING) -> DataFrame:
+    """Stream of parquet files as they land; a trigger takes all that has landed."""
+    return spark.readStream.schema(schema).parquet(folder)
 
 
 def ingest(stream: DataFrame, store: ArticleStore, checkpoint: str, now: str | None = None):

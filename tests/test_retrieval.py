@@ -223,3 +223,34 @@ def test_prompts_by_mode(spark):
     assert none[0].prompt is None and none[0].respuesta == fixed.RUTA_NO_CONTEXT
     assert fixed.FACT_CHECK_NO_CONTEXT in none[1].prompt
     assert fixed.GENERAL_NO_CONTEXT in none[2].prompt and none[2].fuentes == []
+
+
+def test_nearest_with_null_and_repeated_rows(spark):
+    docs = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0]), (4, [1.0]), (5, [None, 1.0])],
+        "id long, embedding array<double>")
+    queries = spark.createDataFrame([(0, [1.0, 0.1]), (7, [1.0, 0.1]), (9, None)], "query_id long, embedding array<double>")
+    for limit in (4096, 1):
+        rows = dense.nearest(docs, queries, 3, max_broadcast_queries=limit).orderBy("query_id", "rank").collect()
+        assert [(r.query_id, r.id, r["rank"]) for r in rows] == [(q, i, r) for q in (0, 7) for i, r in ((1, 1), (3, 2))]
+
+
+def test_lsh_takes_any_number_of_queries(spark):
+    docs = spark.range(40).select("id", F.array(F.cos("id"), F.sin("id")).alias("embedding"))
+    queries = docs.select(F.col("id").alias("query_id"), "embedding")
+    model = dense.lsh_model(docs, bucket_length=0.5, tables=4)
+    index = dense.lsh_index(docs, model)
+    few = sorted(map(tuple, dense.nearest_lsh(index, queries, model, 3).collect()))
+    many = sorted(map(tuple, dense.nearest_lsh(index, queries, model, 3, max_broadcast_queries=5).collect()))
+    assert few == many
+
+
+def test_refreshed_document_replaces_the_old_one(spark, tmp_path):
+    index = DocumentIndex(spark, str(tmp_path / "index"))
+    docs = corpus(spark, *DOCS)
+    indexing.index_new(index, docs, 0, make_stub)
+    edited = docs.filter("id = 0").withColumn("texto", F.lit("nuevo")).withColumn("hash_texto", F.lit("h"))
+    indexing.index_new(index, edited, 1, make_stub, refresh=True)
+    rows = index.read().filter("doc_key = 'noticia_0'").collect()
+    assert len(rows) == 1 and "nuevo" in rows[0].document and "Sindicatos" not in rows[0].document
+    assert index.read().count() == len(DOCS)

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from newsloom import schemas
 from newsloom.operators import transcripts
 from newsloom.sources.store import ArticleStore
@@ -23,7 +25,7 @@ def test_ingest_over_split_files_equals_one_batch(spark, tmp_path):
     store = ArticleStore(spark, str(tmp_path / "store"), buckets=4)
     for lo in (0, 20, 40):
         frame(rows[lo:lo + 20]).coalesce(1).write.mode("append").parquet(str(tmp_path / "land"))
-        stream = ingest.landed(spark, str(tmp_path / "land"), max_bytes=1024)
+        stream = ingest.landed(spark, str(tmp_path / "land"))
         drain(ingest.ingest(stream, store, str(tmp_path / "ck"), NOW))
     state = lambda s: (sorted((r.url, r.titulo, r.texto) for r in s.articles().collect()),
                        sorted((r.url, r.titulo, r.texto_anterior) for r in s.history().collect()))
@@ -63,10 +65,22 @@ def test_changes_keep_state_between_batches(spark, tmp_path):
                    ("k", 4, "actualizada"), ("m", 1, "nueva")]
 
 
-def test_transcript_segments_are_bounded_and_whole(spark):
-    rows = [(1, t, "user" if t % 2 else "assistant", f"m{t}") for t in range(10)] + [(2, 0, "user", "x")]
+def test_transcripts_are_whole_and_in_order(spark):
+    rows = [(1, t, "user" if t % 2 else "assistant", f"m{t}") for t in range(600)] + [(2, 0, "user", "x")]
     df = spark.createDataFrame(rows, schemas.CONVERSATIONS).repartition(3)
-    got = transcripts.transcripts(df, segment_turns=4).orderBy("conv_id", "segmento").collect()
-    assert [(r.conv_id, r.n_turnos) for r in got] == [(1, 4), (1, 4), (1, 2), (2, 1)]
-    text = "\n".join(r.transcripcion for r in got if r.conv_id == 1)
-    assert text == "\n".join(f"{r[2]}: {r[3]}" for r in rows[:10])
+    got = transcripts.transcripts(df).collect()  # partitions in order
+    assert [r.linea for r in got] == [f"{r[2]}: {r[3]}" for r in rows]
+
+
+def test_changes_do_not_depend_on_files(spark, tmp_path):
+    rows = [event(i, 1 + i % 9, i % 24, "abc"[i * i % 3]) for i in range(300)]
+    found = []
+    for n in (1, 7):
+        base = tmp_path / str(n)
+        df = spark.createDataFrame(rows, schemas.EVENTS)
+        (df.repartition(n, "event_type", "ts") if n > 1 else df.coalesce(1)).write.parquet(str(base / "land"))
+        stream = spark.readStream.schema(schemas.EVENTS).parquet(str(base / "land"))
+        keyed = changes.keyed(stream, F.col("user_id"), F.col("event_id"), F.col("event_type"))
+        drain(changes.write_changes(changes.detect(keyed), str(base / "out"), str(base / "ck")))
+        found.append(sorted(map(tuple, spark.read.parquet(str(base / "out")).collect())))
+    assert found[0] == found[1] and len(found[0]) == 300

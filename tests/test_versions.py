@@ -153,3 +153,32 @@ def test_history_reads(spark):
     direct = [r.titulo for r in versions.history_direct(u.history, "u").collect()]
     assert joined == direct == ["T2", "T1"]
     assert versions.history_for(u.history, u.current, "v").count() == 0
+
+
+def test_repeated_and_sparse_orders_match_the_sequential_model(spark):
+    """Deliveries in duplicate, equal orders, and order values far apart."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(120):
+        rows.append((f"u{i % 5}", f"t{rng.randrange(3)}", "ABC"[rng.randrange(3)], "s", None,
+                     rng.randrange(40) * 10**9))
+    rows += rng.sample(rows, 40)
+    existing = spark.createDataFrame([], schemas.ARTICLES)
+    incoming = spark.createDataFrame(rows, schemas.INCOMING).repartition(4)
+    u = versions.upsert(existing, incoming, "2026-05-20 10:00:00")
+    current = {r.url: r.texto for r in u.current.collect()}
+    assert u.current.count() == len(current) == 5
+    status = {(r.url, r.seq): r.estado for r in u.status.collect()}
+    assert u.status.count() == len(status) == len({(r[0], r[5]) for r in rows})
+    edits = 0
+    for url in current:
+        texts = []
+        for seq in sorted({r[5] for r in rows if r[0] == url}):
+            same = [r[2] for r in rows if r[0] == url and r[5] == seq]
+            text = min(same, key=lambda t: hashlib.md5(t.encode()).hexdigest())
+            want = "nueva" if not texts else "sin_cambios" if texts[-1] == text else "actualizada"
+            assert status[url, seq] == want
+            texts.append(text)
+        assert current[url] == texts[-1]
+        edits += sum(a != b for a, b in zip(texts, texts[1:]))
+    assert u.history.count() == edits
