@@ -73,9 +73,13 @@ def word_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("__sorted", F.when(
         repeats & (F.size("__win") < (1 << POSITION_BITS)),
         F.sort_array(F.transform("__win", _packed))))
+    # A column of its own: inside a lambda it would be sorted again for each element.
+    out = out.withColumn("__pairs", F.when(
+        repeats & (F.size("__win") >= (1 << POSITION_BITS)), F.array_sort(F.transform(
+            "__win", lambda h, i: F.struct(h.alias("h"), i.cast("int").alias("i"))))))
     out = out.withColumn("__at", F.when(
         F.col("__sorted").isNotNull(), _repeated_packed()).when(
-        F.size("__win") >= (1 << POSITION_BITS), _repeated_wide()).otherwise(
+        F.col("__pairs").isNotNull(), _repeated_wide()).otherwise(
         F.array().cast("array<int>")))
     covered = F.aggregate(
         F.transform("__at", lambda p, j: F.least(
@@ -94,7 +98,7 @@ def word_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_lines": F.size("__lines").cast("long"),
         "n_stop_words": F.col("__stops").cast("long"),
         "n_upper": characters(r"\p{Lu}"),
-    }).drop("__words", "__lines", "__stops", "__hash", "__win", "__sorted", "__at")
+    }).drop("__words", "__lines", "__stops", "__hash", "__win", "__sorted", "__pairs", "__at")
 
 
 def _packed(h: Column, i: Column) -> Column:
@@ -120,10 +124,8 @@ def _repeated_packed() -> Column:
 
 def _repeated_wide() -> Column:
     """The same for texts with more positions than the packed keys can hold."""
-    pairs = F.array_sort(F.transform(
-        "__win", lambda h, i: F.struct(h.alias("h"), i.cast("int").alias("i"))))
-    equal = F.filter(pairs, lambda x, j: (x["h"] == F.get(pairs, j + 1)["h"]) | (
-        x["h"] == F.get(pairs, j - 1)["h"]))
+    equal = F.filter("__pairs", lambda x, j: (x["h"] == F.get("__pairs", j + 1)["h"]) | (
+        x["h"] == F.get("__pairs", j - 1)["h"]))
     return F.sort_array(F.transform(equal, lambda x: x["i"]))
 
 
@@ -167,6 +169,9 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     rows = word_metrics(docs.select("doc_id", F.col("text")))
     rows = rows.withColumns({"base_failed": base_failed(), "broken": compiled(rules)})
-    return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"), "broken")
+    kept = (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept")
+    # Through a generator, so that no filter of a reader is pushed into the
+    # expressions above and repeats them.
+    return rows.select("doc_id", F.inline_outer(F.array(F.struct(
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        kept, "broken"))))
