@@ -363,14 +363,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with ``spans``, merged in the row; null where nothing repeats."""
-    keyed = docs.withColumn("__text", F.coalesce(F.col("text"), F.lit(""))).withColumn(
-        "__key", F.xxhash64("__text"))
+    """The rows of ``docs`` with ``__suffix_text``, null as empty, and ``__suffix_spans``.
+
+    Spans are null where nothing repeats.  Names that begin with ``__suffix_`` are
+    reserved.
+    """
+    text, key, spans = "__suffix_text", "__suffix_key", "__suffix_spans"
+    keyed = docs.withColumn(text, F.coalesce(F.col("text"), F.lit(""))).withColumn(key, F.xxhash64(text))
     narrow = keyed.where("doc_id IS NOT NULL").select(
-        "doc_id", F.col("__key").alias("key"), F.col("__text").alias("text"))
-    spans = repeated_spans(narrow).select(F.col("doc_id").alias("__doc"), F.col("key").alias("__k"), "spans")
-    return keyed.join(spans, (F.col("doc_id") == F.col("__doc")) & (F.col("__key") == F.col("__k")),
-                      "left").drop("__doc", "__k", "__key")
+        "doc_id", F.col(key).alias("key"), F.col(text).alias("text"))
+    found = repeated_spans(narrow).select(
+        F.col("doc_id").alias("__suffix_doc"), F.col("key").alias("__suffix_of"),
+        F.col("spans").alias(spans))
+    same = (F.col("doc_id") == F.col("__suffix_doc")) & (F.col(key) == F.col("__suffix_of"))
+    return keyed.join(found, same, "left").drop("__suffix_doc", "__suffix_of", key)
 
 
 def cut(data: bytes, spans) -> tuple[bytes, int, int]:
@@ -400,12 +406,12 @@ def cleaned(docs: DataFrame) -> DataFrame:
         for batch in batches:
             cols = {n: batch.column(n) for n in batch.schema.names}
             texts = [cut(t, s)[0].decode("utf-8", "ignore") for t, s in zip(
-                encoded(cols["text"].to_pylist()), cols["__spans"].to_pylist())]
+                encoded(cols["text"].to_pylist()), cols["__suffix_spans"].to_pylist())]
             keep = pa.array([bool(t.strip()) for t in texts])
             cols["text"] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], names).filter(keep)
 
-    rows = with_spans(docs).withColumnRenamed("spans", "__spans").select(*names, "__spans")
+    rows = with_spans(docs).select(*names, "__suffix_spans")
     out = rows.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
 
@@ -429,5 +435,6 @@ def digests(docs: DataFrame) -> DataFrame:
                  pa.array([o[3] for o in out], pa.string())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_spans(docs.select("doc_id", "text")).select("doc_id", "__text", "spans").mapInArrow(
+    return with_spans(docs.select("doc_id", "text")).select(
+        "doc_id", "__suffix_text", "__suffix_spans").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
