@@ -68,9 +68,9 @@ def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
 
 
 def _keep_best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
-    """First k distinct documents per query."""
-    frame = frame.drop_duplicates(["query_id", "id"])
+    """First k distinct documents per query, each with its best similarity."""
     frame = frame.sort_values(["query_id", "similitud", "id"], ascending=[True, False, True])
+    frame = frame.drop_duplicates(["query_id", "id"])
     return frame.groupby("query_id", sort=False).head(k)
 
 
@@ -78,12 +78,15 @@ def _score(ids: np.ndarray, docs: np.ndarray, qids: np.ndarray, queries: np.ndar
            k: int) -> pd.DataFrame:
     order = np.argsort(ids, kind="stable")
     ids, docs = ids[order], _unit(docs[order])
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else order
     parts = []
     for lo in range(0, len(qids), QUERY_SLICE):
         sims = np.round(docs @ queries[lo:lo + QUERY_SLICE].T, SIM_DIGITS) + 0.0
-        rows, cols = _best(ids, sims, k)
+        if len(first) < len(ids):  # an id stated more than once takes one place
+            sims = np.maximum.reduceat(sims, first, axis=0)
+        rows, cols = _best(ids[first], sims, k)
         parts.append(pd.DataFrame({
-            "query_id": qids[lo:lo + QUERY_SLICE][cols], "id": ids[rows],
+            "query_id": qids[lo:lo + QUERY_SLICE][cols], "id": ids[first][rows],
             "similitud": sims[rows, cols],
         }))
     return pd.concat(parts) if parts else pd.DataFrame(columns=["query_id", "id", "similitud"])
@@ -155,9 +158,7 @@ def _bounded(queries: DataFrame, limit: int) -> pd.DataFrame | None:
 
 def usable(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose vectors can be compared: not NULL, without NULL parts, of the
-    dimension most queries have; one row per document id, its least vector.
-
-    A zero vector is similar to nothing (0.0), in exact and in hashed search.
+    dimension most queries have.  A zero vector is similar to nothing (0.0).
     """
     def whole(df: DataFrame) -> DataFrame:
         return df.filter(F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull()))
@@ -166,12 +167,12 @@ def usable(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = queries.groupBy(F.size("embedding").alias("n")).count()
     width = sizes.orderBy(F.desc("count"), "n").first()
     fits = F.size("embedding") == (width["n"] if width else 0)
-    folded = whole(docs).filter(fits).groupBy("id").agg(F.min("embedding").alias("embedding"))
-    return folded, queries.filter(fits)
+    return whole(docs).filter(fits), queries.filter(fits)
 
 
 def rank(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("similitud"), F.asc("id"))
+    scored = scored.groupBy("query_id", "id").agg(F.max("similitud").alias("similitud"))
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -304,7 +305,7 @@ def nearest_lsh(index: DataFrame, queries: DataFrame, model, k: int = fixed.DENS
     ))
     candidates = index.join(reached, ["tabla", "cubeta"], "left_semi")
     scored = candidates.select("tabla", "cubeta", "id", "embedding").mapInArrow(run, HITS)
-    return rank(scored.distinct(), k)
+    return rank(scored, k)
 
 
 # ------------------------------------------------------------------ embedding
