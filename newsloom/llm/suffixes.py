@@ -88,8 +88,9 @@ def _segment(data: bytes, at: int, length: int, core: int) -> dict[str, np.ndarr
     span = (last - first + length).astype(np.uint64) << np.uint64(32)
     context = mix((total[last + length] - total[first]) * down[first])
     context = mix(context ^ span ^ (anchor - first).astype(np.uint64))
+    # Least hashes are small: mixed again, they spread over the buckets.
     return {"first": first + at, "last": last + at, "anchor": anchor + at,
-            "core": grams[anchor], "context": context}
+            "core": mix(grams[anchor] ^ np.uint64(1)), "context": context}
 
 
 def encoded(texts: list[str | None]) -> list[bytes]:
