@@ -65,8 +65,9 @@ def packed_counts(docs: DataFrame, buckets: int) -> DataFrame:
                         for j, (x, y) in enumerate(zip(cut[:-1], cut[1:]))]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([name] * len(rows), pa.binary()), pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([doc] * len(rows), pa.binary()), pa.array([r[1] for r in rows], pa.binary()),
-                    pa.array([r[2] for r in rows], pa.binary()),
+                    # One row of the chunk lists its documents.
+                    pa.array([doc] + [None] * (len(rows) - 1), pa.binary()),
+                    pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()),
                 ], ["chunk", "bucket", "ids", "sizes", "keys"])
 
     return docs.mapInArrow(run, "chunk binary, bucket long, ids binary, sizes binary, keys binary")
@@ -96,7 +97,8 @@ def by_document(pdf: pd.DataFrame) -> pd.DataFrame:
     def total(col):
         return np.sum([np.frombuffer(x, "<u4") for x in pdf[col]], axis=0, dtype=np.int64)
 
-    return pd.DataFrame({"doc_id": np.frombuffer(pdf["ids"].iloc[0], "<i8"),
+    ids = next(x for x in pdf["ids"] if x is not None)
+    return pd.DataFrame({"doc_id": np.frombuffer(ids, "<i8"),
                          "n_shingles": total("sizes"), "shared": total("shared")})
 
 
@@ -322,8 +324,9 @@ def classes(docs: DataFrame) -> DataFrame:
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     every = written(counted(docs), "shingle-counts")
     wanted = every.where(f"n_shingles > 0 AND {OF} * shared >= {PARTS} * n_shingles")
-    found = written(shingle_sets(docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")),
-                    "shingle-sets")
+    # Both grow with the input, so the plan is the same at every size: no broadcast.
+    chosen = docs.hint("merge").join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    found = written(shingle_sets(chosen), "shingle-sets")
     folded = written(found.groupBy("sig").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "equal-sets")
     reps = found.join(folded.select("sig", F.col("rep").alias("doc_id"), "copies"), ["sig", "doc_id"])
