@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from newsloom.llm.shingles import chunks
 from newsloom.session import work_dir
 
 END = 0
-#: Text handed to the tokenizer at once; its encodings take many times that.
-CHUNK_CHARS = 1 << 18
+#: Text encoded together.
+CHUNK_CHARS = 1 << 19
+#: A single space between two other characters begins a word.
+WORD_START = re.compile(r"(?<=\S)(?= \S)")
+MIXED_SPACE = re.compile(r"\s | \s|^ | $")
 FILE_SCHEMA = "doc_id long, start_in_file long, n_tokens long, ids array<int>"
 
 #: Ids as dictionary indices, counts and positions as deltas; small pages with an
@@ -40,6 +46,64 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+_CACHES: dict[str, WordCache] = {}
+
+
+class WordCache:
+    """Ids of texts by way of their words, each of which is encoded once.
+
+    The vocabularies used here never merge across a single space between two other
+    characters: there a word begins.  A text is cut at those places only, so any
+    run of white space stays within one piece, and the ids of the pieces are those
+    of the text.  The first ``limit`` pieces are kept, later ones encoded each time.
+    A key is a piece less the space it begins with, or a piece without one after a
+    space; both cannot meet, as no piece begins with two.
+    """
+
+    def __init__(self, tokenizer, limit: int = 400_000):
+        self.many = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        self.limit = limit
+        self.number: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each has."""
+        keys, counts = [], []
+        for t in texts:
+            if MIXED_SPACE.search(t):
+                found = [w[1:] if w[:1] == " " and w[1:2].strip() else " " + w
+                         for w in WORD_START.split(t)]
+            else:
+                found = t.split(" ")
+                found[0] = " " + found[0]
+            keys.extend(found)
+            counts.append(len(found))
+        known, held = self.number, len(self.number)
+        new = [w for w in dict.fromkeys(keys) if w not in known]
+        known.update(zip(new, range(held, held + len(new))))
+        ids, ends = self.ids, self.ends
+        if new:
+            coded = [e.ids for e in self.many(
+                [w[1:] if w[0] == " " else " " + w for w in new], add_special_tokens=False)]
+            sizes = np.array([len(c) for c in coded], np.int64)
+            flat = np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum()))
+            ends = np.concatenate([ends, len(ids) + np.cumsum(sizes)])
+            ids = np.concatenate([ids, flat])
+        at = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
+        if len(known) <= self.limit:
+            self.ids, self.ends = ids, ends
+        else:
+            for w in new:
+                del known[w]
+        starts = np.concatenate([[0], ends[:-1]])[at]
+        sizes = ends[at] - starts
+        before = np.cumsum(sizes) - sizes
+        index = np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        edges = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        return ids[index], np.diff(total[edges])
+
+
 def encoder(vocabulary: str | None, end: int = END):
     """A function for ``mapInArrow``: (doc_id, text) to the rows of FILE_SCHEMA."""
 
@@ -47,28 +111,23 @@ def encoder(vocabulary: str | None, end: int = END):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(vocabulary or default_vocabulary())
-        many = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        path = vocabulary or default_vocabulary()
+        if path not in _CACHES:  # one for all tasks of a worker
+            _CACHES[path] = WordCache(Tokenizer.from_file(path))
+        cache = _CACHES[path]
         start = 0
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            low = 0
-            while low < len(docs):
-                high, chars = low, 0
-                while high < len(docs) and (high == low or chars + len(texts[high]) <= CHUNK_CHARS):
-                    chars += len(texts[high])
-                    high += 1
-                coded = [np.array([*e.ids, end], np.int32)
-                         for e in many(texts[low:high], add_special_tokens=False)]
-                sizes = np.array([len(c) for c in coded], np.int64)
-                starts = start + np.cumsum(sizes) - sizes
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            docs, texts = batch.column(0), batch.column(1).to_pylist()
+            for a, b in chunks(texts, CHUNK_CHARS):
+                ids, sizes = cache.encode(texts[a:b])
+                ids = np.insert(ids, np.cumsum(sizes), end)
+                sizes = sizes + 1
+                offsets = np.concatenate([[0], np.cumsum(sizes)])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(docs[low:high], pa.int64()), pa.array(starts), pa.array(sizes),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(coded))),
+                    docs.slice(a, b - a), pa.array(start + offsets[:-1]), pa.array(sizes),
+                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)),
                 ], ["doc_id", "start_in_file", "n_tokens", "ids"])
-                start += int(sizes.sum())
-                low = high
+                start += int(offsets[-1])
 
     return encode
 
