@@ -1,7 +1,7 @@
 """N-gram Jaccard join by prefix trees over globally ordered shingle sets.
 
-1.  A document can only have a partner if at least nine tenths of its shingles
-    occur in another document.  Shingles are counted by buckets of their hash, as
+1.  A document can only have a partner if as large a part of its shingles as the
+    similarity asked for occurs in another document.  Shingles are counted by buckets of their hash, as
     packed arrays; what passes has copies, near copies or shared passages.
 2.  Equal sets are folded to the smallest doc_id and the rest ordered globally by
     document frequency.  Linked sets share one of the rarest shingles of each, so
@@ -28,6 +28,8 @@ from newsloom.llm.common import written
 from newsloom.llm.components import components
 from newsloom.llm.shingles import chunks, sets
 
+#: Words of a shingle, and the least similarity of a link as a fraction: those of op10.
+WORDS = 3
 PARTS, OF = 90, 100
 CHUNK_CHARS = 1 << 22
 #: Shingles counted together in one bucket, about.
@@ -39,11 +41,11 @@ CELLS = 100_000_000
 GROUP = 2_000_000
 
 
-def enough(inter, size_a, size_b):
-    return OF * inter >= PARTS * (size_a + size_b - inter)
+def enough(inter, size_a, size_b, parts: int = PARTS):
+    return OF * inter >= parts * (size_a + size_b - inter)
 
 
-def packed_counts(docs: DataFrame, buckets: int) -> DataFrame:
+def packed_counts(docs: DataFrame, buckets: int, k: int = WORDS) -> DataFrame:
     """Rows (chunk, bucket, ids, sizes, keys): the shingles of a run of documents, by bucket."""
     shift, low = np.uint64(64 - (buckets - 1).bit_length()), np.uint64(16)
 
@@ -51,7 +53,7 @@ def packed_counts(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in chunks(texts, CHUNK_CHARS):
-                found = sets(texts[a:b])
+                found = sets(texts[a:b], k)
                 every = np.concatenate(found)
                 owner = np.repeat(np.arange(b - a), [len(x) for x in found])
                 home = (every >> shift).astype(np.int64)
@@ -102,25 +104,25 @@ def by_document(pdf: pd.DataFrame) -> pd.DataFrame:
                          "n_shingles": total("sizes"), "shared": total("shared")})
 
 
-def counted(docs: DataFrame) -> DataFrame:
+def counted(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, shared) of every document."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = 1 << max(4, int(np.ceil(np.log2(max(chars / 6 / BUCKET, 1)))))
-    rows = packed_counts(docs, buckets)
+    rows = packed_counts(docs, buckets, k)
     rows = rows.groupBy("bucket").applyInPandas(
         shared_in_bucket, "chunk binary, ids binary, sizes binary, shared binary")
     return rows.groupBy("chunk").applyInPandas(
         by_document, "doc_id long, n_shingles long, shared long")
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
+def shingle_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """(doc_id, sig, n, tokens): the set of each document and a digest of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in chunks(texts, CHUNK_CHARS):
-                found = [x.view(np.int64) for x in sets(texts[a:b])]
+                found = [x.view(np.int64) for x in sets(texts[a:b], k)]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(a, b - a),
@@ -133,17 +135,17 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, sig binary, n long, tokens array<long>")
 
 
-def ordered(reps: DataFrame) -> DataFrame:
+def ordered(reps: DataFrame, parts: int = PARTS) -> DataFrame:
     """(rep, copies, n, tokens): shingles of two or more sets, most frequent first, with prefix.
 
-    ``prefix`` holds those of the n - ceil(0.9 n) + 1 rarest shingles that occur
+    ``prefix`` holds those of the n - ceil(n parts / OF) + 1 rarest shingles that occur
     elsewhere; sets without any have no partner and go.
     """
     rows = reps.select("rep", "n", F.explode("tokens").alias("token"))
     common = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     kept = rows.join(common, "token").groupBy("rep", "n").agg(
         F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
-    rare = F.col("n") - F.ceil(F.col("n") * PARTS / OF) + 1 - (F.col("n") - F.size("ranked"))
+    rare = F.col("n") - F.ceil(F.col("n") * parts / OF) + 1 - (F.col("n") - F.size("ranked"))
     kept = kept.where(rare > 0).withColumns({
         "prefix": F.slice(F.col("ranked.token"), F.lit(1), rare.cast("int")),
         "tokens": F.reverse(F.col("ranked")),
@@ -193,7 +195,7 @@ def trie(rows: list[np.ndarray], sizes: np.ndarray) -> Node:
     return root
 
 
-def walk(root: Node, has: np.ndarray, size_q: np.ndarray, size_t: np.ndarray
+def walk(root: Node, has: np.ndarray, size_q: np.ndarray, size_t: np.ndarray, parts: int = PARTS
          ) -> Iterator[tuple[int, np.ndarray]]:
     """(leaf set, linked query sets); ``has`` marks by rank which query sets hold a shingle."""
     many = has.shape[1]
@@ -206,20 +208,20 @@ def walk(root: Node, has: np.ndarray, size_q: np.ndarray, size_t: np.ndarray
             else:
                 inter = inter + has[node.run].sum(0, dtype=np.int32)[live]
         reach = inter + node.longest
-        fit = enough(reach, size_q[live], np.maximum(node.least, reach))
+        fit = enough(reach, size_q[live], np.maximum(node.least, reach), parts)
         live, inter = live[fit], inter[fit]
         if not len(live):
             continue
         for leaf in node.leaves:
-            ok = enough(inter, size_q[live], size_t[leaf])
+            ok = enough(inter, size_q[live], size_t[leaf], parts)
             if ok.any():
                 yield leaf, live[ok]
         for child in node.children:
             stack.append((child, live, inter))
 
 
-def linked(q: list[np.ndarray], size_q: np.ndarray, t: list[np.ndarray], size_t: np.ndarray
-           ) -> Iterator[tuple[int, np.ndarray]]:
+def linked(q: list[np.ndarray], size_q: np.ndarray, t: list[np.ndarray], size_t: np.ndarray,
+           parts: int = PARTS) -> Iterator[tuple[int, np.ndarray]]:
     """Pairs of the two blocks that link, each block's sets as sorted frequency ranks."""
     if not q or not t:
         return
@@ -227,13 +229,13 @@ def linked(q: list[np.ndarray], size_q: np.ndarray, t: list[np.ndarray], size_t:
     if len(q) * len(used) > CELLS and max(len(q), len(t)) > 1:
         if len(q) >= len(t):
             half = len(q) // 2
-            yield from linked(q[:half], size_q[:half], t, size_t)
-            for leaf, live in linked(q[half:], size_q[half:], t, size_t):
+            yield from linked(q[:half], size_q[:half], t, size_t, parts)
+            for leaf, live in linked(q[half:], size_q[half:], t, size_t, parts):
                 yield leaf, live + half
         else:
             half = len(t) // 2
-            yield from linked(q, size_q, t[:half], size_t[:half])
-            for leaf, live in linked(q, size_q, t[half:], size_t[half:]):
+            yield from linked(q, size_q, t[:half], size_t[:half], parts)
+            for leaf, live in linked(q, size_q, t[half:], size_t[half:], parts):
                 yield leaf + half, live
         return
 
@@ -244,10 +246,10 @@ def linked(q: list[np.ndarray], size_q: np.ndarray, t: list[np.ndarray], size_t:
     has = np.zeros((len(used), len(q)), np.uint8)
     for i, x in enumerate(q):
         has[places(x), i] = 1
-    yield from walk(trie([places(x) for x in t], size_t), has, size_q, size_t)
+    yield from walk(trie([places(x) for x in t], size_t), has, size_q, size_t, parts)
 
 
-def join_cluster(pdf: pd.DataFrame) -> Iterator[tuple[int, int, int]]:
+def join_cluster(pdf: pd.DataFrame, parts: int = PARTS) -> Iterator[tuple[int, int, int]]:
     """(rep, other, links): a spanning set of links, and each set's number of linked documents.
 
     Rows with ``side`` 0 are queries, 1 the trie, 2 both.
@@ -267,7 +269,7 @@ def join_cluster(pdf: pd.DataFrame) -> Iterator[tuple[int, int, int]]:
     count = np.zeros(len(pdf), np.int64)
     alone = bool((side == 2).all())
     for leaf, live in linked([rows[i] for i in queries], n[queries],
-                             [rows[i] for i in stored], n[stored]):
+                             [rows[i] for i in stored], n[stored], parts):
         y, xs = stored[leaf], queries[live]
         xs = xs[xs != y]
         count[xs] += copies[y]
@@ -282,7 +284,7 @@ def join_cluster(pdf: pd.DataFrame) -> Iterator[tuple[int, int, int]]:
         yield int(rep[i]), int(rep[i]), int(count[i])
 
 
-def cluster_links(sets_: DataFrame) -> DataFrame:
+def cluster_links(sets_: DataFrame, parts: int = PARTS) -> DataFrame:
     """(a, b, links) of all clusters; ``sets_`` has cluster, rep, copies, n, tokens, dfs.
 
     A cluster beyond BLOCK members is cut into blocks; each pair of blocks is one
@@ -306,39 +308,39 @@ def cluster_links(sets_: DataFrame) -> DataFrame:
         out = []
         for _, part_ in pdf.groupby(["cluster", "i", "j"], sort=False):
             if len(part_) > 1:
-                out.extend(join_cluster(part_))
+                out.extend(join_cluster(part_, parts))
         return pd.DataFrame(out, columns=["a", "b", "links"])
 
     return rows.groupBy("task").applyInPandas(run, "a long, b long, links long")
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, k: int = WORDS, parts: int = PARTS) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of every document.
 
-    Documents link when their sets of three-word shingles have a Jaccard similarity
-    of 0.9 or more; a document with one or two words has one shingle.  Null, empty
+    Documents link when their sets of ``k``-word shingles have a Jaccard similarity
+    of ``parts`` / OF or more; a document with fewer words has one shingle.  Null, empty
     and blank texts have none and stand alone.  doc_id names a document: rows that
     repeat it fall into one class, rows without it are left out.  Extra columns are
     ignored.
     """
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    every = written(counted(docs), "shingle-counts")
-    wanted = every.where(f"n_shingles > 0 AND {OF} * shared >= {PARTS} * n_shingles")
+    every = written(counted(docs, k), "shingle-counts")
+    wanted = every.where(f"n_shingles > 0 AND {OF} * shared >= {parts} * n_shingles")
     # Both grow with the input, so the plan is the same at every size: no broadcast.
     chosen = docs.hint("merge").join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
-    found = written(shingle_sets(chosen), "shingle-sets")
+    found = written(shingle_sets(chosen, k), "shingle-sets")
     folded = written(found.groupBy("sig").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "equal-sets")
     reps = found.join(folded.select("sig", F.col("rep").alias("doc_id"), "copies"), ["sig", "doc_id"])
     reps = reps.dropDuplicates(["doc_id", "sig"]).withColumnRenamed("doc_id", "rep")
-    rows = written(ordered(reps), "ordered-sets")
+    rows = written(ordered(reps, parts), "ordered-sets")
     near = rows.select("rep", F.explode("prefix").alias("token"))
     hub = near.groupBy("token").agg(F.min("rep").alias("hub"))
     cluster = components(near.join(hub, "token").select(
         F.col("rep").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct())
     inner = rows.join(cluster.withColumnRenamed("node", "rep").withColumnRenamed(
         "component", "cluster"), "rep").join(folded.select("rep", "copies"), "rep")
-    links = written(cluster_links(inner.select("cluster", "rep", "copies", "n", "tokens", "dfs")), "set-links")
+    links = written(cluster_links(inner.select("cluster", "rep", "copies", "n", "tokens", "dfs"), parts), "set-links")
     joined = components(links.where("a <> b").select("a", "b"))
     counts = links.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     of_set = folded.join(joined.withColumnRenamed("node", "rep"), "rep", "left").join(

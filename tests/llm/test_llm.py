@@ -540,6 +540,43 @@ def test_pipeline_stages(spark, docs, rows):
     assert last.agg(F.sum("n_tokens")).first()[0] == sum(len(words(r["text"])) for r in fourth.collect())
 
 
+def test_near_duplicates_of_five_words(spark, monkeypatch):
+    """The stage links from 0.8 over five-word shingles, also what op10's rule leaves apart."""
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    rng = random.Random(12)
+    data = [(0, None), (1, ""), (2, "a b c d"), (3, "A b C d"), (4, "a b c d e"), (5, "a b c")]
+    for _ in range(6):
+        base = prose(rng, rng.randrange(40, 160), 3000).split()
+        for _ in range(14):
+            w = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                w[rng.randrange(len(w))] = "e%d" % rng.randrange(10**6)
+            data.append((len(data), " ".join(w)))
+    sets_ = {i: {tuple(w[j:j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set())
+             for i, w in ((i, words((t or "").lower())) for i, t in data)}
+    parent, links = {i: i for i in sets_}, Counter()
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in sets_:
+        for b in sets_:
+            n = len(sets_[a] & sets_[b])
+            if a < b and n and 100 * n >= 80 * len(sets_[a] | sets_[b]):
+                links.update((a, b))
+                p, q = find(a), find(b)
+                parent[max(p, q)] = min(p, q)
+    want = sorted(((i, len(s), find(i), links[i]) for i, s in sets_.items()), key=repr)
+    df = spark.createDataFrame(rng.sample(data, len(data)), "doc_id long, text string").repartition(4)
+    assert got(jaccard.classes(df, 5, 80), "doc_id", "n_shingles", "component_id", "n_links") == want
+    kept = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+    assert sorted(kept) == sorted(i for i, _, c, _ in want if i == c)
+    narrow = [i for i, _, c, _ in plain_classes(data) if i == c]
+    assert len(kept) < len(narrow)
+
+
 def test_stages_take_empty_tables(spark):
     docs = spark.createDataFrame([], T._parse_datatype_string(DOCS))
     for _, stage in corpus_pipeline.STAGES:
