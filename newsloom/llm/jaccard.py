@@ -17,16 +17,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import written
 from newsloom.llm.components import components
-from newsloom.llm.shingles import chunks, sets
+from newsloom.llm.shingles import chunk_name, chunks, sets
 
 #: Words of a shingle, and the least similarity of a link as a fraction: those of op10.
 WORDS = 3
@@ -50,6 +52,7 @@ def packed_counts(docs: DataFrame, buckets: int, k: int = WORDS) -> DataFrame:
     shift, low = np.uint64(64 - (buckets - 1).bit_length()), np.uint64(16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partition, number = TaskContext.get().partitionId(), count()
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in chunks(texts, CHUNK_CHARS):
@@ -61,7 +64,7 @@ def packed_counts(docs: DataFrame, buckets: int, k: int = WORDS) -> DataFrame:
                 order = np.argsort(home, kind="stable")
                 cut = np.searchsorted(home[order], np.arange(buckets + 1))
                 doc = ids[a:b].astype("<i8").tobytes()
-                name = hashlib.blake2b(doc, digest_size=16).digest()
+                name = chunk_name(doc, partition, next(number))
                 rows = [(j, np.bincount(owner[order[x:y]], minlength=b - a).astype("<u4").tobytes(),
                          keys[order[x:y]].astype("<u4").tobytes())
                         for j, (x, y) in enumerate(zip(cut[:-1], cut[1:]))]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,3 +73,9 @@ def chunks(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
         held += len(t)
     if texts:
         yield low, len(texts)
+
+
+def chunk_name(content: bytes, partition: int, number: int) -> bytes:
+    """Digest of a chunk's content and place: equal chunks of repeated rows stay apart."""
+    place = np.array([partition, number], "<i8").tobytes()
+    return hashlib.blake2b(place + content, digest_size=16).digest()

@@ -21,15 +21,17 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import written
-from newsloom.llm.shingles import chunks, mix
+from newsloom.llm.shingles import chunk_name, chunks, mix
 
 LENGTH = 400
 CORE = 100
@@ -102,6 +104,7 @@ def anchors(docs: DataFrame, buckets: int) -> DataFrame:
     shift = np.uint64(64 - (buckets - 1).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partition, number = TaskContext.get().partitionId(), count()
         for batch in batches:
             texts = batch.column(2).to_pylist()
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -113,7 +116,7 @@ def anchors(docs: DataFrame, buckets: int) -> DataFrame:
                 core = np.concatenate([f["core"] for f in found])
                 context = np.concatenate([f["context"] for f in found])
                 docs_ = np.stack([ids[a:b], keys[a:b], sizes], 1).astype("<i8").tobytes()
-                name = hashlib.blake2b(docs_, digest_size=16).digest()
+                name = chunk_name(docs_, partition, next(number))
                 home = (core >> shift).astype(np.int64)
                 order = np.argsort(home, kind="stable")
                 cut = np.searchsorted(home[order], np.arange(buckets + 1))

@@ -365,6 +365,32 @@ def test_suffix_dedup(spark, rows, docs, none, segment, monkeypatch):
     assert suffixes.digests(docs).count() == len(rows)
 
 
+@pytest.mark.parametrize("batch", [10000, 1])
+def test_suffix_dedup_of_a_table_delivered_twice(spark, batch):
+    """Equal chunks, of two deliveries or of rows alone in their batches, stay apart."""
+    rng = random.Random(14)
+    data = [(i, prose(rng, rng.randrange(40, 160), 4000)) for i in range(24)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        out = got(suffixes.digests(df.union(df)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    twice = data + data
+    assert out == sorted(((r[0], *w) for r, w in zip(twice, plain_repeats([t for _, t in twice]))), key=repr)
+
+
+def test_suffix_dedup_of_a_lone_long_text(spark):
+    """A text beyond the size of a chunk is one of its own, each time it is stated."""
+    rng = random.Random(15)
+    text = prose(rng, suffixes.CHUNK_CHARS // 4, 10**6)
+    assert len(text) > suffixes.CHUNK_CHARS
+    df = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string").repartition(2)
+    empty = hashlib.sha256(b"").hexdigest()
+    assert got(suffixes.digests(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == [
+        (1, len(text), len(text), 1, empty)] * 2
+
+
 def test_loser_tree_order_and_prefixes():
     rng = random.Random(4)
     runs = [[(bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 12))), b"", i * 100 + j, 0)
@@ -497,6 +523,16 @@ def test_jaccard_classes(spark, block, monkeypatch, none):
     assert jaccard.classes(none).count() == 0
 
 
+def test_jaccard_counts_of_a_table_delivered_twice(spark):
+    """Each row is counted by itself; equal chunks are not added up."""
+    rng = random.Random(16)
+    data = [(i, prose(rng, rng.randrange(0, 60), 4000)) for i in range(30)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    sizes = {i: n for i, n, *_ in plain_classes(data)}
+    out = got(jaccard.counted(df.union(df)), "doc_id", "n_shingles", "shared")
+    assert out == sorted([(i, n, n) for i, n in sizes.items()] * 2, key=repr)
+
+
 def test_trie_split_by_cells(monkeypatch):
     rng = np.random.default_rng(3)
     sets_ = [np.unique(rng.integers(0, 40, 30)) for _ in range(40)]
