@@ -84,7 +84,8 @@ def base(text: Column) -> dict[str, Column]:
         return F.regexp_count(t, F.lit(ALNUM)).cast("long")
 
     found = F.size("__places") > 0
-    first = F.substring(text, F.lit(1), F.regexp_instr(text, F.lit(PLACE)) - 1)
+    # Prefixes are taken by the pattern itself: places count UTF-16 units, substrings characters.
+    first = F.regexp_extract(text, PLACE.replace("(?i)", "(?is)^(.*?)"), 1)
     final = F.regexp_extract(text, PLACE.replace("(?i)", "(?is)^(.*)"), 1)
     names = F.create_map(*[F.lit(x) for kv in PHRASES.items() for x in kv])
     label = F.transform("__places", lambda p: F.element_at(

@@ -477,6 +477,14 @@ def test_license_scan(spark, docs, rows, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_license_places_after_characters_beyond_16_bits(spark):
+    texts = ["\U0001F600 mit license", "a " + "\U0001F600" * 12 + " b mit license",
+             "\U00020000 x\ny \U0001F600 CC by\n\U0001F600 apache license \U0001F600", "\U0001F600mit license"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert got(licenses.scan(df), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == [
+        (i, *plain_base(t)) for i, t in enumerate(texts)]
+
+
 # --- op10 -----------------------------------------------------------------
 
 def plain_classes(rows):
