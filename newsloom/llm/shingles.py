@@ -7,8 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RANDOM = np.random.default_rng(10).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -25,7 +25,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     parts = [t.encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
     ends = np.cumsum([len(p) + 1 for p in parts]) + 1
     data = np.frombuffer(b" " + b" ".join(parts) + b" ", np.uint8)
-    inside = ~_SPACE[data]
+    inside = ~SPACE[data]
     edge = np.diff(inside.astype(np.int8))
     start, end = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
     if not len(start):

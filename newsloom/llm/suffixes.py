@@ -14,6 +14,9 @@ A stretch is the run of windows with one anchor, its context the bytes they cove
     suffixes in order with their common prefixes.  Neighbours that share the core
     are one class: a window is repeated if its bytes right of the anchor lie within
     the common prefix with another member and those left of it are the same.
+
+A string may also be one of words (``Strings(words=True)``): each word stands as a
+hash of eight bytes, and lengths and places count words instead of bytes.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import written
-from newsloom.llm.shingles import chunk_name, chunks, mix
+from newsloom.llm.shingles import SPACE, chunk_name, chunks, mix
 
 LENGTH = 400
 CORE = 100
@@ -43,6 +47,21 @@ PLACE_BITS = 20
 BUCKET_CHARS = 1 << 25
 LIVE, FIRST, MANY = 1, 2, 4
 
+
+class Strings(NamedTuple):
+    """What counts as a repeat: strings of ``length`` bytes, or words."""
+
+    length: int = LENGTH
+    core: int = CORE  # shorter than ``length``; anchors are strings of this length
+    words: bool = False
+
+    @property
+    def unit(self) -> int:
+        return 8 if self.words else 1
+
+
+BYTES = Strings()
+
 _RANDOM = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
@@ -59,21 +78,22 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def stretches(data: bytes, length: int = LENGTH, core: int = CORE) -> dict[str, np.ndarray]:
+def stretches(data: bytes, kind: Strings = BYTES) -> dict[str, np.ndarray]:
     """first, last window and anchor of each stretch; hashes of its core and its context."""
-    found = [_segment(data, at, length, core)
-             for at in range(0, max(len(data) - length + 1, 0), SEGMENT)]
+    found = [_segment(data, at, kind)
+             for at in range(0, max(len(data) // kind.unit - kind.length + 1, 0), SEGMENT)]
     names = ("first", "last", "anchor", "core", "context")
     if not found:
         return {n: np.zeros(0, np.uint64 if n in ("core", "context") else np.int64) for n in names}
     return {n: np.concatenate([f[n] for f in found]) for n in names}
 
 
-def _segment(data: bytes, at: int, length: int, core: int) -> dict[str, np.ndarray]:
-    text = np.frombuffer(data, np.uint8)[at:at + SEGMENT + length - 1]
+def _segment(data: bytes, at: int, kind: Strings) -> dict[str, np.ndarray]:
+    length, core = kind.length, kind.core
+    text = np.frombuffer(data, np.uint64 if kind.words else np.uint8)[at:at + SEGMENT + length - 1]
     up, down = powers(len(text) + 1)
     total = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum(_RANDOM[text] * up[:len(text)], out=total[1:])
+    np.cumsum((text if kind.words else _RANDOM[text]) * up[:len(text)], out=total[1:])
     grams = mix((total[core:] - total[:-core]) * down[:len(text) - core + 1])
     wide = length - core + 1
     low = np.uint64((1 << PLACE_BITS) - 1)
@@ -99,7 +119,27 @@ def encoded(texts: list[str | None]) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 
 
-def anchors(docs: DataFrame, buckets: int) -> DataFrame:
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word, and the byte after its last."""
+    edge = np.diff(np.concatenate([[0], (~SPACE[np.frombuffer(data, np.uint8)]).view(np.int8), [0]]))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def word_codes(data: bytes) -> bytes:
+    """Eight bytes for each word of a text, a hash of the word."""
+    start, end = word_places(data)
+    up, down = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_RANDOM[np.frombuffer(data, np.uint8)] * up[:len(data)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)).tobytes()
+
+
+def sequences(texts: list[str | None], kind: Strings) -> list[bytes]:
+    data = encoded(texts)
+    return [word_codes(d) for d in data] if kind.words else data
+
+
+def anchors(docs: DataFrame, buckets: int, kind: Strings = BYTES) -> DataFrame:
     """Rows (chunk, bucket, docs, at, core, context): hashes of the stretches of some texts."""
     shift = np.uint64(64 - (buckets - 1).bit_length())
 
@@ -109,7 +149,7 @@ def anchors(docs: DataFrame, buckets: int) -> DataFrame:
             texts = batch.column(2).to_pylist()
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for a, b in chunks(texts, CHUNK_CHARS):
-                found = [stretches(t) for t in encoded(texts[a:b])]
+                found = [stretches(t, kind) for t in sequences(texts[a:b], kind)]
                 sizes = np.array([len(f["core"]) for f in found], np.int64)
                 if not sizes.sum():
                     continue
@@ -134,6 +174,11 @@ def anchors(docs: DataFrame, buckets: int) -> DataFrame:
         run, "chunk binary, bucket long, at binary, core binary, context binary, docs binary")
 
 
+def column(values) -> pd.Series:
+    """Bytes or lists as they are, also where there are none: no other type is guessed."""
+    return pd.Series(list(values), dtype=object)
+
+
 def count_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     """Flags of each stretch: anchor repeated, first with its context, context repeated."""
     core = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["core"]])
@@ -150,7 +195,7 @@ def count_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     flags = np.where(live, LIVE + FIRST * lead + MANY * many, 0).astype(np.uint8)
     cut = np.cumsum([len(x) // 8 for x in pdf["core"]])[:-1]
     return pd.DataFrame({"chunk": pdf["chunk"], "at": pdf["at"], "docs": pdf["docs"],
-                         "flags": [f.tobytes() for f in np.split(flags, cut)]})
+                         "flags": column(f.tobytes() for f in np.split(flags, cut))})
 
 
 def flags_by_document(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -162,7 +207,7 @@ def flags_by_document(pdf: pd.DataFrame) -> pd.DataFrame:
     parts = np.split(flags, np.cumsum(sizes)[:-1])
     keep = [i for i, p in enumerate(parts) if p.any()]
     return pd.DataFrame({"doc_id": ids[keep], "key": keys[keep],
-                         "flags": [parts[i].tobytes() for i in keep]})
+                         "flags": column(parts[i].tobytes() for i in keep)})
 
 
 def front_coded(rows: list[tuple[bytes, bytes, int, int]]) -> dict[str, bytes]:
@@ -256,18 +301,19 @@ class LoserTree:
             self.top = winner
 
 
-def decide(members: list[tuple[int, bytes, tuple[bytes, int, int]]], length: int = LENGTH
+def decide(members: list[tuple[int, bytes, tuple[bytes, int, int]]], kind: Strings = BYTES
            ) -> Iterator[tuple[int, list[int]]]:
     """(context hash, repeated windows as first and last in pairs) for a class in suffix order."""
+    unit, length = kind.unit, kind.length * kind.unit
     hit = [set() for _ in members]
     reach = [(len(left), len(left) + len(suffix) - length) for _, suffix, (left, _, _) in members]
     for i, (_, _, (_, _, flags)) in enumerate(members):
         if flags & MANY:
-            hit[i].update(range(reach[i][1] + 1))
+            hit[i].update(range(0, reach[i][1] + 1, unit))
     if len(members) > 1:
         # ``o`` bytes of the window lie left of the anchor.
         low = min(r[0] - r[1] for r in reach)
-        for o in range(low, max(r[0] for r in reach) + 1):
+        for o in range(low, max(r[0] for r in reach) + 1, unit):
             groups, group = defaultdict(list), 0
             for i, (shared, _, (left, _, _)) in enumerate(members):
                 if i and shared < length - o:
@@ -280,35 +326,37 @@ def decide(members: list[tuple[int, bytes, tuple[bytes, int, int]]], length: int
                         hit[i].add(reach[i][0] - o)
     for (_, _, (_, name, _)), found in zip(members, hit):
         if found:
-            p = np.array(sorted(found))
+            p = np.array(sorted(found)) // unit
             cut = np.flatnonzero(np.diff(p) > 1)
             yield name, np.stack([p[np.append(0, cut + 1)], p[np.append(cut, len(p) - 1)]], 1).ravel().tolist()
 
 
-def merge_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+def merge_bucket(pdf: pd.DataFrame, kind: Strings = BYTES) -> pd.DataFrame:
     runs = [decoded(*r) for r in pdf[["sizes", "hashes", "rest", "left"]].itertuples(index=False)]
     out, members = [], []
     for item in LoserTree(runs):
-        if members and item[0] < CORE:
-            out.extend(decide(members))
+        if members and item[0] < kind.core * kind.unit:
+            out.extend(decide(members, kind))
             members = []
         members.append(item)
-    out.extend(decide(members))
+    out.extend(decide(members, kind))
     names = np.array([o[0] for o in out], np.uint64).view(np.int64)
-    return pd.DataFrame({"context": names, "windows": [o[1] for o in out]})
+    return pd.DataFrame({"context": names, "windows": column(o[1] for o in out)})
 
 
-def runs_of(rows: DataFrame, buckets: int) -> DataFrame:
+def runs_of(rows: DataFrame, buckets: int, kind: Strings = BYTES) -> DataFrame:
     """Sorted runs by bucket, and the places of live contexts in each document."""
     shift = np.uint64(64 - (buckets - 1).bit_length())
+    unit, length = kind.unit, kind.length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys, texts, flags = (c.to_pylist() for c in batch.columns)
             for a, b in chunks(texts, CHUNK_CHARS):
                 held, places = defaultdict(list), []
-                for doc, key, data, marks in zip(ids[a:b], keys[a:b], encoded(texts[a:b]), flags[a:b]):
-                    s = stretches(data)
+                for doc, key, data, marks in zip(
+                        ids[a:b], keys[a:b], sequences(texts[a:b], kind), flags[a:b]):
+                    s = stretches(data, kind)
                     mark = np.bitwise_or.reduce([np.frombuffer(m, np.uint8) for m in marks])
                     live = np.flatnonzero(mark & LIVE)
                     places.append((doc, key, s["context"][live].view(np.int64).tolist(),
@@ -316,7 +364,8 @@ def runs_of(rows: DataFrame, buckets: int) -> DataFrame:
                     for i in np.flatnonzero(mark & FIRST):
                         x, y, z = int(s["first"][i]), int(s["last"][i]), int(s["anchor"][i])
                         held[int(s["core"][i] >> shift)].append(
-                            (data[z:y + LENGTH], data[x:z], int(s["context"][i]), int(mark[i])))
+                            (data[z * unit:(y + length) * unit], data[x * unit:z * unit],
+                             int(s["context"][i]), int(mark[i])))
                 coded = {j: front_coded(r) for j, r in held.items()}
                 none = [None] * len(places)
                 cols = {"doc_id": [None] * len(coded) + [p[0] for p in places],
@@ -336,24 +385,24 @@ def runs_of(rows: DataFrame, buckets: int) -> DataFrame:
         "sizes binary, hashes binary, rest binary, left binary")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, spans): byte ranges to remove, as sorted, separate (start, end) pairs.
+def repeated_spans(docs: DataFrame, kind: Strings = BYTES) -> DataFrame:
+    """(doc_id, key, spans): ranges to remove, in bytes or words, as sorted (start, end) pairs.
 
     ``docs`` has doc_id, key (a hash of the text) and text.
     """
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = 1 << max(4, int(np.ceil(np.log2(max(chars / BUCKET_CHARS, 1)))))
-    counted = anchors(docs, buckets).groupBy("bucket").applyInPandas(
+    counted = anchors(docs, buckets, kind).groupBy("bucket").applyInPandas(
         count_bucket, "chunk binary, at binary, docs binary, flags binary")
     flags = counted.groupBy("chunk").applyInPandas(
         flags_by_document, "doc_id long, key long, flags binary")
     # Rows that repeat with the same id and text share one list of marks.
     flags = written(flags.groupBy("doc_id", "key").agg(F.collect_list("flags").alias("flags")), "anchors")
     rows = docs.join(flags, ["doc_id", "key"]).select("doc_id", "key", "text", "flags")
-    found = written(runs_of(rows, buckets), "suffix-runs")
+    found = written(runs_of(rows, buckets, kind), "suffix-runs")
     verdicts = found.where("bucket IS NOT NULL").select(
         "bucket", "sizes", "hashes", "rest", "left").groupBy("bucket").applyInPandas(
-        merge_bucket, "context long, windows array<long>")
+        lambda pdf: merge_bucket(pdf, kind), "context long, windows array<long>")
     verdicts = written(verdicts, "windows")
     places = found.where("bucket IS NULL").select(
         "doc_id", "key", F.explode(F.arrays_zip("contexts", "starts")).alias("p")).select(
@@ -361,12 +410,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     pairs = F.transform(
         F.sequence(F.lit(0), (F.size("windows") / 2 - 1).cast("int")), lambda i: F.struct(
             (F.col("start") + F.get("windows", 2 * i)).alias("a"),
-            (F.col("start") + F.get("windows", 2 * i + 1) + LENGTH).alias("b")))
+            (F.col("start") + F.get("windows", 2 * i + 1) + kind.length).alias("b")))
     spans = places.join(verdicts, "context").select("doc_id", "key", F.explode(pairs).alias("s"))
     return spans.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("s")).alias("spans"))
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
+def with_spans(docs: DataFrame, kind: Strings = BYTES) -> DataFrame:
     """The rows of ``docs`` with ``__suffix_text``, null as empty, and ``__suffix_spans``.
 
     Spans are null where nothing repeats.  Names that begin with ``__suffix_`` are
@@ -376,7 +425,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn(text, F.coalesce(F.col("text"), F.lit(""))).withColumn(key, F.xxhash64(text))
     narrow = keyed.where("doc_id IS NOT NULL").select(
         "doc_id", F.col(key).alias("key"), F.col(text).alias("text"))
-    found = repeated_spans(narrow).select(
+    found = repeated_spans(narrow, kind).select(
         F.col("doc_id").alias("__suffix_doc"), F.col("key").alias("__suffix_of"),
         F.col("spans").alias(spans))
     same = (F.col("doc_id") == F.col("__suffix_doc")) & (F.col(key) == F.col("__suffix_of"))
@@ -398,24 +447,30 @@ def cut(data: bytes, spans) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, runs
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
-    """``docs`` without repeated strings in ``text``; rows left without a word go.
+def cleaned(docs: DataFrame, words: int = 50, core: int = 12) -> DataFrame:
+    """``docs`` without passages of ``words`` words that stand anywhere else as well.
 
-    Bytes of a character cut in two are dropped with it.  ``n_chars``, if there is
+    Every word of such a passage goes, in each of its places, with the white space
+    between; words are compared as they are, the white space is not.  Overlapping
+    passages go together.  Rows left without a word go too.  ``n_chars``, if there is
     such a column, is counted anew.
     """
-    names = docs.columns
+    names, kind = docs.columns, Strings(words, core, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = {n: batch.column(n) for n in batch.schema.names}
-            texts = [cut(t, s)[0].decode("utf-8", "ignore") for t, s in zip(
-                encoded(cols["text"].to_pylist()), cols["__suffix_spans"].to_pylist())]
+            texts = []
+            for data, spans in zip(encoded(cols["text"].to_pylist()), cols["__suffix_spans"].to_pylist()):
+                if spans:
+                    start, end = word_places(data)
+                    data = cut(data, [{"a": int(start[s["a"]]), "b": int(end[s["b"] - 1])} for s in spans])[0]
+                texts.append(data.decode("utf-8", "ignore"))
             keep = pa.array([bool(t.strip()) for t in texts])
             cols["text"] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], names).filter(keep)
 
-    rows = with_spans(docs).select(*names, "__suffix_spans")
+    rows = with_spans(docs, kind).select(*names, "__suffix_spans")
     out = rows.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
 
