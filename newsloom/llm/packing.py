@@ -22,21 +22,40 @@ def bin_cost(capacity: int, longest: int) -> float:
     return capacity * (1.0 + capacity / (4.0 * longest))
 
 
+def fill(falling: list[int], at: int, capacity: int) -> int:
+    """Tokens a new bin of ``capacity`` would hold: piece ``at`` and the largest later
+    ones that still fit, one after the other.  ``falling`` has the sizes negated, in order."""
+    room = capacity + falling[at]
+    at += 1
+    while room and at < len(falling):
+        at = bisect_left(falling, -room, at)
+        if at < len(falling):
+            room += falling[at]
+            at += 1
+    return capacity - room
+
+
 def best_fit(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES
              ) -> tuple[list[int], list[int], list[int], list[int]]:
     """Bin of each item, its offset, and used and final size of each bin.
 
-    Items come in falling size.  Each goes where least room is left over; if it
-    fits nowhere, the bin size is opened that costs least for each token it can
-    still be filled with, given what is left to pack.  At the end each bin takes
-    the smallest permitted size that holds its contents.
+    Items come in falling size.  Each goes where least room is left over.  If it fits
+    nowhere, every permitted size that holds it is tried on the pieces still to come;
+    the one whose contents would cost least a token, after downsizing, is opened.  At
+    the end each bin takes the smallest permitted size that holds its contents, which
+    is less than it was opened with where its fillers found a tighter bin.
     """
     capacities = tuple(sorted(capacities))
-    longest, left = capacities[-1], sum(sizes)
+    longest, falling = capacities[-1], [-s for s in sizes]
     open_bins: dict[int, list[int]] = {}
     rooms: list[int] = []
     where, offset, used = [], [], []
-    for size in sizes:
+
+    def cost(capacity: int, at: int) -> float:
+        held = fill(falling, at, capacity)
+        return bin_cost(capacities[bisect_left(capacities, held)], longest) / held
+
+    for at, size in enumerate(sizes):
         i = bisect_left(rooms, size)
         if i < len(rooms):
             room = rooms[i]
@@ -47,12 +66,10 @@ def best_fit(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES
         else:
             b = len(used)
             used.append(0)
-            room = min((c for c in capacities if c >= size),
-                       key=lambda c: (bin_cost(c, longest) / min(c, left), c))
+            room = min((c for c in capacities if c >= size), key=lambda c: (cost(c, at), c))
         where.append(b)
         offset.append(used[b])
         used[b] += size
-        left -= size
         room -= size
         if room:
             if room not in open_bins:
@@ -78,7 +95,8 @@ def pack(docs: DataFrame, length=None, capacities: tuple[int, ...] = CAPACITIES,
     """One row per piece: doc_id, piece, start, n_tokens, bin_id, bin_offset, bin_used, bin_size.
 
     ``length`` is the token count of a row (default: plain words of ``text``).
-    Pieces are dealt to shards by a hash of (doc_id, piece, n_tokens); a shard holds
+    Pieces are dealt to shards by a hash of (doc_id, piece, n_tokens, number among equal
+    ones); a shard holds
     about ``shard_pieces`` of them whatever the input, and bins never cross shards.
     A document without tokens (null or empty text) gives one row of 0 tokens in no
     bin.  Repeated rows are packed once each; ties go by doc_id and piece.
@@ -87,10 +105,12 @@ def pack(docs: DataFrame, length=None, capacities: tuple[int, ...] = CAPACITIES,
     capacities = tuple(sorted(capacities))
     rows = written(pieces(docs, length, capacities[-1]), "pieces")
     full = rows.where("n_tokens > 0")
-    # The count only sizes the shards; a random part spreads repeated rows as well.
+    # The count only sizes the shards.  Equal rows are counted and numbered, which
+    # spreads them over the shards, the same in every run.
     shards = max(1, -(-full.count() // shard_pieces))
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "n_tokens", "salt"), F.lit(shards))
-    full = full.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
+    full = full.groupBy(*full.columns).agg(F.count("*").alias("n")).select(
+        *full.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("again"))
+    shard = F.pmod(F.xxhash64("doc_id", "piece", "n_tokens", "again"), F.lit(shards))
     full = full.withColumn("shard", shard.cast("long"))
 
     def one_shard(pdf: pd.DataFrame) -> pd.DataFrame:
