@@ -111,11 +111,16 @@ def marginals(score: np.ndarray, size: np.ndarray, change: np.ndarray) -> np.nda
     grid = np.ones((count, LENGTH, langs))
     grid[block, place] = weight
     filled = np.bincount(block, minlength=count)
+    opens = np.zeros(count, bool)
+    opens[first_block[size > 0]] = True
 
     carry = np.broadcast_to(np.eye(langs), (count, langs, langs)).copy()
     for t in range(LENGTH):
         live = filled > t
-        now = (carry[live] @ step) * grid[live, t][:, None, :]
+        steps = carry[live] @ step
+        if t == 0:  # nothing comes before the first word of a chain
+            steps[opens[live]] = carry[live][opens[live]]
+        now = steps * grid[live, t][:, None, :]
         carry[live] = now / now.max((1, 2), keepdims=True)
 
     into, out_of = np.ones((count, langs)) / langs, np.ones((count, langs))
@@ -137,7 +142,10 @@ def marginals(score: np.ndarray, size: np.ndarray, change: np.ndarray) -> np.nda
     ahead = np.ones((count, LENGTH, langs))
     message = into
     for t in range(LENGTH):
-        message = (message @ step) * grid[:, t]
+        came = message @ step
+        if t == 0:
+            came[opens] = message[opens]
+        message = came * grid[:, t]
         message = message / message.sum(1, keepdims=True)
         ahead[:, t] = message
     message = out_of
@@ -150,6 +158,67 @@ def marginals(score: np.ndarray, size: np.ndarray, change: np.ndarray) -> np.nda
     return ahead[block, place]
 
 
+def likelihood(score: np.ndarray, gold: np.ndarray, size: np.ndarray, change: np.ndarray
+               ) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log likelihood of labelled chains, and its gradients by ``score`` and by ``change``.
+
+    The chains stand one after the other; ``gold`` holds the label of each word.  The
+    expected transitions are the probabilities of both labels of neighbours at once:
+    message from before, transition, weight of the later word, message from behind.
+    """
+    words, langs = score.shape
+    firsts = np.cumsum(size) - size
+    chain = np.repeat(np.arange(len(size)), size)
+    within = np.arange(words) - firsts[chain]
+    longest = int(size.max())
+    top = score.max(1, keepdims=True)
+    grid = np.ones((len(size), longest, langs))
+    grid[chain, within] = np.exp(score - top)
+    step = np.exp(change - change.max())
+    ahead, behind = np.empty_like(grid), np.ones_like(grid)
+    total = float(top.sum()) + (words - len(size)) * float(change.max())
+    ahead[:, 0] = grid[:, 0]
+    for t in range(longest):
+        live = size > t
+        if t:
+            ahead[live, t] = (ahead[live, t - 1] @ step) * grid[live, t]
+        norm = ahead[live, t].sum(1, keepdims=True)
+        ahead[live, t] /= norm
+        total += float(np.log(norm).sum())
+    expected = np.zeros((langs, langs))
+    for t in range(longest - 1, 0, -1):
+        live = size > t
+        later = grid[live, t] * behind[live, t]
+        pair = ahead[live, t - 1][:, :, None] * step[None] * later[:, None, :]
+        expected += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
+        back = later @ step.T
+        behind[live, t - 1] = back / back.sum(1, keepdims=True)
+    prob = (ahead * behind)[chain, within]
+    prob /= prob.sum(1, keepdims=True)
+    inner = np.flatnonzero(within > 0)
+    path = score[np.arange(words), gold].sum() + change[gold[inner - 1], gold[inner]].sum()
+    seen = np.zeros((langs, langs))
+    np.add.at(seen, (gold[inner - 1], gold[inner]), 1)
+    return float(path) - total, np.eye(langs)[gold] - prob, seen - expected
+
+
+def gradients(params: dict[str, np.ndarray], w: Words, lexicon: np.ndarray, order: np.ndarray,
+              gold: np.ndarray, size: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Log likelihood of the words of ``w`` chained in ``order``, and its gradient by each parameter."""
+    field = Field([], lexicon=lexicon, **params)
+    value, by_score, by_change = likelihood(
+        potentials(w, field)[order], gold, size, params["change"])
+    gap = np.zeros((len(w.first), by_score.shape[1]))
+    gap[order] = by_score
+    letters = np.diff(np.append(w.first, len(w.gram)))
+    owner = np.repeat(np.arange(len(w.first)), letters)
+    return value, {
+        "gram": _spread(w.gram, gap[owner], GRAMS), "prefix": _spread(w.prefix, gap, AFFIXES),
+        "suffix": _spread(w.suffix, gap, AFFIXES),
+        "trust": np.array([(gap * lexicon[w.entry]).sum()]), "change": by_change,
+    }
+
+
 def train(texts: list[str], labels: list[int], langs: list[str], lexicon: np.ndarray,
           seed: int = 4) -> Field:
     """Fits the field to spliced texts: short runs of one language after another.
@@ -172,31 +241,11 @@ def train(texts: list[str], labels: list[int], langs: list[str], lexicon: np.nda
     full = len(order) // LENGTH * LENGTH
     order = order[:full] if full else order
     sizes = np.full(full // LENGTH, LENGTH) if full else np.array([len(order)])
-    gold = np.eye(n)[label[order]] if len(order) else np.zeros((0, n))
-    letters = np.diff(np.append(w.first, len(w.gram)))
-    owner = np.repeat(np.arange(len(w.first)), letters)
     params = {"gram": np.zeros((GRAMS, n)), "prefix": np.zeros((AFFIXES, n)),
               "suffix": np.zeros((AFFIXES, n)), "trust": np.full(1, 0.3), "change": np.eye(n)}
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
-    firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int)
     for i in range(STEPS if len(order) else 0):
-        field = Field(langs, lexicon=lexicon, **params)
-        score = potentials(w, field)[order]
-        prob = marginals(score, sizes, params["change"])
-        gap = np.zeros((len(w.first), n))
-        gap[order] = gold - prob
-        # Expected transitions, from the marginals of the two ends and the potentials.
-        inner = np.setdiff1d(np.arange(len(order)), firsts)
-        pair = prob[inner - 1][:, :, None] * np.exp(params["change"])[None] * (
-            np.exp(score[inner] - score[inner].max(1, keepdims=True)))[:, None, :]
-        pair /= pair.sum(2, keepdims=True)
-        seen = np.einsum("ij,ik->jk", gold[inner - 1], gold[inner])
-        grads = {
-            "gram": _spread(w.gram, gap[owner], GRAMS), "prefix": _spread(w.prefix, gap, AFFIXES),
-            "suffix": _spread(w.suffix, gap, AFFIXES),
-            "trust": np.array([(gap * lexicon[w.entry]).sum()]),
-            "change": seen - pair.sum(0),
-        }
+        _, grads = gradients(params, w, lexicon, order, label[order], sizes)
         for k, g in grads.items():
             g = g / len(order) - 1e-6 * params[k]
             m, v = moments[k]
