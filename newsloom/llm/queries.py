@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from newsloom.llm import (
-    jaccard, langid, licenses, mixing, packing, pages, quality, suffixes, tokens, vectors,
+    alignment, jaccard, langid, licenses, mixing, packing, pages, quality, structure, suffixes,
+    tokens, urls, vectors,
 )
 from newsloom.llm.common import table
 
@@ -55,6 +56,19 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return structure.repair(structure.damaged(rows), rows)
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_align(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -62,7 +76,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_topk_search, op2_best_fit_packing, op3_quality_rules, op4_language_id, op5_mixing,
-        op6_token_files, op7_suffix_dedup, op8_main_text, op9_license_scan, op10_ngram_jaccard, pipeline,
+        op6_token_files, op7_suffix_dedup, op8_main_text, op9_license_scan, op10_ngram_jaccard, op11_structure_repair,
+        op12_url_filter, op13_cross_tokenizer, pipeline,
     )
 }
 

@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 import corpus_pipeline
 from newsloom.llm import (
-    jaccard, langid, licenses, mixing, packing, pages, quality, suffixes, tokens, vectors,
+    alignment, jaccard, langid, licenses, mixing, packing, pages, quality, structure, suffixes,
+    tokens, urls, vectors,
 )
 from newsloom.llm.components import components
 
@@ -743,4 +744,371 @@ def test_query_names():
     from newsloom.llm.queries import REGISTRY
 
     numbers = [int(re.match(r"op(\d+)_", n)[1]) for n in REGISTRY if n.startswith("op")]
-    assert sorted(numbers) == list(range(1, 11)) and "pipeline" in REGISTRY
+    assert sorted(numbers) == list(range(1, 14)) and "pipeline" in REGISTRY
+
+
+# --- op13 -----------------------------------------------------------------
+
+def plain_alignment(texts):
+    """Figures of each text from whole encodings and a comparison of all token pairs."""
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    one = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    one.encode_special_tokens = True
+    two = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    table = alignment.byte_alphabet()
+    docs = []
+    for t in texts:
+        a = b = []
+        if t:
+            whole = (" " + t).encode()
+            a = [(i, bytes(table[c] for c in one.id_to_token(i)))
+                 for i in one.encode(" " + t, add_special_tokens=False).ids]
+            b = [(i, bytes([int(two.id_to_piece(i)[1:-1], 16)]) if two.is_byte(i)
+                  else two.id_to_piece(i).replace("▁", " ").encode()) for i in two.encode(t)]
+            if b"".join(x for _, x in a) != whole or b"".join(x for _, x in b) != whole:
+                a = b = []
+        spans = []
+        for tokens_ in (a, b):
+            at, out = 0, []
+            for i, x in tokens_:
+                out.append((i, at, at + len(x)))
+                at += len(x)
+            spans.append(out)
+        cuts = sorted({e for _, _, e in spans[0]} & {e for _, _, e in spans[1]})
+        groups, at = [], [0, 0]
+        for e in cuts:
+            sides = []
+            for side, s in enumerate(spans):
+                low = at[side]
+                while at[side] < len(s) and s[at[side]][2] <= e:
+                    at[side] += 1
+                sides.append(",".join(str(i) for i, _, _ in s[low:at[side]]))
+            groups.append("|".join(sides))
+        links, j = [], 0
+        for i, x, y in spans[0]:
+            while j and spans[1][j][1] > x:
+                j -= 1
+            k = j
+            while k < len(spans[1]) and spans[1][k][1] < y:
+                if spans[1][k][2] > x:
+                    links.append((i, spans[1][k][0]))
+                    j = k
+                k += 1
+        docs.append((len(a), len(b), groups, links))
+    count = Counter(p for *_, links in docs for p in links)
+    best = {}
+    for (_, b), n in count.items():
+        best[b] = max(best.get(b, 0), n)
+    return [(a, b, len(g), len(links), sum(count[p] == best[p[1]] for p in links),
+             sum(count[p] for p in links), hashlib.sha256(";".join(g).encode()).hexdigest() if a else "")
+            for a, b, g, links in docs]
+
+
+ODD_TEXTS = [
+    None, "", " ", "  ", "\n", "a", " a", "a ", "a  b", " a b ", "a\nb \n c", "\tx\u000by", "<|endoftext|> x <s>",
+    "don't you'll 'sx", "é ü ß", "x▁y", "▁", "ﬁ ａ", "naïve 日本語 テスト 👩‍👩‍👧 \U0001f600x", "a b c",
+    " x  y", "1234567 3.14 12", "!!! ... --- ===", "a᠎ b", "\x1c x \x1dy", "x" * 3000,
+    "\x00 a\x00b", "مرحبا بالعالم", "क्षत्रिय", "﻿ bom", "a\r\nb", "tab\t\tx  y   z", "​ x‍ y", "a\x85 b",
+]
+
+
+def test_cross_tokenizer_alignment(spark, docs, rows, none, monkeypatch):
+    cols = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    data = [*enumerate(ODD_TEXTS), (500, "the house the"), (500, "the house the"), (None, "the x")]
+    want = sorted(((r[0], *w) for r, w in zip(data, plain_alignment([t for _, t in data]))), key=repr)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert got(alignment.cross_align(df), *cols) == want
+    monkeypatch.setattr(alignment, "CHUNK_CHARS", 3000)
+    want = sorted(((r[0], *w) for r, w in zip(rows, plain_alignment([r[1] for r in rows]))), key=repr)
+    assert got(alignment.cross_align(docs.withColumn("chunk", F.lit("x"))), *cols) == want
+    assert alignment.cross_align(none).count() == 0
+
+
+def test_units_beyond_the_kept_ones_are_aligned_each_time():
+    texts = [t for t in ODD_TEXTS if t] * 2 + ["b a", "a b c d e"]
+    import pyarrow as pa
+
+    one = alignment.UnitCache(alignment.default_vocabularies())
+    few = alignment.UnitCache(alignment.default_vocabularies(), limit=7)
+    wide = alignment.aligned_chunk(pa.array(texts), one)
+    for _ in range(2):
+        narrow = [alignment.aligned_chunk(pa.array([t]), few) for t in texts]
+        assert [n["sha"][0] for n in narrow] == list(wide["sha"])
+        assert [int(n["n_links"][0]) for n in narrow] == wide["n_links"].tolist()
+    assert len(few.number) <= 7
+
+
+def test_units_of_random_white_space_match_whole_encodings():
+    import public_tokenizers
+    import sentencepiece
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = random.Random(21)
+    parts = ["a", "the", "x1", "é", "'s", "...", " ", " ", " ", "\n", "\t", " ", " ", "\x1c", "\x85", "日本"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    one = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    two = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    lists = alignment.units_of(pa.array(texts)).to_pylist()
+    flat = [u for us in lists for u in us]
+    a = iter(one.encode_batch([" " + u for u in flat], add_special_tokens=False))
+    b = iter(two.encode(flat))
+    whole_a = one.encode_batch([" " + t for t in texts], add_special_tokens=False)
+    whole_b = two.encode(texts)
+    for t, us, x, y in zip(texts, lists, whole_a, whole_b):
+        assert " " + t == "".join(" " + u for u in us)
+        assert x.ids == [i for _ in us for i in next(a).ids]
+        assert y == [i for _ in us for i in next(b)]
+
+
+# --- op12 -----------------------------------------------------------------
+
+def plain_url(url):
+    """host, path and rule, read off the contract."""
+    if url is None or "://" not in url:
+        return "", "", None
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host):])[0]
+    host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    fits = [r for r in urls.RULES if (host == r.host or host.endswith("." + r.host))
+            and path.startswith(r.path)]
+    return host, path, max(fits, key=lambda r: len(r.name), default=None)
+
+
+ODD_URLS = [
+    None, "", "no scheme", "://", "http://", "HTTP://A.B.EXAMPLE.ORG/x?y#z", "https://example.org",
+    "https://example.org/", "https://Example.ORG/es/1", "https://example.org/es", "https://m.example.org/en/1",
+    "https://badexample.org/es/", "x://org/", "x://org?/", "x://norg/", "ftp://a://b.org/c", "http://É.com/fr/ü",
+    "http://x.com/de/", "http://com/de/?a=/fr/", "http://x.com#/fr/", "a\nb://h.org/\n?", "http://x.com:80/fr/",
+    "http://x.com/" + "very/long/" * 3000, "http://x.org/😀",
+]
+
+
+def test_url_rules(spark, none):
+    rng = random.Random(5)
+    made = [f"https://{rng.choice(['a', 'b.c', 'x-y'])}.example.{rng.choice(['org', 'com', 'net'])}/"
+            f"{rng.choice(['es', 'en', 'fr', 'de'])}/{rng.randrange(1000)}" for _ in range(300)]
+    data = list(enumerate([*ODD_URLS, *made, made[0]]))
+    df = spark.createDataFrame([*data, data[5], (None, "http://a.org/")], "page_id long, url string")
+    df = df.withColumn("score", F.lit("clash")).withColumn("row", F.lit(1)).withColumn("s", F.lit(2)).repartition(3)
+    out = urls.judge(df).collect()
+    assert len(out) == len(data) + 2
+    texts = dict(data) | {None: "http://a.org/"}
+    for r in out:
+        host, path, rule = plain_url(texts[r["page_id"]])
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule and rule.name)
+        assert r["verdict"] == (rule.verdict if rule else "allow" if r["p_allow"] >= 0.5 else "block")
+    assert urls.judge(none.selectExpr("doc_id AS page_id", "text AS url")).count() == 0
+    one_side = urls.judge(df.where("url LIKE '%/fr/%' OR url LIKE '%.net/%'"), urls.RULES[3:4]).collect()
+    assert one_side and all(r["verdict"] == "allow" for r in one_side)
+
+
+def plain_scores(train, texts, order):
+    """Witten-Bell models of variable order, one byte after the other."""
+    sides = []
+    for side in ("allow", "block"):
+        n, after = Counter(), {}
+        for t, v in train:
+            if v == side:
+                b = b"\0" * order + t.encode() + b"\0"
+                for i in range(order, len(b)):
+                    for k in range(order + 1):
+                        n[b[i - k:i + 1]] += 1
+                        after.setdefault(b[i - k:i], Counter())[b[i]] += 1
+        sides.append((n, after))
+    out = []
+    for t in texts:
+        b, value = b"\0" * order + t.encode() + b"\0", []
+        for n, after in sides:
+            total = 0.0
+            for i in range(order, len(b)):
+                p = 1 / 256
+                for k in range(order + 1):
+                    seen = after.get(b[i - k:i])
+                    if seen:
+                        p = (n[b[i - k:i + 1]] + len(seen) * p) / (sum(seen.values()) + len(seen))
+                total += np.log(p)
+            value.append(total)
+        out.append((value[0] - value[1]) / (len(b) - order))
+    return out
+
+
+def test_url_scores_match_plain_models(spark, monkeypatch):
+    rng = random.Random(8)
+    train = [("".join(rng.choice("ab/é") for _ in range(rng.randrange(12))), rng.choice(["allow", "block"]))
+             for _ in range(120)]
+    texts = ["", "a", "zz", "ab/ab", "é" * 9, *[t for t, _ in train[:40]], "x" * 50]
+    t = spark.createDataFrame(train, "text string, ruled string").repartition(3)
+    u = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
+    found = {r["row"]: r["score"] for r in urls.scores(u, t).collect()}
+    assert np.allclose([found[i] for i in range(len(texts))], plain_scores(train, texts, urls.ORDER))
+
+
+def test_url_models_tell_unseen_urls_apart(spark):
+    rng = random.Random(9)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(8))
+    data = [(f"http://x.{end}/{way}{word(letters)}", side) for _ in range(150)
+            for end, way, letters, side in (("com", "fr/", "aeioul", "allow"), ("com", "de/", "xzkqwv", "block"),
+                                            ("net", "", "aeioul", "allow"), ("net", "", "xzkqwv", "block"))]
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(data)], "page_id long, url string")
+    out = {r["page_id"]: r for r in urls.judge(df).collect()}
+    free = [i for i in out if out[i]["rule"] is None]
+    assert len(free) == 300 and all(out[i]["verdict"] == data[i][1] for i in free)
+
+
+# --- op11 -----------------------------------------------------------------
+
+def plain_damage(rows_):
+    out = []
+    for c, t, role, text in rows_:
+        way = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        if way == 1:
+            text = ""
+        if way == 2:
+            text = re.sub("[.!?]", "", text)
+        if way == 4:
+            role = "user"
+        out += [(c, t, role, text)] * (0 if way == 0 else 2 if way == 3 else 1)
+    return out
+
+
+def plain_order(r):
+    same = hashlib.md5(f"{len(r[2])}:{r[2]}{r[3]}".encode()).digest()
+    return (r[1] is not None, r[1] or 0, same)
+
+
+def plain_repair(rows_, originals):
+    """Every conversation by a table over rows and states that holds cost and audit."""
+    out = {c: (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest()) for c, *_ in originals}
+    for conv in {r[0] for r in rows_}:
+        mine = sorted((r for r in rows_ if r[0] == conv), key=plain_order)
+        faults, seen = [], set()
+        for _, _, role, text in mine:
+            bare = text.strip(SPACE)
+            faults.append("blank" if not bare else "duplicate" if (role, text) in seen
+                          else "truncated" if bare[-1] not in ".!?" else None)
+            seen.add((role, text))
+        turns = [t for _, t, *_ in mine if t is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        starts = [r[2][:1] for r in mine]
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(starts, starts[1:]))
+        step = {("0", "s"): "s", ("0", "u"): "u", ("s", "u"): "u", ("a", "u"): "u", ("u", "a"): "a"}
+        best = {"0": (0, "", [])}
+
+        def relax(table, state, value):
+            if state not in table or value[:2] < table[state][:2]:
+                table[state] = value
+
+        def inserts(table):
+            for _ in range(3):
+                for state, (cost, audit, lines) in list(table.items()):
+                    for x, role in (("u", "user"), ("a", "assistant")):
+                        if (state, x) in step:
+                            relax(table, x, (cost + 2, audit + "I", [*lines, role + ":"]))
+
+        for (_, _, role, text), fault in zip(mine, faults):
+            inserts(best)
+            now = {}
+            for state, (cost, audit, lines) in best.items():
+                relax(now, state, (cost + 3, audit + "D", lines))
+                if fault in ("blank", "duplicate"):
+                    continue
+                more = cost + (fault == "truncated")
+                if (state, role[:1]) in step:
+                    relax(now, step[state, role[:1]], (more, audit + "K", [*lines, role + ":" + text]))
+                for x, to in (("u", "user"), ("a", "assistant")):
+                    if (state, x) in step:
+                        relax(now, x, (more + 2, audit + "R", [*lines, to + ":" + text]))
+            best = now
+        inserts(best)
+        cost, audit, lines = min((best[s] for s in ("0", "a") if s in best), key=lambda v: v[:2])
+        out[conv] = (gaps, *[faults.count(f) for f in ("blank", "duplicate", "truncated")], illegal, cost,
+                     audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+    return sorted(((c, *v) for c, v in out.items()), key=repr)
+
+
+def odd_conversations(seed, n):
+    rng = random.Random(seed)
+    roles = ["user", "assistant", "user", "assistant", "system", "tool", "", None, "u", "agent"]
+    texts = ["Hi.", "Yes!", "what", "no? ", "  ", "", None, "a b.", "é\n", "Hi. \x0b"]
+    out = []
+    for c in range(n):
+        for t in range(rng.randrange(1, 14)):
+            if rng.random() < 0.85:
+                out.append((c, None if rng.random() < 0.05 else t - rng.randrange(2) * 3,
+                            rng.choice(roles[:4] if rng.random() < 0.6 else roles), rng.choice(texts)))
+    out += [(None, 1, "user", "x."), (None, None, "assistant", "y."), *out[:20], *out[:3]]
+    out += [(n + 1, i, ["user", "assistant"][i % 2], f"line {i}.") for i in range(700)]
+    out += [(n + 2, 5, "user", "same.")] * 50
+    return out
+
+
+COLUMNS = ("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+           "repaired_sha256")
+
+
+@pytest.mark.parametrize("pieces", [1, 9])
+def test_structure_repair(spark, pieces):
+    data = odd_conversations(pieces, 120)
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(3)
+    df = df.withColumn("same", F.lit("x")).withColumn("n", F.lit(1)).withColumn("audit", F.lit("y"))
+    spark.conf.set("spark.sql.shuffle.partitions", pieces)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = got(structure.repair(structure.damaged(df), df), *COLUMNS)
+        assert structure.repair(structure.damaged(df.where("false")), df.where("false")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert out == plain_repair(plain_damage(data), data)
+
+
+def test_conversations_across_slices(spark):
+    """One conversation has nearly all rows: its slices are even, and solved apart."""
+    rng = random.Random(4)
+    data = [(1, i, rng.choice(["user", "assistant", "system"]), rng.choice(["a%d." % i, "b%d" % i, "Hi."]))
+            for i in range(4000)] + [(2, 0, "user", "x.")]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    laid = structure.marked(df).repartitionByRange(8, "conv_id", "turn", "same")
+    sizes = [r["n"] for r in laid.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 900
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = structure.parts(structure.slices(structure.marked(df))).collect()
+        out = got(structure.repair(df), *COLUMNS)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["conv_id"] == 1 and not r["whole"] for r in found) == 4
+    assert max(len(r["matrix"]) for r in found if r["matrix"]) < 200_000
+    assert out == plain_repair(data, data)
+
+
+def test_re_pair_gives_the_sequences_back():
+    rng = np.random.default_rng(3)
+    sequences = [rng.integers(0, 9, n).astype(np.int64) for n in (1, 2, 3, 50, 400)]
+    sequences += [np.zeros(n, np.int64) for n in (2, 3, 7, 64)] + [np.array([0, 1] * 40)]
+    rules, short = structure.re_pair(sequences)
+
+    def spelled(s):
+        if s <= structure.GONE:
+            return [s]
+        return [x for y in rules[s - structure.GONE - 1] for x in spelled(y)]
+
+    assert [[x for s in seq.tolist() for x in spelled(s)] for seq in short] == [s.tolist() for s in sequences]
+    assert sum(map(len, short)) + 2 * len(rules) < sum(map(len, sequences))
+
+
+def test_ropes_compare_as_their_strings():
+    rng = random.Random(6)
+    ropes = [structure.Rope(x) for x in "DIKR"]
+    for _ in range(300):
+        ropes.append(rng.choice(ropes[-40:]) + rng.choice(ropes[-40:]))
+    for _ in range(2000):
+        a, b = rng.choice(ropes), rng.choice(ropes)
+        if a.size + b.size < 5000:
+            assert (a < b) == (str(a) < str(b))
