@@ -34,6 +34,8 @@ from newsloom.llm.common import written
 CHUNK_CHARS = 1 << 21
 #: Units kept by a worker; later ones are aligned each time they occur.
 KEPT_UNITS = 200_000
+#: Units encoded by one call.
+CALL = 2_000
 #: A single space between two other characters begins a unit.
 UNIT_START = re.compile(r"(?<=[^\s᠎])(?= [^\s᠎])")
 #: White space of the line above, for the regular expressions of Arrow.
@@ -76,7 +78,10 @@ class ByteVocabulary:
 
     def encode(self, keys: list[str]) -> list[list[int]]:
         many = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
-        return [e.ids for e in many([" " + k for k in keys], add_special_tokens=False)]
+        out = []
+        for i in range(0, len(keys), CALL):  # what the library returns is far larger than its ids
+            out += [e.ids for e in many([" " + k for k in keys[i:i + CALL]], add_special_tokens=False)]
+        return out
 
 
 class PieceVocabulary:
