@@ -18,7 +18,6 @@ not depend on the rest.  A unit is encoded and aligned once per worker:
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -30,17 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import written
+from newsloom.llm.units import list_of, runs, units_of
 
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 20
 #: Units kept by a worker; later ones are aligned each time they occur.
 KEPT_UNITS = 200_000
 #: Units encoded by one call.
 CALL = 2_000
-#: A single space between two other characters begins a unit.
-UNIT_START = re.compile(r"(?<=[^\s᠎])(?= [^\s᠎])")
-#: White space of the line above, for the regular expressions of Arrow.
-BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{180e}\p{Z}]"
-MIXED_SPACE = f"^ | $|{BLANK} | {BLANK}"
 SHIFT = 32
 
 ALIGNED = ("chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, "
@@ -109,11 +104,6 @@ def as_lists(ids: list[list[int]]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def list_of(sizes: np.ndarray, values: pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(
-        pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
-
-
 def ends(lists: pa.ListArray, token_bytes: pa.Array, side: str) -> pa.Table:
     """unit, end and number of each token; ends count bytes from the start of the unit."""
     parent = pc.list_parent_indices(lists)
@@ -218,30 +208,6 @@ class UnitCache:
 _CACHES: dict[tuple[str, str], UnitCache] = {}
 
 
-def units_of(texts: pa.Array) -> pa.ListArray:
-    """The units of each text without their first space; none for an empty text."""
-    mixed = pc.match_substring_regex(texts, MIXED_SPACE)
-    plain = pc.split_pattern(pc.if_else(mixed, "", texts), " ")
-    empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
-    odd = mixed.to_numpy(zero_copy_only=False)
-    if not (empty | odd).any():
-        return plain
-    sizes = pc.list_value_length(plain).to_numpy().astype(np.int64)
-    split = [[u[1:] for u in UNIT_START.split(" " + t)] for t in texts.filter(mixed).to_pylist()]
-    # Rows without their units: those of odd texts follow at the end and are gathered in.
-    keep = np.repeat(~(empty | odd), sizes)
-    values = pc.list_flatten(plain).filter(pa.array(keep))
-    found = pa.array(list(chain.from_iterable(split)), pa.string())
-    sizes[empty | odd] = 0
-    start = np.cumsum(sizes) - sizes
-    late = np.fromiter(map(len, split), np.int64, len(split))
-    start[odd] = len(values) + np.cumsum(late) - late
-    sizes[odd] = late
-    before = np.cumsum(sizes) - sizes
-    index = np.arange(int(sizes.sum())) + np.repeat(start - before, sizes)
-    return list_of(sizes, pc.take(pa.concat_arrays([values, found]), pa.array(index)))
-
-
 def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sum over each run of ``sizes`` values."""
     total = np.concatenate([[0], np.cumsum(values)])
@@ -249,6 +215,14 @@ def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[edge[1:]] - total[edge[:-1]]
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    return pa.compress(numbers.astype("<i4").tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 4 * size, "zstd", asbytes=True), "<i4")
+
+
 def aligned_chunk(texts: pa.Array, cache: UnitCache) -> dict:
     """Columns of ALIGNED for some texts."""
     lists = units_of(texts)
@@ -273,9 +247,9 @@ def aligned_chunk(texts: pa.Array, cache: UnitCache) -> dict:
         "pair", use_threads=False).aggregate([("n", "sum")]).sort_by("pair")
     code = pairs.dictionary.to_numpy()
     return figure | {
-        "sha": sha, "n_units": sizes, "units": local.astype("<i4").tobytes(),
+        "sha": sha, "n_units": sizes, "units": packed(local),
         "unit_links": links.astype("<i4").tobytes(),
-        "link_pairs": pairs.indices.to_numpy().astype("<i4").tobytes(),
+        "link_pairs": packed(pairs.indices.to_numpy()),
         "a": (code >> SHIFT).astype(np.int32), "b": (code & ((1 << SHIFT) - 1)).astype(np.int32),
         "n": counted.column("n_sum").to_numpy(),
     }
@@ -296,7 +270,7 @@ def aligned(docs: DataFrame, vocabularies: tuple[str, str]) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             lengths = pc.utf8_length(texts).to_numpy()
-            for x, y in runs(lengths):
+            for x, y in runs(lengths, CHUNK_CHARS):
                 row = aligned_chunk(texts.slice(x, y - x), cache) | {
                     "chunk": chunk, "doc_id": ids.slice(x, y - x).to_pylist()}
                 yield pa.RecordBatch.from_arrays(
@@ -306,24 +280,13 @@ def aligned(docs: DataFrame, vocabularies: tuple[str, str]) -> DataFrame:
     return docs.mapInArrow(run, ALIGNED)
 
 
-def runs(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of whole texts of about CHUNK_CHARS characters."""
-    low, held = 0, 0
-    for i, n in enumerate(lengths.tolist()):
-        if i > low and held + n > CHUNK_CHARS:
-            yield low, i
-            low, held = i, 0
-        held += n
-    if len(lengths):
-        yield low, len(lengths)
-
-
 def judged_chunk(chunk: pa.Table, pairs: pa.Table) -> pa.Table:
     """Rows of RESULT of a chunk, given count and rank of its pairs."""
     row = chunk.to_pylist()[0]
     pairs = pairs.sort_by("at")
-    units = np.frombuffer(row["units"], "<i4")
-    links, number = (np.frombuffer(row[n], "<i4") for n in ("unit_links", "link_pairs"))
+    links = np.frombuffer(row["unit_links"], "<i4")
+    units = unpacked(row["units"], sum(row["n_units"]))
+    number = unpacked(row["link_pairs"], int(links.sum()))
     best = pairs.column("best").to_numpy().astype(np.int64)
     count = pairs.column("count").to_numpy()
     sizes = np.array(row["n_units"], np.int64)

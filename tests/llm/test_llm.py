@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 import corpus_pipeline
 from newsloom.llm import (
     alignment, jaccard, langid, licenses, mixing, packing, pages, quality, structure, suffixes,
-    tokens, urls, vectors,
+    tokens, units, urls, vectors,
 )
 from newsloom.llm.components import components
 
@@ -852,7 +852,7 @@ def test_units_of_random_white_space_match_whole_encodings():
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
     one = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     two = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    lists = alignment.units_of(pa.array(texts)).to_pylist()
+    lists = units.units_of(pa.array(texts)).to_pylist()
     flat = [u for us in lists for u in us]
     a = iter(one.encode_batch([" " + u for u in flat], add_special_tokens=False))
     b = iter(two.encode(flat))
@@ -1112,3 +1112,22 @@ def test_ropes_compare_as_their_strings():
         a, b = rng.choice(ropes), rng.choice(ropes)
         if a.size + b.size < 5000:
             assert (a < b) == (str(a) < str(b))
+
+
+def test_words_beyond_the_kept_ones_are_encoded_each_time():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(22)
+    parts = ["a", "the", "é", "...", " ", " ", " ", "\n", "\t", " ", "\x1d", "日本"]
+    texts = [t or "" for t in ODD_TEXTS] + [
+        "".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(3000)]
+    want = [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+    for limit in (400_000, 5):
+        cache = tokens.WordCache(model, limit)
+        for _ in range(2):
+            ids, sizes = cache.encode(pa.array(texts))
+            cut = np.cumsum(sizes)[:-1]
+            assert [x.tolist() for x in np.split(ids, cut)] == want
