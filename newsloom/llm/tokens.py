@@ -3,25 +3,24 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.shingles import chunks
+from newsloom.llm.units import runs, units_of
 from newsloom.session import work_dir
 
 END = 0
 #: Text encoded together.
-CHUNK_CHARS = 1 << 19
-#: A single space between two other characters begins a word.
-WORD_START = re.compile(r"(?<=\S)(?= \S)")
-MIXED_SPACE = re.compile(r"\s | \s|^ | $")
+CHUNK_CHARS = 1 << 20
+#: Units encoded by one call.
+CALL = 2_000
 FILE_SCHEMA = "doc_id long, start_in_file long, n_tokens long, ids array<int>"
 
 #: Ids as dictionary indices, counts and positions as deltas; small pages with an
@@ -50,14 +49,12 @@ _CACHES: dict[str, WordCache] = {}
 
 
 class WordCache:
-    """Ids of texts by way of their words, each of which is encoded once.
-
-    The vocabularies used here never merge across a single space between two other
-    characters: there a word begins.  A text is cut at those places only, so any
-    run of white space stays within one piece, and the ids of the pieces are those
-    of the text.  The first ``limit`` pieces are kept, later ones encoded each time.
-    A key is a piece less the space it begins with, or a piece without one after a
-    space; both cannot meet, as no piece begins with two.
+    """Ids of texts by way of their units, each of which is encoded once.
+
+    The units of a chunk are split and told apart by Arrow; only the different ones are
+    looked up.  The first ``limit`` of all are kept, later ones encoded each time.  A key
+    is a unit less the space it begins with, or the first unit of a text, which has none,
+    after a space; both cannot meet, as no later unit begins with two.
     """
 
     def __init__(self, tokenizer, limit: int = 400_000):
@@ -66,41 +63,44 @@ class WordCache:
         self.number: dict[str, int] = {}
         self.ids, self.ends = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and how many each has."""
-        keys, counts = [], []
-        for t in texts:
-            if MIXED_SPACE.search(t):
-                found = [w[1:] if w[:1] == " " and w[1:2].strip() else " " + w
-                         for w in WORD_START.split(t)]
-            else:
-                found = t.split(" ")
-                found[0] = " " + found[0]
-            keys.extend(found)
-            counts.append(len(found))
-        known, held = self.number, len(self.number)
+    def find(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of each key, and the ids and ends the places refer to."""
+        known, held = self.number, len(self.ends)
         new = [w for w in dict.fromkeys(keys) if w not in known]
-        known.update(zip(new, range(held, held + len(new))))
         ids, ends = self.ids, self.ends
-        if new:
+        fresh = dict(zip(new, range(held, held + len(new))))
+        for i in range(0, len(new), CALL):  # what the library returns is far larger than its ids
             coded = [e.ids for e in self.many(
-                [w[1:] if w[0] == " " else " " + w for w in new], add_special_tokens=False)]
-            sizes = np.array([len(c) for c in coded], np.int64)
-            flat = np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum()))
+                [w[1:] if w[0] == " " else " " + w for w in new[i:i + CALL]], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
             ends = np.concatenate([ends, len(ids) + np.cumsum(sizes)])
-            ids = np.concatenate([ids, flat])
-        at = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
-        if len(known) <= self.limit:
+            ids = np.concatenate([ids, np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum()))])
+        at = np.fromiter((known[w] if w in known else fresh[w] for w in keys), np.int64, len(keys))
+        if len(ends) <= self.limit:
             self.ids, self.ends = ids, ends
-        else:
-            for w in new:
-                del known[w]
-        starts = np.concatenate([[0], ends[:-1]])[at]
+            known |= fresh
+        return at, ids, ends
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each has."""
+        lists = units_of(texts)
+        counts = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        keys = pc.list_flatten(lists)
+        leads = np.zeros(len(keys), bool)
+        leads[(np.cumsum(counts) - counts)[counts > 0]] = True
+        later = pc.dictionary_encode(keys.filter(pa.array(~leads)))
+        first = [" " + k for k in keys.filter(pa.array(leads)).to_pylist()]
+        different = later.dictionary.to_pylist()
+        place, ids, ends = self.find(different + first)
+        at = np.empty(len(keys), np.int64)
+        at[~leads] = place[:len(different)][later.indices.to_numpy()]
+        at[leads] = place[len(different):]
+        starts = np.concatenate([[0], ends[:-1]])[at] if len(at) else at
         sizes = ends[at] - starts
         before = np.cumsum(sizes) - sizes
         index = np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
         total = np.concatenate([[0], np.cumsum(sizes)])
-        edges = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        edges = np.concatenate([[0], np.cumsum(counts)])
         return ids[index], np.diff(total[edges])
 
 
@@ -117,9 +117,9 @@ def encoder(vocabulary: str | None, end: int = END):
         cache = _CACHES[path]
         start = 0
         for batch in batches:
-            docs, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in chunks(texts, CHUNK_CHARS):
-                ids, sizes = cache.encode(texts[a:b])
+            docs, texts = batch.column(0), batch.column(1)
+            for a, b in runs(pc.utf8_length(texts).to_numpy(), CHUNK_CHARS):
+                ids, sizes = cache.encode(texts.slice(a, b - a))
                 ids = np.insert(ids, np.cumsum(sizes), end)
                 sizes = sizes + 1
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
@@ -148,37 +148,46 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end: int =
     coded.write.options(**WRITER).parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids; unused columns are never fetched.
-
-    ``start`` counts the ids of all documents before this one.  Files only know it
-    within themselves; the ids of the files before are summed over one row a file.
-    """
+def _placed(spark: SparkSession, path: str, columns: list[str], derive=None) -> DataFrame:
+    """Rows of the files with ``start``; ``derive`` works on each row where it is read."""
     rows = spark.read.schema(FILE_SCHEMA).parquet(path).select(
         "*", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"))
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("held"))
     before = F.coalesce(F.sum("held").over(Window.orderBy("file").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0))
     files = files.select("file", before.alias("before"))
+    rows = derive(rows) if derive else rows
     return rows.join(files, "file").select(
-        "doc_id", (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
+        "doc_id", (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", *columns)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids; unused columns are never fetched.
+
+    ``start`` counts the ids of all documents before this one.  Files only know it
+    within themselves; the ids of the files before are summed over one row a file.
+    """
+    return _placed(spark, path, ["ids"])
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(3)
+        ids = batch.column(4)
         values = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
         at = ids.offsets.to_numpy()
         sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(2), pa.array(sums, pa.int64())],
-            ["doc_id", "start", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sums, pa.int64())],
+                                         ["file", "doc_id", "start_in_file", "n_tokens", "ids_crc32"])
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of what the files hold."""
-    spec = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    return read(spark, path).mapInArrow(_checked, spec)
+    """doc_id, start, n_tokens and ids_crc32 of what the files hold.
+
+    Sums are taken where the ids are read; what is joined and shuffled has no ids.
+    """
+    spec = "file string, doc_id long, start_in_file long, n_tokens long, ids_crc32 long"
+    return _placed(spark, path, ["ids_crc32"], lambda rows: rows.select(
+        "file", "doc_id", "start_in_file", "n_tokens", "ids").mapInArrow(_checked, spec))
 
 
 def encode_and_check(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
