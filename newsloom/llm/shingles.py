@@ -43,9 +43,10 @@ def sets(texts: list[str], k: int = 3) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; fewer than k words make one shingle."""
     word, owner = word_hashes(texts)
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-    rolled = np.full(max(len(word) - k + 1, 0), np.uint64(k))
+    whole = max(len(word) - k + 1, 0)
+    rolled = np.full(whole, np.uint64(k))
     for j in range(k):
-        rolled = (rolled ^ word[j:len(word) - k + 1 + j]) * _BASE + np.uint64(j)
+        rolled = (rolled ^ word[j:j + whole]) * _BASE + np.uint64(j)
         rolled ^= rolled >> np.uint64(29)
     rolled = mix(rolled)
     out = []

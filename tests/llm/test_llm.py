@@ -733,6 +733,18 @@ def test_near_duplicates_of_five_words(spark, monkeypatch):
     assert len(kept) < len(narrow)
 
 
+def test_rows_that_share_an_id_and_rows_without_one(spark):
+    data = [(1, "one two three four five six"), (1, "seven eight nine ten eleven"), (None, "a b c d e"),
+            (2, "x y z"), (2, "x y z"), (3, None)]
+    kept = set()
+    for n in (1, 4):
+        df = spark.createDataFrame(data, "doc_id long, text string").repartition(n)
+        out = corpus_pipeline.near_duplicates(spark, df, "").collect()
+        assert sorted(r["doc_id"] for r in out) == [1, 2, 3]
+        kept.add(tuple(sorted((r["doc_id"], r["text"] or "") for r in out)))
+    assert len(kept) == 1
+
+
 def test_stages_take_empty_tables(spark):
     docs = spark.createDataFrame([], T._parse_datatype_string(DOCS))
     for _, stage in corpus_pipeline.STAGES:
