@@ -29,13 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import written
-from newsloom.llm.units import list_of, runs, units_of
+from newsloom.llm.units import UnitEncoder, list_of, runs, units_of
 
 CHUNK_CHARS = 1 << 20
 #: Units kept by a worker; later ones are aligned each time they occur.
 KEPT_UNITS = 200_000
-#: Units encoded by one call.
-CALL = 2_000
 SHIFT = 32
 
 ALIGNED = ("chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, "
@@ -51,32 +49,20 @@ def default_vocabularies() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The character that stands for each byte in byte-level vocabularies: printable ones
-    for themselves, all others for the next characters from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class ByteVocabulary:
     """The first vocabulary: byte-level; encodes a space and the text."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        alphabet = byte_alphabet()
-        tokens = [self.model.id_to_token(i) or "" for i in range(self.model.get_vocab_size())]
-        self.bytes = pa.array([bytes(alphabet.get(c, 63) for c in t) for t in tokens], pa.binary())
-
-    def encode(self, keys: list[str]) -> list[list[int]]:
-        many = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
-        out = []
-        for i in range(0, len(keys), CALL):  # what the library returns is far larger than its ids
-            out += [e.ids for e in many([" " + k for k in keys[i:i + CALL]], add_special_tokens=False)]
-        return out
+        model = Tokenizer.from_file(path)
+        model.encode_special_tokens = True
+        self.encoder = UnitEncoder(model)
+        self.bytes = self.encoder.bytes
+
+    def encode(self, keys: list[str]) -> pa.ListArray:
+        ids, sizes = self.encoder.encode(keys)
+        return list_of(sizes, pa.array(ids))
 
 
 class PieceVocabulary:
@@ -93,15 +79,10 @@ class PieceVocabulary:
             p.replace("▁", " ").encode() for i, p in (
                 (i, self.model.id_to_piece(i)) for i in range(size))], pa.binary())
 
-    def encode(self, keys: list[str]) -> list[list[int]]:
-        return self.model.encode(keys, num_threads=1)
-
-
-def as_lists(ids: list[list[int]]) -> pa.ListArray:
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    def encode(self, keys: list[str]) -> pa.ListArray:
+        ids = self.model.encode(keys, num_threads=1)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return list_of(sizes, pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))))
 
 
 def ends(lists: pa.ListArray, token_bytes: pa.Array, side: str) -> pa.Table:
@@ -144,7 +125,7 @@ def align(keys: list[str], one: ByteVocabulary, two: PieceVocabulary) -> Aligned
     A unit whose tokens do not add up to its bytes in both vocabularies is not ``ok``.
     """
     out = Aligned(len(keys))
-    a_ids, b_ids = as_lists(one.encode(keys)), as_lists(two.encode(keys))
+    a_ids, b_ids = one.encode(keys), two.encode(keys)
     own = pa.array([b" " + k.encode("utf-8", "surrogatepass") for k in keys], pa.binary())
     good = pc.and_(pc.equal(joined_bytes(a_ids, one.bytes), own),
                    pc.equal(joined_bytes(b_ids, two.bytes), own))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,14 +12,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.units import runs, units_of
+from newsloom.llm.units import UnitEncoder, runs, units_of
 from newsloom.session import work_dir
 
 END = 0
 #: Text encoded together.
-CHUNK_CHARS = 1 << 20
-#: Units encoded by one call.
-CALL = 2_000
+CHUNK_CHARS = 1 << 22
 FILE_SCHEMA = "doc_id long, start_in_file long, n_tokens long, ids array<int>"
 
 #: Ids as dictionary indices, counts and positions as deltas; small pages with an
@@ -57,8 +54,8 @@ class WordCache:
     after a space; both cannot meet, as no later unit begins with two.
     """
 
-    def __init__(self, tokenizer, limit: int = 400_000):
-        self.many = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+    def __init__(self, tokenizer, limit: int = 600_000):
+        self.encoder = UnitEncoder(tokenizer)
         self.limit = limit
         self.number: dict[str, int] = {}
         self.ids, self.ends = np.zeros(0, np.int32), np.zeros(0, np.int64)
@@ -68,13 +65,12 @@ class WordCache:
         known, held = self.number, len(self.ends)
         new = [w for w in dict.fromkeys(keys) if w not in known]
         ids, ends = self.ids, self.ends
-        fresh = dict(zip(new, range(held, held + len(new))))
-        for i in range(0, len(new), CALL):  # what the library returns is far larger than its ids
-            coded = [e.ids for e in self.many(
-                [w[1:] if w[0] == " " else " " + w for w in new[i:i + CALL]], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        # First units of texts have no space before them; they come last among the keys.
+        later, first = [w for w in new if w[0] != " "], [w[1:] for w in new if w[0] == " "]
+        fresh = dict(zip([*later, *(" " + w for w in first)], range(held, held + len(new))))
+        for coded, sizes in (self.encoder.encode(later), self.encoder.alone(first)) if new else ():
             ends = np.concatenate([ends, len(ids) + np.cumsum(sizes)])
-            ids = np.concatenate([ids, np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum()))])
+            ids = np.concatenate([ids, coded])
         at = np.fromiter((known[w] if w in known else fresh[w] for w in keys), np.int64, len(keys))
         if len(ends) <= self.limit:
             self.ids, self.ends = ids, ends
@@ -98,7 +94,8 @@ class WordCache:
         starts = np.concatenate([[0], ends[:-1]])[at] if len(at) else at
         sizes = ends[at] - starts
         before = np.cumsum(sizes) - sizes
-        index = np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
+        index = np.repeat((starts - before).astype(np.int32), sizes)
+        index += np.arange(len(index), dtype=np.int32)
         total = np.concatenate([[0], np.cumsum(sizes)])
         edges = np.concatenate([[0], np.cumsum(counts)])
         return ids[index], np.diff(total[edges])

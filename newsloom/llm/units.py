@@ -60,3 +60,75 @@ def runs(lengths: np.ndarray, chars: int) -> Iterator[tuple[int, int]]:
         held += n
     if len(lengths):
         yield low, len(lengths)
+
+
+#: Units encoded by one call, as one text.
+TOGETHER = 2_000
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones
+    for themselves, all others for the next characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def token_bytes(model) -> pa.Array:
+    """The bytes of each token of a byte-level vocabulary."""
+    alphabet = byte_alphabet()
+    tokens = [model.id_to_token(i) or "" for i in range(model.get_vocab_size())]
+    return pa.array([bytes(alphabet.get(c, 63) for c in t) for t in tokens], pa.binary())
+
+
+def apart(key: str) -> bool:
+    """Whether units may stand on both sides: no white space at either end."""
+    return not (key[0].isspace() or key[-1].isspace() or key[0] == "᠎" or key[-1] == "᠎")
+
+
+class UnitEncoder:
+    """Ids of units under a byte-level vocabulary, many units in one text.
+
+    Token lengths tell where a unit ends.  A unit with white space at its ends, which
+    would join its neighbours, is encoded alone, and so is each unit of a text whose
+    tokens do not end where its units do.
+    """
+
+    def __init__(self, model):
+        self.many = getattr(model, "encode_batch_fast", model.encode_batch)
+        self.bytes = token_bytes(model)
+        self.size = pc.binary_length(self.bytes).to_numpy().astype(np.int64)
+
+    def alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts and their numbers."""
+        ids = [e.ids for i in range(0, len(texts), TOGETHER)
+               for e in self.many(texts[i:i + TOGETHER], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), sizes
+
+    def encode(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a space and each key, one after the other, and how many each has."""
+        free = [i for i, k in enumerate(keys) if apart(k)]
+        sizes, found = np.zeros(len(keys), np.int64), []
+        late = np.ones(len(keys), bool)
+        for i in range(0, len(free), TOGETHER):
+            at = np.array(free[i:i + TOGETHER])
+            part = [keys[j] for j in at]
+            ids = np.array(self.many([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.int32)
+            end = np.cumsum(self.size[ids])
+            wanted = np.cumsum(pc.binary_length(pa.array(part, pa.string())).to_numpy().astype(np.int64) + 1)
+            cut = np.searchsorted(end, wanted)
+            if len(end) and end[-1] == wanted[-1] and (end[cut] == wanted).all():
+                late[at] = False
+                sizes[at] = np.diff(np.append(-1, cut))
+                found.append((at, ids))
+        rest = np.flatnonzero(late)
+        if len(rest):
+            ids, n = self.alone([" " + keys[j] for j in rest])
+            sizes[rest] = n
+            found.append((rest, ids))
+        out, start = np.zeros(int(sizes.sum()), np.int32), np.cumsum(sizes) - sizes
+        for at, ids in found:
+            n = sizes[at]
+            out[np.arange(len(ids)) + np.repeat(start[at] - (np.cumsum(n) - n), n)] = ids
+        return out, sizes

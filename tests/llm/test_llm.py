@@ -770,7 +770,7 @@ def plain_alignment(texts):
     one = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     one.encode_special_tokens = True
     two = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    table = alignment.byte_alphabet()
+    table = units.byte_alphabet()
     docs = []
     for t in texts:
         a = b = []
