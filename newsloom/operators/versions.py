@@ -4,17 +4,17 @@ A batch of arrivals is merged into the current articles as one set operation.
 Only narrow rows (key, order, hash) are windowed; bodies are fetched afterwards,
 for the few versions that need them, by an equi-join on a unique key.
 
-Skew.  One url may hold a large part of all arrivals.  Its sequence is therefore
-cut into chunks of ``chunk_span`` consecutive ``seq`` values, and the running
-state is computed as a two-level scan:
+Skew.  One url may hold a large part of all arrivals, with any order values.  Its
+sequence is cut by position, where the slices of a range sort by (url, seq) end
+(``operators/scan``), and the running state is computed as a two-level scan:
 
-1. inside each (url, chunk): previous hash and running number of changes;
-2. over one summary row per (url, chunk): whether the chunk's first row is a
+1. inside each (slice, url): previous hash and running number of changes;
+2. over one summary row per (slice, url): whether the slice's first row is a
    change, and how many versions came before it;
-3. both are joined on (url, chunk).
+3. both are joined on (slice, url).
 
-(url, seq) is unique, so no window partition of level 1 exceeds ``chunk_span``
-rows, and level 2 sees one row per chunk.
+Arrivals with one (url, seq) are folded before they move, so slices are even: no
+window of level 1 exceeds a slice, none of level 2 the number of slices.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as tx
+from newsloom.operators import scan
+from newsloom.sources.tables import kept
 
-CHUNK_SPAN = 1 << 20
 STORED_SEQ = -(1 << 62)  # the stored version precedes every arrival
 
 NEW, UPDATED, SAME = "nueva", "actualizada", "sin_cambios"
@@ -34,7 +35,7 @@ NEW, UPDATED, SAME = "nueva", "actualizada", "sin_cambios"
 
 @dataclass
 class Upsert:
-    """Lazy results of one merge."""
+    """Results of one merge; all start from ``resolved``, which is written once."""
 
     resolved: DataFrame  # narrow: one row per stored or arriving version
     status: DataFrame    # url, seq, estado of every arrival
@@ -48,13 +49,12 @@ def article_key(url: Column) -> Column:
     return F.xxhash64(url)
 
 
-def resolve(existing: DataFrame, incoming: DataFrame, track_title: bool = False,
-            chunk_span: int = CHUNK_SPAN) -> DataFrame:
-    """Version number, total versions and outcome of every arrival.
+def ordered(existing: DataFrame, incoming: DataFrame, track_title: bool = False,
+            slices: int | None = None) -> DataFrame:
+    """Narrow rows of stored and arriving versions, one per (url, seq), in slices.
 
-    A change is a body hash different from the one before it for the same url
-    (``track_title`` adds the title to the comparison).  Stored rows whose url
-    does not arrive are left out.
+    Stored rows whose url does not arrive are left out.  Of several arrivals with one
+    order, or one delivered twice, the least by hash and content counts.
     """
     def fingerprint(body_hash: Column) -> Column:
         if not track_title:
@@ -63,27 +63,34 @@ def resolve(existing: DataFrame, incoming: DataFrame, track_title: bool = False,
 
     arrivals = incoming.select(
         "url", F.col("seq").cast("long").alias("seq"),
-        # Not NULL, so the join below adds no filter to one of its sides only.
-        F.coalesce(F.floor(F.col("seq") / chunk_span).cast("long"), F.lit(0)).alias("chunk"),
-        F.md5("texto").alias("hash"), fingerprint(F.md5("texto")).alias("h"),
+        F.md5("texto").alias("hash"), row_tie().alias("tie"), fingerprint(F.md5("texto")).alias("h"),
         F.struct(article_key(F.col("url")).alias("id"), "fuente", "fecha_pub").alias("own"),
-        row_tie().alias("tie"),
     )
     stored = existing.join(incoming.select("url").distinct(), "url", "left_semi").select(
         "url", F.lit(STORED_SEQ).cast("long").alias("seq"),
-        F.lit(STORED_SEQ).cast("long").alias("chunk"),
-        F.col("hash_texto").alias("hash"), fingerprint(F.col("hash_texto")).alias("h"),
-        F.struct("id", "fuente", "fecha_pub").alias("own"), F.lit(0).cast("long").alias("tie"),
+        F.col("hash_texto").alias("hash"), F.lit(0).cast("long").alias("tie"),
+        fingerprint(F.col("hash_texto")).alias("h"),
+        F.struct("id", "fuente", "fecha_pub").alias("own"),
     )
+    version = F.struct("hash", "tie", "h", "own")
+    folded = stored.unionByName(arrivals).groupBy("url", "seq").agg(
+        F.min_by(version, F.struct("hash", "tie")).alias("v")
+    ).select("url", "seq", "v.*")
+    return scan.sliced(folded, ["url", "seq"], slices)
 
-    inside = Window.partitionBy("url", "chunk").orderBy("seq", "hash", "tie")
+
+def resolve(existing: DataFrame, incoming: DataFrame, track_title: bool = False,
+            slices: int | None = None) -> DataFrame:
+    """Version number, total versions and outcome of every arrival.
+
+    A change is a body hash different from the one before it for the same url
+    (``track_title`` adds the title to the comparison).
+    """
+    inside = scan.inside("url", "seq")
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # Both levels read this exchange: bodies are scanned and hashed once.
+    # Bodies are scanned and hashed once; both levels read the written rows.
     rows = (
-        stored.unionByName(arrivals).repartition("url", "chunk")
-        # Arrivals delivered twice, or two with one order, count once.
-        .withColumn("again", F.coalesce(F.lag("seq").over(inside) == F.col("seq"), F.lit(False)))
-        .filter(~F.col("again"))
+        kept(ordered(existing, incoming, track_title, slices), "versions")
         .withColumn("prev", F.lag("h").over(inside))
         .withColumn("last", F.lead("seq").over(inside).isNull())
         .withColumn("first_h", F.first("h").over(so_far))
@@ -92,7 +99,7 @@ def resolve(existing: DataFrame, incoming: DataFrame, track_title: bool = False,
         .withColumn("origin", F.first("own").over(so_far))
     )
 
-    across = Window.partitionBy("url").orderBy("chunk")
+    across = scan.across("url")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     whole = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     bounds = (
@@ -101,7 +108,7 @@ def resolve(existing: DataFrame, incoming: DataFrame, track_title: bool = False,
         .withColumn("opens", F.col("prev_h").isNull() | (F.col("prev_h") != F.col("first_h")))
         .withColumn("steps", F.col("edits") + F.col("opens").cast("long"))
         .select(
-            "url", "chunk", "opens",
+            "url", "slice", "opens",
             F.coalesce(F.sum("steps").over(before), F.lit(0).cast("long")).alias("base"),
             F.sum("steps").over(whole).alias("versions"),
             F.first("origin").over(across).alias("url_origin"),
@@ -114,8 +121,8 @@ def resolve(existing: DataFrame, incoming: DataFrame, track_title: bool = False,
     changed = F.when(F.col("prev").isNull(), F.col("opens")).otherwise(F.col("edit"))
     version = F.col("base") + F.col("opens").cast("long") + F.col("edits")
     return (
-        rows.select("url", "chunk", "seq", "hash", "tie", "prev", "edit", "edits", "own")
-        .join(bounds, ["url", "chunk"])
+        rows.select("url", "slice", "seq", "hash", "tie", "prev", "edit", "edits", "own")
+        .join(bounds, ["url", "slice"])
         .select(
             "url", "seq", "hash", "tie",
             (F.col("seq") == STORED_SEQ).alias("stored"),
@@ -191,13 +198,13 @@ def current_of(existing: DataFrame, resolved: DataFrame, delta: DataFrame) -> Da
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, now: str, track_title: bool = False,
-           chunk_span: int = CHUNK_SPAN) -> Upsert:
+           slices: int | None = None) -> Upsert:
     """Merge ``incoming`` into ``existing`` (unique by url).
 
     Of several arrivals with one url and seq, the first by hash and content counts.
     """
     stamp = F.lit(now).cast("timestamp_ntz")
-    resolved = resolve(existing, incoming, track_title, chunk_span)
+    resolved = kept(resolve(existing, incoming, track_title, slices), "resolved")
     delta = delta_of(resolved, incoming, stamp)
     return Upsert(
         resolved=resolved,

@@ -358,6 +358,20 @@ def stream_ingest(spark, sf):
     )
 
 
+@query
+def store_article(spark, sf):
+    """One stored article, read from the one bucket its url belongs to."""
+    return drained_store(spark, sf).article(LOOKUP_URL).select(
+        "url", "titulo", F.md5("texto").alias("md5_texto"), "fuente", "fecha_pub")
+
+
+@query
+def store_history(spark, sf):
+    """Stored history of one article, read from the one bucket its url belongs to."""
+    return versions.history_direct(drained_store(spark, sf).history_of(LOOKUP_URL), LOOKUP_URL).select(
+        "url", "titulo", F.md5("texto_anterior").alias("md5_texto"), "hash_anterior", "fecha_cambio")
+
+
 def events_stream(spark: SparkSession, sf: str) -> DataFrame:
     return (
         spark.readStream.schema(schemas.EVENTS).option("pathGlobFilter", "events.parquet")
@@ -368,9 +382,27 @@ def events_stream(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_timeline(spark, sf):
     base = work_dir(spark, "stream-timeline")
-    counts = st_timeline.daily_counts(events_stream(spark, sf))
-    st_timeline.write_counts(counts, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return spark.read.schema("fecha date, event_type string, total bigint").parquet(f"{base}/out")
+    st_timeline.daily_counts(
+        events_stream(spark, sf), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return st_timeline.closed_days(spark, f"{base}/out")
+
+
+@query
+def stream_late(spark, sf):
+    """Events in two landings, those with an even id first: what comes too late in the second."""
+    base = work_dir(spark, "stream-late")
+    events = tv.table(spark, sf, "events")
+    for part in (0, 1):
+        events.filter(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{base}/landing")
+        stream = st_ingest.landed(spark, f"{base}/landing", schemas.EVENTS)
+        st_timeline.daily_counts(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    closed = st_timeline.closed_days(spark, f"{base}/out").groupBy("event_type").agg(
+        F.sum("total").alias("cerradas"))
+    late = st_timeline.late_rows(spark, f"{base}/out", schemas.EVENTS).groupBy("event_type").agg(
+        F.count("*").alias("tardias"))
+    return closed.join(late, "event_type", "full").select(
+        "event_type", F.coalesce("cerradas", F.lit(0)).alias("cerradas"),
+        F.coalesce("tardias", F.lit(0)).alias("tardias"))
 
 
 @query
@@ -379,7 +411,5 @@ def stream_changes(spark, sf):
     rows = st_changes.keyed(
         events_stream(spark, sf), F.col("user_id"), F.col("event_id"), F.col("event_type")
     )
-    st_changes.write_changes(
-        st_changes.detect(rows), f"{base}/out", f"{base}/checkpoint"
-    ).awaitTermination()
-    return spark.read.schema(st_changes.OUTPUT).parquet(f"{base}/out")
+    st_changes.detect(rows, base, f"{base}/checkpoint").awaitTermination()
+    return st_changes.statuses(spark, base)

@@ -3,7 +3,7 @@
 Layout under one base folder, every write under the batch that made it:
 
     outcomes/batch_id=N            narrow result of the merge (status rows)
-    article_history/batch_id=N     superseded versions
+    article_history/batch_id=N/bucket=B   superseded versions
     articles/batch_id=N/bucket=B   full content of each bucket the batch touched
     snapshot/batch_id=N            the buckets the batch rewrote (at most BUCKETS rows)
     runs/batch_id=N                run summary
@@ -87,7 +87,28 @@ class ArticleStore:
         return self.spark.read.schema(schemas.ARTICLES).parquet(*folders)
 
     def history(self) -> DataFrame:
-        return self._read("article_history", HISTORY)
+        return self._read("article_history", T.StructType([*HISTORY, _BATCH, _BUCKET])).drop(
+            "batch_id", "bucket")
+
+    def _bucket_of(self, urls: list[str]) -> list[int]:
+        """Buckets of some urls: an expression over literals, read from one row."""
+        row = self.spark.range(1).select(F.array(*[self.bucket(F.lit(u)) for u in urls]).alias("b"))
+        return row.first()["b"]
+
+    def article(self, url: str) -> DataFrame:
+        """One article: only the live folder of its bucket is read."""
+        live = self._live(None)
+        bucket = self._bucket_of([url])[0]
+        if bucket not in live:
+            return empty(self.spark, schemas.ARTICLES)
+        folder = f"{self._path('articles')}/batch_id={live[bucket]}/bucket={bucket}"
+        return self.spark.read.schema(schemas.ARTICLES).parquet(folder).filter(F.col("url") == url)
+
+    def history_of(self, url: str) -> DataFrame:
+        """History of one url: the folders of its bucket, and the url inside them."""
+        rows = self._read("article_history", T.StructType([*HISTORY, _BATCH, _BUCKET]))
+        return rows.filter((F.col("bucket") == self._bucket_of([url])[0]) & (F.col("url") == url)).drop(
+            "batch_id", "bucket")
 
     def outcomes(self) -> DataFrame:
         return self._read("outcomes", T.StructType([*OUTCOMES, _BATCH]))
@@ -108,8 +129,12 @@ class ArticleStore:
         # Later steps start from the written rows instead of the whole lineage.
         resolved = self.spark.read.schema(OUTCOMES).parquet(self._path("outcomes", batch_id))
 
-        versions.history_of(resolved, existing, incoming, stamp).write.mode("overwrite").parquet(
-            self._path("article_history", batch_id)
+        (
+            versions.history_of(resolved, existing, incoming, stamp)
+            .withColumn("bucket", self.bucket(F.col("url")))
+            .hint("rebalance", "bucket")
+            .write.mode("overwrite").partitionBy("bucket")
+            .parquet(self._path("article_history", batch_id))
         )
 
         delta = versions.delta_of(resolved, incoming, stamp)

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsloom.session import work_dir
+
 
 def read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Parquet with an explicit schema."""
@@ -28,3 +30,13 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return empty(spark, schema)
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back.
+
+    What follows reads files that outlive a lost executor, as often as it likes.
+    """
+    path = work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return read(df.sparkSession, path, df.schema)

@@ -5,11 +5,14 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from newsloom.operators import lexical
+from newsloom import schemas
+from newsloom.operators import lexical, versions
 from newsloom.sources import testviews as tv
+from newsloom.sources.store import ArticleStore
 
 SF_DIR = "/root/testdata/sf0.001"
-LAZY = sorted(n for n in entry.queries() if n != "ingest_job" and not n.startswith("stream_"))
+LAZY = sorted(n for n in entry.queries()
+              if n != "ingest_job" and not n.startswith(("stream_", "op", "pipeline")))
 
 
 def plan(df) -> str:
@@ -50,7 +53,20 @@ def test_texts_are_tokenised_once(spark):
 
 
 def test_bodies_are_hashed_once(spark):
-    """Both levels of the version scan read one exchange."""
-    text = executed(entry.queries()["upsert_status"](spark, SF_DIR))
+    """Stored and arriving versions are laid out from one scan of each body."""
+    text = executed(versions.ordered(tv.articles(spark, SF_DIR), tv.incoming(spark, SF_DIR)))
     scans = re.findall(r"FileScan parquet \[([^\]]*)\]", text)
     assert len([s for s in scans if "html#" in s]) == 1
+
+
+def test_point_reads_list_one_bucket(spark, tmp_path):
+    rows = [(f"u{i % 50}", f"t{i}", f"b{i}", "s", None, i) for i in range(200)]
+    store = ArticleStore(spark, str(tmp_path / "store"), buckets=16)
+    store.apply(spark.createDataFrame(rows, schemas.INCOMING), 0, "2026-05-20 10:00:00")
+    article, history = store.article("u7"), store.history_of("u7")
+    assert [r.texto for r in article.collect()] == ["b157"]
+    assert sorted(r.texto_anterior for r in history.collect()) == ["b107", "b57", "b7"]
+    assert len(article.inputFiles()) == 1
+    text = plan(history)
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", text) and "PushedFilters: [IsNotNull(url), EqualTo(url,u7)]" in text
+    assert store.article("nothing").count() == store.history_of("nothing").count() == 0

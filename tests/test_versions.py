@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from newsloom import schemas
 from newsloom.operators import versions
@@ -68,8 +69,8 @@ def test_new_edit_same(spark):
     assert row.noticia_id == u.current.first().id
 
 
-@pytest.mark.parametrize("span", [1, 2, 1 << 20])
-def test_golden_sequences(spark, span):
+@pytest.mark.parametrize("slices", [None, 1, 9])
+def test_golden_sequences(spark, slices):
     stored = [stored_row(1, "a", "T1", "A"), stored_row(2, "b", "T1", "A", pub="2026-01-01"),
               stored_row(3, "z", "Z", "Z")]
     arrivals = [
@@ -77,13 +78,13 @@ def test_golden_sequences(spark, span):
         ("b", "T2", "B", "X", "2026-02-02", 0), ("b", "T3", "A", "X", None, 5),  # A, B, A
         ("c", "N", "N", "X", "", 7),
     ]
-    got = results(run(spark, stored, arrivals, chunk_span=span))
+    got = results(run(spark, stored, arrivals, slices=slices))
     assert got == model(stored, arrivals)
     assert got[1] == [("a", "T1", "A"), ("b", "T1", "A"), ("b", "T2", "B")]
 
 
-@pytest.mark.parametrize("seed, span", [(1, 3), (2, 16), (3, 1 << 20)])
-def test_random_sequences_with_a_hot_url(spark, seed, span):
+@pytest.mark.parametrize("seed, slices", [(1, 3), (2, 16), (3, None)])
+def test_random_sequences_with_a_hot_url(spark, seed, slices):
     rnd = random.Random(seed)
     names = [f"u{i}" for i in range(40)]
     stored = [stored_row(i, u, "T", rnd.choice("AB"), pub="2026-01-01")
@@ -92,7 +93,7 @@ def test_random_sequences_with_a_hot_url(spark, seed, span):
         ("u0" if rnd.random() < 0.34 else rnd.choice(names), f"t{i}", rnd.choice("ABC"),
          f"s{i}", None, i) for i in range(400)
     ]
-    u = run(spark, stored, arrivals, chunk_span=span)
+    u = run(spark, stored, arrivals, slices=slices)
     got, want = results(u), model(stored, arrivals)
     assert got == want
     assert len(got[1]) == sum(s == "actualizada" for s in got[0].values())
@@ -105,14 +106,29 @@ def test_track_title(spark):
     assert {r.titulo for r in u.current.collect()} == {"T2"}
 
 
-def test_level_one_windows_are_bounded(spark):
-    """No (url, chunk) group exceeds the span, however hot a url is."""
-    rows = [("u", "t", str(i % 3), "s", None, i) for i in range(1000)]
-    df = spark.createDataFrame(rows, schemas.INCOMING)
-    sizes = df.groupBy("url", versions.F.floor(df.seq / 64)).count()
-    assert sizes.agg({"count": "max"}).first()[0] == 64
-    resolved = versions.resolve(spark.createDataFrame([], schemas.ARTICLES), df, chunk_span=64)
-    assert resolved.filter("changed").count() == 1000
+def test_a_hot_url_with_sparse_orders_is_spread(spark):
+    """200,000 arrivals of one url with time stamps as order, some delivered twice."""
+    i = F.col("id")
+    df = spark.range(200_000).select(
+        F.lit("hot").alias("url"), F.lit("t").alias("titulo"),
+        (i % 3).cast("string").alias("texto"), F.lit("s").alias("fuente"),
+        F.lit(None).cast("string").alias("fecha_pub"),
+        (i * 1_000_003 * 60 + 1_700_000_000_000_000).alias("seq"))
+    df = df.union(df.filter("seq % 7 = 0")).union(df.limit(300).withColumn("url", F.lit("cold")))
+    existing = spark.createDataFrame([], schemas.ARTICLES)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        laid = versions.ordered(existing, df, slices=16)
+        sizes = [r["n"] for r in laid.groupBy("slice").agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) == 16 and max(sizes) < 2 * 200_300 / 16
+        resolved = versions.resolve(existing, df, slices=16)
+        hot = resolved.filter("url = 'hot'")
+        assert hot.count() == 200_000 and hot.filter("changed").count() == 200_000
+        last = hot.orderBy(F.desc("seq")).first()
+        assert (last.version, last.versions, last.estado) == (200_000, 200_000, "actualizada")
+        assert hot.agg(F.count_distinct("version")).first()[0] == 200_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def store_state(store):
