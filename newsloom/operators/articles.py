@@ -42,29 +42,59 @@ def tag_topics(articles: DataFrame, rules: Rules = fixed.TOPIC_RULES,
     return articles.withColumn(out, topic_case(_content(), rules, default))
 
 
+GRAM = 3
+
+
+def _grams(text: Column, lengths: range) -> Column:
+    """Distinct runs of characters of the given lengths, and the empty one."""
+    def of(chars: Column) -> Column:
+        parts = [F.array(F.lit(""))]
+        for n in lengths:
+            ends = [F.slice(chars, 1 + i, F.greatest(F.size(chars) - (n - 1), F.lit(0))) for i in range(n)]
+            joined = ends[0]
+            for e in ends[1:]:
+                joined = F.zip_with(joined, e, lambda x, y: F.concat(x, y))
+            parts.append(joined)
+        return F.array_distinct(F.concat(*parts))
+
+    return tx.bind(F.split(text, ""), of)
+
+
+def keyword_index(rules: DataFrame) -> DataFrame:
+    """(gram, priority, topic, keyword): each keyword under the one of its grams that
+    fewest keywords have.  Keywords below GRAM characters are their own gram."""
+    words = rules.select("priority", "topic", F.explode("keywords").alias("keyword")).filter(
+        F.col("keyword").isNotNull())
+    size = F.length("keyword")
+    longest = F.filter(_grams(F.col("keyword"), range(GRAM, GRAM + 1)), lambda g: F.length(g) == GRAM)
+    own = F.when(size >= GRAM, longest).otherwise(F.array("keyword"))
+    grams = words.withColumn("gram", F.explode(own))
+    often = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    return grams.join(often, "gram").groupBy("priority", "topic", "keyword").agg(
+        F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+
+
 def tag_topics_from_table(articles: DataFrame, rules: DataFrame,
                           default: str = fixed.TOPIC_DEFAULT, out: str = "topico",
-                          max_rules: int = 10_000) -> DataFrame:
-    """Same tagger with the rules in a table (priority, topic, keywords).
+                          key: str = "id") -> DataFrame:
+    """Same tagger with the rules in a table (priority, topic, keywords) of any size.
 
-    The rule table is packed into one ordered array of at most ``max_rules``
-    entries, read as a scalar subquery, so no row of articles is multiplied.
+    Articles (unique by ``key``) meet the rules on the grams of the keyword index; what
+    meets is folded to one list of candidates per article, tested for containment, and
+    the hit of least priority wins.  Only keys and grams move, not texts.
     """
-    packed = rules.limit(max_rules + 1).agg(
-        F.array_sort(F.collect_list(F.struct("priority", "topic", "keywords"))).alias("r")
-    ).select(
-        F.when(F.size("r") <= max_rules, F.col("r"))
-        .otherwise(F.raise_error(F.lit(f"more than {max_rules} topic rules"))).alias("r")
-    )
+    index = keyword_index(rules)
+    emitted = articles.select(
+        F.col(key).alias("_de"), F.explode(_grams(_content(), range(1, GRAM + 1))).alias("gram"))
+    candidates = emitted.join(index, "gram").groupBy("_de").agg(
+        F.array_sort(F.collect_set(F.struct("priority", "topic", "keyword"))).alias("_reglas"))
+
     def first_hit(text: Column) -> Column:
-        hits = F.filter(
-            F.col("_reglas"), lambda r: F.exists(r["keywords"], lambda k: F.contains(text, k))
-        )
+        hits = F.filter(F.col("_reglas"), lambda r: F.contains(text, r["keyword"]))
         return F.coalesce(F.get(hits, F.lit(0))["topic"], F.lit(default))
 
-    return articles.withColumn("_reglas", packed.scalar()).withColumn(
-        out, tx.bind(_content(), first_hit)
-    ).drop("_reglas")
+    joined = articles.join(candidates, F.col(key) == F.col("_de"), "left")
+    return joined.withColumn(out, tx.bind(_content(), first_hit)).drop("_de", "_reglas")
 
 
 def enrich(articles: DataFrame, rules: Rules = fixed.TOPIC_RULES,

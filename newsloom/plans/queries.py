@@ -52,6 +52,18 @@ def articles_enriched(spark, sf):
     )
 
 
+@query
+def topics_from_table(spark, sf):
+    """The sample topics and one rule per stored title, all read from a table."""
+    stated = tv.sample_rules(spark)
+    titles = tv.articles(spark, sf).filter(F.length("titulo") > 20).select(
+        (F.col("id") + len(tv.SAMPLE_RULES)).cast("long").alias("priority"),
+        F.concat(F.lit("T"), F.col("id").cast("string")).alias("topic"),
+        F.array(F.lower("titulo")).alias("keywords"))
+    rules = stated.unionByName(titles)
+    return ar.tag_topics_from_table(tv.articles(spark, sf), rules, tv.SAMPLE_DEFAULT).select("id", "topico")
+
+
 @query
 def filter_feed(spark, sf):
     return ar.with_cards(ar.feed(enriched(spark, sf), **FEED_FILTERS)).select(

@@ -77,6 +77,13 @@ def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionByName(landed)
 
 
+def sample_rules(spark: SparkSession) -> DataFrame:
+    """The sample rules as a rule table."""
+    return spark.createDataFrame(
+        [(i, topic, words) for i, (topic, words) in enumerate(SAMPLE_RULES)],
+        "priority long, topic string, keywords array<string>")
+
+
 def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``benchmark`` as a batch of search queries."""
     return table(spark, sf_dir, "benchmark").select(

@@ -1,6 +1,7 @@
 """Golden rows: topics, dates, filters, matching, display values."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +48,22 @@ def test_topic_rules_table_equals_case(spark, make):
     assert sorted(a) == sorted(b)
 
 
+def test_fifty_thousand_rules_match_a_plain_search(spark, make):
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abcé ñ😀") for _ in range(n))
+    rules = [(i, f"T{i % 977}", [word(rnd.randrange(5, 12)) for _ in range(rnd.randrange(3))])
+             for i in range(50_000)]
+    rules += [(60_000, "none", None), (50_001, "short", ["zq"]), (50_002, "one", ["😀"]), (50_003, "all", [""])]
+    texts = [word(rnd.randrange(0, 200)) for _ in range(60)] + ["zq", "", "xzqx", "y😀y"]
+    df = make(*[article(i, texto=t, titulo="") for i, t in enumerate(texts)])
+    table = spark.createDataFrame(rules, "priority int, topic string, keywords array<string>")
+    got = {r.id: r.topico for r in ar.tag_topics_from_table(df, table, "General").select("id", "topico").collect()}
+    for i, t in enumerate(texts):
+        want = next((topic for _, topic, words in sorted(rules, key=lambda r: r[0])
+                     if any(w in " " + t.lower() for w in words or [])), "General")
+        assert got[i] == want
+
+
 def test_dates_and_missing_values(make):
     df = ar.enrich(make(
         article(1), article(2, pub=None), article(3, pub=""), article(4, pub="2026-05-16 08:00:00"),
