@@ -10,12 +10,21 @@ Search
     Query terms are broadcast up to a checked number of rows; beyond it both
     sides are salted, so a term found in a large part of all documents is spread
     over several tasks.  Rank per query is cut to the top k before the shuffle.
+    Stored rows (one per document, with all its terms) are scored whole in the
+    task that reads them: k rows per query leave it, and no pair is a row before.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import sys
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +33,13 @@ from newsloom.functions import scoring, terms, text as tx
 from newsloom.operators.articles import tag_topics
 
 SIM_DIGITS = 6
+SUM_DIGITS = 12  # beyond these a sum hangs on the order of its parts
 MAX_BROADCAST_ROWS = 200_000
 SALTS = 32
+CELLS = 2_000_000  # products and scores a task holds at a time
+
+# Workers get the task function by value and need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 @dataclass
@@ -34,8 +48,8 @@ class LexicalIndex:
     postings: DataFrame  # id, term, peso (rows of a document have norm 1)
     documents: DataFrame  # id of every document, with or without terms
     stop_words: list[str]
-    counts: DataFrame | None = None  # id, term, tf of a fresh fit
     max_features: int = fixed.MAX_FEATURES
+    rows: DataFrame | None = None  # stored: id, terminos (array<struct<term, tf>>)
 
 
 def corpus_text(titulo: Column, texto: Column, title_weight: int = fixed.TITLE_WEIGHT) -> Column:
@@ -71,10 +85,14 @@ def term_counts(arrays: DataFrame, key: str) -> DataFrame:
 def vocabulary(counts: DataFrame, n_docs: Column,
                max_features: int = fixed.MAX_FEATURES) -> DataFrame:
     """The ``max_features`` terms of largest corpus frequency, with idf."""
+    totals = counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
+    return cut(totals, n_docs, max_features)
+
+
+def cut(totals: DataFrame, n_docs: Column, max_features: int) -> DataFrame:
+    """The vocabulary of counted terms (term, cf, df)."""
     return (
-        counts.groupBy("term")
-        .agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
-        .orderBy(F.desc("cf"), F.asc("term"))
+        totals.orderBy(F.desc("cf"), F.asc("term"))
         .limit(max_features)
         .withColumn("n", n_docs)
         .withColumn("idf", F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
@@ -115,43 +133,35 @@ def fit(articles: DataFrame, max_features: int = fixed.MAX_FEATURES,
     vocab = vocabulary(counts, n_docs, max_features)
     return LexicalIndex(
         vocab, weigh(counts, vocab, "id", max_features), articles.select("id"), stop_words,
-        counts, max_features,
+        max_features,
     )
 
 
-def reweigh(index: LexicalIndex, vocab: DataFrame) -> LexicalIndex:
-    """The same fit with its vocabulary read back from a written table."""
-    return replace(index, vocab=vocab, postings=weigh(
-        index.counts, vocab, "id", index.max_features))
+def asked_counts(index: LexicalIndex, queries: DataFrame) -> DataFrame:
+    arrays = term_arrays(queries, "query_id", F.col("consulta"), index.stop_words)
+    return term_counts(arrays, "query_id")
 
 
 def scores(index: LexicalIndex, queries: DataFrame,
            max_broadcast_rows: int = MAX_BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
     """Cosine of every (query, document) pair that shares a term.
 
-    ``bruta`` is the value as computed, for thresholds and display; ``similitud``
-    is rounded, so that rank and ties do not hang on the order of a sum.
+    ``bruta``, to twelve digits, serves thresholds and display; ``similitud`` is rounded
+    further, so that rank and ties do not hang on the order of a sum.
 
     The number of query terms is checked on the queries alone, before the
     vocabulary is known, and only up to the limit.
     """
-    counts = term_counts(
-        term_arrays(queries, "query_id", F.col("consulta"), index.stop_words), "query_id"
-    )
+    counts = asked_counts(index, queries)
     asked = weigh(counts, index.vocab, "query_id", index.max_features).withColumnRenamed("peso", "q")
-    on = ["term"]
-    if "term_bucket" in index.postings.columns:  # stored postings: prune by partition
-        buckets = _vocab_side(index.vocab.select("term", "term_bucket"), index.max_features)
-        asked = asked.join(buckets, "term")
-        on = ["term", "term_bucket"]
     if counts.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
-        matched = index.postings.join(F.broadcast(asked), on)
+        matched = index.postings.join(F.broadcast(asked), "term")
     else:
         all_salts = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
         salted = index.postings.withColumn("sal", F.pmod(F.xxhash64("id"), F.lit(salts)))
-        matched = salted.join(asked.withColumn("sal", F.explode(all_salts)), [*on, "sal"])
+        matched = salted.join(asked.withColumn("sal", F.explode(all_salts)), ["term", "sal"])
     return matched.groupBy("query_id", "id").agg(
-        F.sum(F.col("peso") * F.col("q")).alias("bruta")
+        F.round(F.sum(F.col("peso") * F.col("q")), SUM_DIGITS).alias("bruta")
     ).withColumn("similitud", F.round("bruta", SIM_DIGITS))
 
 
@@ -161,6 +171,109 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+class RowScorer:
+    """Scores documents whole, each from its own terms, and keeps k per query.
+
+    ``vocab`` (term, idf) and ``asked`` (query_id, term, peso) are bounded by their
+    callers.  A document whose score cannot reach the k-th of any query, by the largest
+    weight any query gives each term, is left out before its products are made.
+    """
+
+    def __init__(self, vocab: pd.DataFrame, asked: pd.DataFrame, k: int):
+        self.terms = pa.array(vocab["term"], pa.string())
+        self.idf, self.k = vocab["idf"].to_numpy(np.float64), k
+        self.qids, query = np.unique(asked["query_id"].to_numpy(np.int64), return_inverse=True)
+        term = pc.index_in(pa.array(asked["term"], pa.string()), value_set=self.terms).to_numpy(
+            zero_copy_only=False)
+        order = np.argsort(term, kind="stable")
+        self.query, self.weight = query[order], asked["peso"].to_numpy(np.float64)[order]
+        self.n_asking = np.bincount(term, minlength=len(vocab))
+        self.first = np.cumsum(self.n_asking) - self.n_asking
+        self.most = np.zeros(len(vocab))
+        np.maximum.at(self.most, term, asked["peso"].to_numpy(np.float64))
+        self.least = np.zeros(len(self.qids))  # k-th score so far, 0 while there are fewer
+        self.best: pd.DataFrame | None = None
+
+    def add(self, ids: np.ndarray, lists: pa.Array) -> None:
+        flat = pc.list_flatten(lists)
+        doc = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+        code = pc.index_in(flat.field("term"), value_set=self.terms)
+        known = code.is_valid().to_numpy(zero_copy_only=False)
+        code = code.fill_null(0).to_numpy(zero_copy_only=False)[known]
+        tf = flat.field("tf").to_numpy(zero_copy_only=False)[known]
+        doc = doc[known]
+        w = (np.log(tf) + 1) * self.idf[code]
+        w /= np.sqrt(np.bincount(doc, w * w, len(ids)))[doc]
+        reach = np.bincount(doc, w * self.most[code], len(ids))
+        open_ = (reach > 0) & (reach + 1e-9 >= self.least.min(initial=np.inf))
+        here = open_[doc] & (self.n_asking[code] > 0)
+        code, doc, w = code[here], doc[here], w[here]
+        # Documents are taken in runs of bounded products and bounded score cells.
+        work = np.bincount(doc, self.n_asking[code], len(ids)) + len(self.qids)
+        run = ((np.cumsum(work) - work) // CELLS)[doc]
+        for lo, hi in zip(*_bounds(run)):
+            self._run(ids, doc[lo:hi], code[lo:hi], w[lo:hi])
+
+    def _run(self, ids: np.ndarray, doc: np.ndarray, code: np.ndarray, w: np.ndarray) -> None:
+        base, width, n = doc[0], len(self.qids), self.n_asking[code]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(self.first[code], n)
+        cell = np.repeat(doc - base, n) * width + self.query[at]
+        raw = np.bincount(cell, np.repeat(w, n) * self.weight[at])
+        cell = np.flatnonzero(raw)
+        raw, who = raw[cell], cell % width
+        sims = np.round(raw, SIM_DIGITS)
+        keep = sims >= self.least[who]
+        found = pd.DataFrame({"q": who[keep], "id": ids[base + cell[keep] // width],
+                              "bruta": raw[keep], "similitud": sims[keep]})
+        best = found if self.best is None else pd.concat([self.best, found])
+        best = best.sort_values(["q", "similitud", "id"], ascending=[True, False, True])
+        place = best.groupby("q", sort=False).cumcount()
+        self.best = best[place < self.k]
+        full = best[place == self.k - 1]
+        self.least[full["q"]] = full["similitud"]
+
+    def result(self) -> pa.RecordBatch | None:
+        if self.best is None:
+            return None
+        return pa.RecordBatch.from_arrays(
+            [pa.array(self.qids[self.best["q"]], pa.int64()), pa.array(self.best["id"], pa.int64()),
+             pa.array(self.best["bruta"], pa.float64()), pa.array(self.best["similitud"], pa.float64())],
+            names=["query_id", "id", "bruta", "similitud"])
+
+
+def _bounds(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of equal runs."""
+    starts = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else np.array([], int)
+    return starts, np.append(starts[1:], len(run)) if len(run) else starts
+
+
+def task_hits(index: LexicalIndex, queries: DataFrame, k: int,
+              max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame | None:
+    """Top k per query and task of stored rows; None if queries or vocabulary exceed
+    ``max_rows``, of which not more than one row beyond is fetched."""
+    if index.max_features > max_rows:
+        return None
+    weights = weigh(asked_counts(index, queries), index.vocab, "query_id", index.max_features)
+    asked = weights.limit(max_rows + 1).toPandas()
+    if len(asked) > max_rows:
+        return None
+    vocab = index.vocab.select("term", "idf").limit(index.max_features).toPandas()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = RowScorer(vocab, asked, k)
+        for b in batches:
+            if b.num_rows and len(asked):
+                scorer.add(b.column(0).to_numpy(), b.column(1))
+        found = scorer.result()
+        if found is not None:
+            yield found
+
+    return index.rows.select("id", "terminos").mapInArrow(
+        run, "query_id long, id long, bruta double, similitud double"
+    ).withColumn("bruta", F.round("bruta", SUM_DIGITS))
+
+
 def search(index: LexicalIndex, queries: DataFrame, k: int = fixed.LEXICAL_TOP_K,
            max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Top k documents per query; short results are filled up at similarity 0.
@@ -172,7 +285,10 @@ def search(index: LexicalIndex, queries: DataFrame, k: int = fixed.LEXICAL_TOP_K
     asked = queries.withColumn("consulta", tx.strip(F.col("consulta"))).filter(
         F.col("consulta") != ""
     )
-    hits = top_k(scores(index, asked, max_broadcast_rows), k).drop("rank")
+    scored = None if index.rows is None else task_hits(index, asked, k, max_broadcast_rows)
+    if scored is None:
+        scored = scores(index, asked, max_broadcast_rows)
+    hits = top_k(scored, k).drop("rank")
     first_ids = index.documents.orderBy("id").limit(k).agg(
         F.array_sort(F.collect_list("id")).alias("ids")
     )

@@ -17,7 +17,7 @@ from newsloom.operators import pages as pg
 from newsloom.plans import ingest
 from newsloom.session import work_dir
 from newsloom.sources import testviews as tv
-from newsloom.sources.store import ArticleStore
+from newsloom.sources.store import ArticleStore, LexicalTables
 from newsloom.streaming import changes as st_changes
 from newsloom.streaming import ingest as st_ingest
 from newsloom.streaming import timeline as st_timeline
@@ -294,6 +294,28 @@ def search_summary(spark, sf):
     return lexical.summary(queries, hits)
 
 
+@query
+def tfidf_stored_search(spark, sf):
+    """Search of stored tables, brought up to date after edits, removals and additions."""
+    tables = LexicalTables(spark, work_dir(spark, "lexical"))
+    tables.refit(tv.articles(spark, sf), "v1")
+    tables.update(tv.later_articles(spark, sf), "v2", "v1")
+    return lexical.search(tables.load("v2"), tv.query_texts(spark, sf)).select(
+        "query_id", "rank", "id", "similitud", "relevante")
+
+
+@query
+def search_odd(spark, sf):
+    """Blank, missing and unknown queries beside plain ones, and all of them again on a
+    corpus without articles."""
+    queries = tv.odd_queries(spark, sf)
+    parts = []
+    for name, docs in (("lleno", tv.articles(spark, sf)), ("vacio", tv.articles(spark, sf).filter("false"))):
+        hits = lexical.search(lexical.fit(docs), queries)
+        parts.append(lexical.summary(queries, hits).withColumn("corpus", F.lit(name)))
+    return parts[0].unionByName(parts[1])
+
+
 # ---------------------------------------------------------- dense and prompts
 
 

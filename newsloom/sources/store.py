@@ -19,12 +19,14 @@ again with the same result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom import schemas
-from newsloom.operators import metrics, versions
+from newsloom import fixed, schemas
+from newsloom.operators import lexical, metrics, versions
 from newsloom.session import run_stamp
 from newsloom.sources.tables import empty, read_or_empty
 
@@ -184,47 +186,123 @@ class DocumentIndex:
 
 
 class LexicalTables:
-    """Fitted lexical index as tables under a new version folder per fit.
-
-    Postings are partitioned by a hash of the term, so a search reads only the
-    partitions of its own terms.
+    """Fitted lexical index as tables, one folder per version.
+
+        rows    (id, huella, terminos) of the documents the version adds or changes
+        gone    (id, origen) of earlier rows it replaces or removes
+        terms   (term, cf, df) of the whole corpus
+        size    (n, documents)
+        chain   (pos, version) whose rows make up the corpus
+
+    ``refit`` starts a chain; ``update`` adds to one: only changed documents are cut
+    into terms, and the counts of all terms are brought up to date by a signed delta.
+    Weights depend on the whole corpus and are computed from counts where rows are
+    read.  Ids must be unique.  All versions of a chain take the same options.
     """
 
-    TERM_BUCKETS = 64
-
-    def __init__(self, spark: SparkSession, base: str):
+    ROWS = T.StructType([
+        T.StructField("id", T.LongType()), T.StructField("huella", T.StringType()),
+        T.StructField("terminos", T.ArrayType(T.StructType([
+            T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())]))),
+    ])
+    GONE = T.StructType([T.StructField("id", T.LongType()), T.StructField("origen", T.StringType())])
+    TERMS = T.StructType([T.StructField("term", T.StringType()),
+                          T.StructField("cf", T.LongType()), T.StructField("df", T.LongType())])
+
+    def __init__(self, spark: SparkSession, base: str, stop_words: list[str] = fixed.STOP_WORDS,
+                 max_features: int = fixed.MAX_FEATURES, title_weight: int = fixed.TITLE_WEIGHT):
         self.spark, self.base = spark, base.rstrip("/")
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("term"), F.lit(self.TERM_BUCKETS)).cast("int")
-
-    def refit(self, articles: DataFrame, version: str, **options) -> int:
+        self.stop_words, self.max_features = stop_words, max_features
+        self.title_weight = title_weight
+
+    def _read(self, version: str, table: str, schema: T.StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.base}/{version}/{table}")
+
+    def _write(self, df: DataFrame, version: str, table: str) -> None:
+        df.write.mode("overwrite").parquet(f"{self.base}/{version}/{table}")
+
+    def _chain(self, version: str) -> list[str]:
+        """Versions since the last full fit, oldest first."""
+        steps = self._read(version, "chain", "pos int, version string").collect()
+        return [r.version for r in sorted(steps)]
+
+    def _live(self, version: str) -> DataFrame:
+        """Rows of the corpus as of a version: all that its chain wrote, less what is gone."""
+        chain = self._chain(version)
+        rows, gone = (
+            reduce(DataFrame.unionByName, [
+                self._read(v, table, schema).withColumn("version", F.lit(v)) for v in chain])
+            for table, schema in (("rows", self.ROWS), ("gone", self.GONE))
+        )
+        rows = rows.withColumnRenamed("version", "origen")
+        return rows.join(gone.drop("version"), ["id", "origen"], "left_anti") if len(chain) > 1 else rows
+
+    def _content(self) -> Column:
+        return lexical.corpus_text(F.col("titulo"), F.col("texto"), self.title_weight)
+
+    def _cut(self, articles: DataFrame, version: str) -> DataFrame:
+        """Term arrays of the articles, written once."""
+        arrays = lexical.term_arrays(
+            articles.select(F.struct("id", F.md5(self._content()).alias("huella")).alias("k"),
+                            self._content().alias("contenido")),
+            "k", F.col("contenido"), self.stop_words)
+        self._write(arrays.select("k.*", "terminos"), version, "rows")
+        return self._read(version, "rows", self.ROWS)
+
+    def _finish(self, version: str, terms: DataFrame, n: int, chain: list[str]) -> int:
+        self._write(terms, version, "terms")
+        self._write(self.spark.createDataFrame([(n,)], "n long"), version, "size")
+        self._write(self.spark.createDataFrame(list(enumerate(chain)), "pos int, version string"),
+                    version, "chain")
+        return n
+
+    def refit(self, articles: DataFrame, version: str) -> int:
         """Fit anew from the current articles; returns the number of documents."""
-        from newsloom.operators import lexical
-
-        fitted = lexical.fit(articles, **options)
-        root = f"{self.base}/{version}"
-        fitted.vocab.write.mode("overwrite").parquet(f"{root}/vocab")
-        # Weights come from the written vocabulary, not from a second full fit.
-        vocab = self.spark.read.parquet(f"{root}/vocab")
-        (
-            lexical.reweigh(fitted, vocab).postings
-            .withColumn("term_bucket", self._bucket())
-            .hint("rebalance", "term_bucket")
-            .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{root}/postings")
+        rows = self._cut(articles, version)
+        self._write(empty(self.spark, self.GONE), version, "gone")
+        terms = lexical.term_counts(rows, "id").groupBy("term").agg(
+            F.sum("tf").alias("cf"), F.count("*").alias("df"))
+        return self._finish(version, terms, rows.count(), [version])
+
+    def update(self, articles: DataFrame, version: str, previous: str) -> int:
+        """The fit of the current articles, made from an earlier version's.
+
+        Documents are told apart by (id, digest of title and body) on narrow rows.
+        Articles no longer there are taken out.  Returns the number of documents.
+        """
+        chain = self._chain(previous)
+        if version in chain:
+            raise ValueError(f"version {version} is part of the chain it would change")
+        old = self._live(previous)
+        now = articles.select("id", F.md5(self._content()).alias("huella"))
+        gone = old.select("id", "huella", "origen").join(now, ["id", "huella"], "left_anti")
+        self._write(gone.select("id", "origen"), version, "gone")
+        gone = self._read(version, "gone", self.GONE)
+        fresh = now.join(old.select("id", "huella"), ["id", "huella"], "left_anti").select("id")
+        rows = self._cut(articles.join(fresh, "id", "left_semi"), version)
+
+        def signed(df: DataFrame, sign: int) -> DataFrame:
+            return lexical.term_counts(df, "id").select(
+                "term", (F.col("tf") * sign).cast("long").alias("cf"),
+                F.lit(sign).cast("long").alias("df"))
+
+        left = old.join(gone, ["id", "origen"], "left_semi")
+        terms = (
+            self._read(previous, "terms", self.TERMS)
+            .unionByName(signed(rows, 1)).unionByName(signed(left, -1))
+            .groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+            .filter(F.col("df") > 0)
         )
-        fitted.documents.write.mode("overwrite").parquet(f"{root}/documents")
-        return self.spark.read.parquet(f"{root}/documents").count()
-
-    def load(self, version: str, stop_words: list[str] | None = None):
-        from newsloom import fixed
-        from newsloom.operators.lexical import LexicalIndex
-
-        root = f"{self.base}/{version}"
-        read = self.spark.read.parquet
-        return LexicalIndex(
-            vocab=read(f"{root}/vocab").withColumn("term_bucket", self._bucket()),
-            postings=read(f"{root}/postings"),
-            documents=read(f"{root}/documents"),
-            stop_words=fixed.STOP_WORDS if stop_words is None else stop_words,
+        n = self._read(previous, "size", "n long").first().n + rows.count() - gone.count()
+        return self._finish(version, terms, n, [*chain, version])
+
+    def load(self, version: str) -> lexical.LexicalIndex:
+        size = self._read(version, "size", "n long").first().n
+        vocab = lexical.cut(self._read(version, "terms", self.TERMS), F.lit(size), self.max_features)
+        rows = self._live(version)
+        return lexical.LexicalIndex(
+            vocab=vocab,
+            postings=lexical.weigh(lexical.term_counts(rows, "id"), vocab, "id", self.max_features),
+            documents=rows.select("id"), stop_words=self.stop_words,
+            max_features=self.max_features, rows=rows,
         )

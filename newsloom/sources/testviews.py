@@ -77,6 +77,18 @@ def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionByName(landed)
 
 
+def later_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles at a later time: bodies in ``es`` edited, those in ``fr`` taken
+    down, and every raw page as a new article under a negative id."""
+    kept = articles(spark, sf_dir, "lang").filter(~F.col("lang").eqNullSafe(F.lit("fr")))
+    old = kept.select("id", "titulo", F.when(
+        F.col("lang") == "es", F.concat("texto", F.lit(" edición corregida"))
+    ).otherwise(F.col("texto")).alias("texto"))
+    return old.unionByName(table(spark, sf_dir, "pages").select(
+        (-1 - F.col("page_id")).alias("id"), F.col("url").alias("titulo"),
+        F.col("html").alias("texto")))
+
+
 def sample_rules(spark: SparkSession) -> DataFrame:
     """The sample rules as a rule table."""
     return spark.createDataFrame(
@@ -91,6 +103,16 @@ def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def odd_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per ``benchmark`` item: its text, a blank, none, and words no article has."""
+    item, text = F.col("item_id"), F.col("text")
+    forms = F.array(text, F.lit(" \t\n "), F.lit(None).cast("string"),
+                    F.concat(F.lit("zqxj"), item.cast("string")))
+    return table(spark, sf_dir, "benchmark").select(
+        item, F.posexplode(forms).alias("pos", "consulta")
+    ).select((item * 4 + F.col("pos")).alias("query_id"), "consulta")
+
+
 def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One query vector per label: the mean of the label's embeddings.
 

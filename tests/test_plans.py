@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from newsloom import schemas
 from newsloom.operators import lexical, versions
 from newsloom.sources import testviews as tv
-from newsloom.sources.store import ArticleStore
+from newsloom.sources.store import ArticleStore, LexicalTables
 
 SF_DIR = "/root/testdata/sf0.001"
 LAZY = sorted(n for n in entry.queries()
@@ -52,6 +52,23 @@ def test_texts_are_tokenised_once(spark):
     assert len([s for s in scans if "doc_id" in s and "text#" in s]) == 1
 
 
+def exchanges(text: str) -> list[str]:
+    return re.findall(r"Exchange hashpartitioning\(([^)]*?), \d+\)", text)
+
+
+def test_pairs_cross_no_shuffle_before_they_are_cut(spark, tmp_path):
+    """Between the documents' terms and the first k rows a query, nothing is sent by pair."""
+    docs, queries = tv.articles(spark, SF_DIR), tv.query_texts(spark, SF_DIR)
+    fresh = executed(lexical.top_k(lexical.scores(lexical.fit(docs), queries), 5))
+    assert not any("query_id" in e and re.search(r"\bid#", e) for e in exchanges(fresh))
+    assert fresh.count("WindowGroupLimit") >= 2
+    tables = LexicalTables(spark, str(tmp_path / "lex"))
+    tables.refit(docs, "v1")
+    stored = executed(lexical.top_k(lexical.task_hits(tables.load("v1"), queries, 5), 5))
+    assert [e.split("#")[0] for e in exchanges(stored)] == ["query_id"]
+    assert "MapInArrow" in stored
+
+
 def test_bodies_are_hashed_once(spark):
     """Stored and arriving versions are laid out from one scan of each body."""
     text = executed(versions.ordered(tv.articles(spark, SF_DIR), tv.incoming(spark, SF_DIR)))

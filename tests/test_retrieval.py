@@ -121,6 +121,59 @@ def test_refit_and_stored_search(spark, tmp_path):
     assert lexical.search(tables.load("v2"), queries, k=5).filter("query_id = 0").count() == 2
 
 
+def test_update_equals_a_fresh_fit(spark, tmp_path):
+    """Edits, title edits, removals and additions, over two updates and out of order."""
+    tables = LexicalTables(spark, str(tmp_path / "lex"), max_features=40)
+    first = [(i, t, b) for i, (t, b) in enumerate(DOCS)]
+    second = [(0, "Bloqueo en la ruta", "Sindicatos levantan el bloqueo"), (1, *DOCS[1]),
+              (3, "Fútbol: final", DOCS[3][1]), (4, None, None), (7, "Lluvia", "Lluvia y gol en Oruro")]
+    third = [(0, *DOCS[0]), (2, *DOCS[2]), (7, "Lluvia", "Lluvia y gol en Oruro")]
+    queries = asked(spark, "bloqueo carretera", "economía dólar", "gol final oruro", "nada")
+    frames = [spark.createDataFrame(rows, "id long, titulo string, texto string")
+              for rows in (first, second, third)]
+    tables.refit(frames[0], "v0")
+    for n in (1, 2):
+        assert tables.update(frames[n], f"v{n}", f"v{n - 1}") == frames[n].count()
+        stored, fresh = tables.load(f"v{n}"), lexical.fit(frames[n], max_features=40)
+        assert sorted(map(tuple, stored.vocab.collect())) == sorted(map(tuple, fresh.vocab.collect()))
+        want = sorted(map(tuple, lexical.search(fresh, queries, k=4).collect()))
+        assert [r[:2] for r in sorted(map(tuple, lexical.search(stored, queries, k=4).collect()))] == [
+            r[:2] for r in want]
+        salted = lexical.search(stored, queries, k=4, max_broadcast_rows=1)
+        assert [r[:2] for r in sorted(map(tuple, salted.collect()))] == [r[:2] for r in want]
+    # Only what changed is cut into terms again.
+    assert spark.read.parquet(str(tmp_path / "lex/v2/rows")).count() == 2
+    with pytest.raises(ValueError):
+        tables.update(frames[0], "v1", "v2")
+
+
+def test_documents_are_scored_whole_in_their_task(spark, tmp_path, monkeypatch):
+    """No cut of a batch, number of tasks or order of documents changes the hits."""
+    rng = np.random.default_rng(3)
+    words = [f"palabra{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words[:1 + i % 60], 1 + i % 25)) for i in range(300)]
+    texts[100:200] = [texts[100]] * 100  # a third of all rows are copies
+    docs = corpus(spark, *[("", t) for t in texts]).repartition(4)
+    queries = asked(spark, *[" ".join(rng.choice(words, 1 + i % 4)) for i in range(30)])
+    tables = LexicalTables(spark, str(tmp_path / "lex"))
+    tables.refit(docs, "v1")
+    index = tables.load("v1")
+    want = sorted((r.query_id, r["rank"], r.id, r.similitud)
+                  for r in lexical.search(lexical.fit(docs), queries, k=7).collect())
+    for cells in (lexical.CELLS, 50):
+        weights = lexical.weigh(lexical.asked_counts(index, queries), index.vocab, "query_id")
+        monkeypatch.setattr(lexical, "CELLS", cells)
+        scorer = lexical.RowScorer(index.vocab.select("term", "idf").toPandas(), weights.toPandas(), 7)
+        table = index.rows.select("id", "terminos").toArrow()
+        for b in table.to_batches(max_chunksize=37):
+            scorer.add(b.column(0).to_numpy(), b.column(1))
+        got = scorer.result().to_pandas()
+        found = {(q, i, s) for q, _, i, s in want if s > 0}
+        assert {(r.query_id, r.id, r.similitud) for r in got[got.similitud > 0].itertuples()} == found
+    stored = lexical.search(index, queries, k=7).collect()
+    assert sorted((r.query_id, r["rank"], r.id, r.similitud) for r in stored) == want
+
+
 def test_vocabulary_cut(spark):
     vocab = lexical.fit(corpus(spark, *DOCS), max_features=3).vocab.collect()
     assert len(vocab) == 3
