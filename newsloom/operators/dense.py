@@ -5,9 +5,10 @@ the query matrix, cut to the top k per query before anything leaves the task.
 No (query, document) pair is ever a row of its own, so neither a cross join nor
 a hot bucket can blow up the plan, and a document's payload never moves.
 
-The query matrix is shipped to the tasks only up to a checked number of
-queries; a larger batch is cut into hash blocks that meet document blocks of
-bounded size in a cogroup.
+Vectors are compared with queries of their own dimension; the matrix of each is
+chosen inside the task.  The query matrix is shipped to the tasks only up to a
+checked number of queries; a larger batch is taken in slices, each of which passes
+over the documents where they lie and leaves k rows a query in a written table.
 """
 
 from __future__ import annotations
@@ -15,23 +16,25 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom import fixed
+from newsloom.session import work_dir
 
 SIM_DIGITS = 6
 MAX_BROADCAST_QUERIES = 4096
 MAX_BROADCAST_HITS = 100_000
-DOC_BLOCK_ROWS = 50_000
 QUERY_SLICE = 512
+PAIR_ROWS = 50_000
+LSH_DIGITS = 9  # a projection is rounded before it is cut, whatever the order of its sum
 
 # Workers get the task functions by value and need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -52,6 +55,15 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _by_width(ids: np.ndarray, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(width, ids, matrix) of the vectors of each dimension."""
+    widths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    for width in np.unique(widths):
+        at = np.flatnonzero(widths == width)
+        same = column if len(at) == len(column) else column.take(pa.array(at))
+        yield int(width), ids[at], _matrix(same)
+
+
 def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column indexes of the first k per column by (sim desc, id asc).
 
@@ -102,49 +114,41 @@ def _as_batch(frame: pd.DataFrame) -> pa.RecordBatch:
 
 def _broadcast_scores(docs: DataFrame, batch: pd.DataFrame, k: int) -> DataFrame:
     """Per-task top k of every query; one pass over the documents."""
-    if batch.empty:
+    asked = {
+        width: (part["query_id"].to_numpy(np.int64), _unit(_matrix(part["embedding"])))
+        for width, part in batch.groupby(batch["embedding"].map(len))
+    }
+    if not asked:
         return docs.sparkSession.createDataFrame([], HITS)
-    qids = batch["query_id"].to_numpy(np.int64)
-    queries = _unit(_matrix(batch["embedding"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
         for b in batches:
-            if b.num_rows == 0:
-                continue
-            found = _score(b.column(0).to_numpy(), _matrix(b.column(1)), qids, queries, k)
-            best = found if best is None else _keep_best(pd.concat([best, found]), k)
+            for width, ids, matrix in _by_width(b.column(0).to_numpy(), b.column(1)):
+                if width in asked:
+                    found = _score(ids, matrix, *asked[width], k)
+                    best = found if best is None else _keep_best(pd.concat([best, found]), k)
         if best is not None:
             yield _as_batch(best)
 
     return docs.select("id", "embedding").mapInArrow(run, HITS)
 
 
-def _block_scores(docs: DataFrame, queries: DataFrame, k: int, max_queries: int) -> DataFrame:
-    """Block-nested form: each task holds one document block and one query block."""
-    doc_blocks = max(1, math.ceil(docs.count() / DOC_BLOCK_ROWS))
-    query_blocks = max(1, math.ceil(queries.count() / max_queries))
-
-    def ids_to(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = docs.select(
-        "id", "embedding", F.pmod(F.xxhash64("id"), F.lit(doc_blocks)).cast("int").alias("db"),
-    ).withColumn("qb", ids_to(query_blocks))
-    right = queries.select(
-        "query_id", F.col("embedding").alias("q"),
-        F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb"),
-    ).withColumn("db", ids_to(doc_blocks))
+def _sliced(queries: DataFrame, limit: int, hits: Callable[[pd.DataFrame], DataFrame]) -> DataFrame:
+    """Hits of more queries than ``limit``: slices of about that many, one after the other.
 
-    def run(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if d.empty or q.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "similitud": []})
-        return _score(
-            d["id"].to_numpy(np.int64), _matrix(d["embedding"]),
-            q["query_id"].to_numpy(np.int64), _unit(_matrix(q["q"])), k,
-        )
-
-    return left.groupBy("db", "qb").cogroup(right.groupBy("db", "qb")).applyInPandas(run, HITS)
+    The driver holds one slice at a time; each slice's hits are written, so a lost
+    executor repeats a part of one slice.
+    """
+    spark = queries.sparkSession
+    path = work_dir(spark, "nearest")
+    n = math.ceil(queries.count() / limit)
+    spark.createDataFrame([], HITS).write.parquet(path)
+    for at in range(n):
+        batch = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == at).toPandas()
+        if len(batch):
+            hits(batch).select("query_id", "id", "similitud").write.mode("append").parquet(path)
+    return spark.read.schema(HITS).parquet(path)
 
 
 def _bounded(queries: DataFrame, limit: int) -> pd.DataFrame | None:
@@ -156,18 +160,23 @@ def _bounded(queries: DataFrame, limit: int) -> pd.DataFrame | None:
     return batch if len(batch) <= limit else None
 
 
-def usable(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose vectors can be compared: not NULL, without NULL parts, of the
-    dimension most queries have.  A zero vector is similar to nothing (0.0).
-    """
-    def whole(df: DataFrame) -> DataFrame:
-        return df.filter(F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull()))
+def _whole(df: DataFrame) -> DataFrame:
+    """Rows with a vector that has parts, none of them NULL.  A zero vector is similar
+    to nothing (0.0)."""
+    vector = F.col("embedding")
+    return df.filter((F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull()))
+
 
-    queries = whole(queries)
-    sizes = queries.groupBy(F.size("embedding").alias("n")).count()
-    width = sizes.orderBy(F.desc("count"), "n").first()
-    fits = F.size("embedding") == (width["n"] if width else 0)
-    return whole(docs).filter(fits), queries.filter(fits)
+def incomparable(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, motivo) of queries ``nearest`` gives no rows for: ``sin_vector``, or
+    ``sin_documentos`` if no document has their dimension."""
+    widths = _whole(docs.select("embedding")).select(F.size("embedding").alias("n")).distinct()
+    asked = queries.select("query_id", "embedding")
+    whole = _whole(asked).select("query_id", F.size("embedding").alias("n"))
+    return asked.select("query_id").join(whole, "query_id", "left_anti").select(
+        "query_id", F.lit("sin_vector").alias("motivo")
+    ).unionByName(whole.join(widths, "n", "left_anti").select(
+        "query_id", F.lit("sin_documentos").alias("motivo")))
 
 
 def rank(scored: DataFrame, k: int) -> DataFrame:
@@ -183,10 +192,12 @@ def nearest(docs: DataFrame, queries: DataFrame, k: int = fixed.DENSE_TOP_K,
     The result is marked for broadcast where the number of queries, and with k that
     of hits, was checked: joining it to document payloads then moves no payload.
     """
-    docs, wanted = usable(docs.select("id", "embedding"), queries.select("query_id", "embedding"))
+    docs = _whole(docs.select("id", "embedding"))
+    wanted = _whole(queries.select("query_id", "embedding"))
     batch = _bounded(wanted, max_broadcast_queries)
     if batch is None:
-        return rank(_block_scores(docs, wanted, k, max_broadcast_queries), k)
+        return rank(_sliced(wanted, max_broadcast_queries, lambda part: rank(
+            _broadcast_scores(docs, part, k), k)), k)
     hits = rank(_broadcast_scores(docs, batch, k), k)
     return F.broadcast(hits) if len(batch) * k <= MAX_BROADCAST_HITS else hits
 
@@ -194,118 +205,123 @@ def nearest(docs: DataFrame, queries: DataFrame, k: int = fixed.DENSE_TOP_K,
 # ---------------------------------------------------------------- approximate
 
 
-def lsh_model(docs: DataFrame, bucket_length: float = 0.1, tables: int = 8, seed: int = 42):
-    """Random-projection hash model; on unit vectors cos = 1 - d^2 / 2."""
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="v", outputCol="hashes", bucketLength=bucket_length,
-        numHashTables=tables, seed=seed,
-    )
-    return lsh.fit(_with_vector(docs))
+@dataclass
+class LshModel:
+    """Random projections: a bucket is the slice of length ``bucket_length`` that a unit
+    vector's projection falls into.
 
+    Coefficients follow a rule of table and dimension, so that an index can be
+    built and read anywhere; ``table`` states them for other readers.
+    """
 
-def _with_vector(df: DataFrame) -> DataFrame:
-    squares = F.aggregate(
-        "embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")
-    )
-    return df.withColumn("_n", F.sqrt(squares)).filter(F.col("_n") > 0).withColumn(
-        "v", array_to_vector(F.transform("embedding", lambda x: x.cast("double") / F.col("_n")))
-    ).drop("_n")
+    tables: int
+    dims: int
+    bucket_length: float
 
+    def planes(self) -> np.ndarray:
+        """One row of unit length per table."""
+        t = np.arange(1, self.tables + 1, dtype=np.int64)[:, None]
+        d = np.arange(1, self.dims + 1, dtype=np.int64)[None, :]
+        return _unit(((7919 * t * d * d + 104729 * d + 31 * t) % 2003 - 1001) / 1001.0)
 
-def lsh_index(docs: DataFrame, model) -> DataFrame:
-    """(tabla, cubeta, id, embedding); store it partitioned by tabla and cubeta."""
-    hashed = model.transform(_with_vector(docs.select("id", "embedding")))
-    return _buckets(hashed, "id")
+    def table(self, spark: SparkSession) -> DataFrame:
+        rows = [(t, d, float(x)) for t, row in enumerate(self.planes()) for d, x in enumerate(row)]
+        return spark.createDataFrame(rows, "tabla int, dim int, coef double")
 
+    def buckets(self, matrix: np.ndarray) -> np.ndarray:
+        """Bucket of each vector (row) in each table (column)."""
+        along = np.round(_unit(matrix) @ self.planes().T / self.bucket_length, LSH_DIGITS)
+        return np.floor(along).astype(np.int32)
 
-def _buckets(hashed: DataFrame, key: str) -> DataFrame:
-    return hashed.select(
-        key, "embedding", F.posexplode("hashes").alias("tabla", "h")
-    ).select(
-        "tabla", F.get(vector_to_array("h"), F.lit(0)).cast("int").alias("cubeta"), key, "embedding"
-    )
 
+@dataclass
+class LshIndex:
+    buckets: DataFrame  # tabla, cubeta, id; store it partitioned by tabla and cubeta
+    vectors: DataFrame  # id, embedding
 
-def _joined_scores(index: DataFrame, queries: DataFrame, model, k: int, probe: int) -> DataFrame:
-    """Candidates by an equi-join of probed buckets, scored in Arrow batches.
 
-    A pair that meets in several buckets is scored once; a bucket with very many
-    documents is split by the planner's skew handling.
-    """
-    probes = _buckets(model.transform(_with_vector(queries.select("query_id", "embedding"))), "query_id")
-    probes = probes.select(
-        "query_id", "tabla", F.explode(F.sequence(F.col("cubeta") - probe, F.col("cubeta") + probe))
-        .alias("cubeta"))
-    pairs = index.select("tabla", "cubeta", "id").join(probes, ["tabla", "cubeta"]).select(
-        "query_id", "id").distinct()
-    vectors = index.filter("tabla = 0").select("id", "embedding")
-    both = pairs.join(vectors, "id").join(
-        queries.select("query_id", F.col("embedding").alias("q")), "query_id")
+def lsh_model(docs: DataFrame, bucket_length: float = 0.1, tables: int = 8) -> LshModel:
+    """On unit vectors cos = 1 - d^2 / 2, so near vectors fall into near buckets."""
+    width = _whole(docs.select("embedding")).agg(F.max(F.size("embedding")).alias("n")).first()
+    return LshModel(tables, width["n"] or 0, bucket_length)
+
+
+def lsh_index(docs: DataFrame, model: LshModel) -> LshIndex:
+    """Buckets of all vectors of the model's dimension, one narrow row per table."""
+    fits = F.size("embedding") == model.dims
+    vectors = _whole(docs.select("id", "embedding")).filter(fits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                d, q = _unit(_matrix(b.column(2))), _unit(_matrix(b.column(3)))
-                yield _as_batch(pd.DataFrame({
-                    "query_id": b.column(0).to_numpy(), "id": b.column(1).to_numpy(),
-                    "similitud": np.round(np.einsum("ij,ij->i", d, q), SIM_DIGITS) + 0.0}))
+                found = model.buckets(_matrix(b.column(1)))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.tile(np.arange(model.tables, dtype=np.int32), b.num_rows)),
+                    pa.array(found.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), model.tables)),
+                ], names=["tabla", "cubeta", "id"])
 
-    return both.select("query_id", "id", "embedding", "q").mapInArrow(run, HITS)
+    return LshIndex(vectors.mapInArrow(run, "tabla int, cubeta int, id long"), vectors)
 
 
-def nearest_lsh(index: DataFrame, queries: DataFrame, model, k: int = fixed.DENSE_TOP_K,
-                probe: int = 1, max_broadcast_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
-    """Approximate top k: only buckets near a query's own are read and scored.
+def _probed_scores(index: LshIndex, batch: pd.DataFrame, model: LshModel, k: int,
+                   probe: int) -> DataFrame:
+    """Documents that share a probed bucket with some query, scored against those queries.
 
-    Candidates of a bucket are scored as a block against the queries that probe
-    it, and cut to the top k in the task; a hot bucket spreads over as many tasks
-    as its files have splits.  Similarities are exact.  Larger query batches meet
-    the index in a join on the probed buckets instead.
+    A candidate is one row with the queries it meets, at most the batch; vectors are
+    fetched for candidates only.
     """
-    spark = index.sparkSession
-    wanted = _bounded(queries.select("query_id", "embedding"), max_broadcast_queries)
-    if wanted is None:
-        return rank(_joined_scores(index, queries, model, k, probe), k)
-    if wanted.empty:
-        return rank(spark.createDataFrame([], HITS), k)
-    # Queries x tables x probed buckets rows, bounded by the check.
-    fetched = spark.createDataFrame(wanted, "query_id long, embedding array<double>")
-    batch = _buckets(model.transform(_with_vector(fetched)), "query_id").withColumn(
-        "cubeta", F.explode(F.sequence(F.col("cubeta") - probe, F.col("cubeta") + probe))
-    ).toPandas()
-    vectors = {}
-    members: dict[tuple[int, int], list[int]] = {}
-    for t, c, q, e in batch[["tabla", "cubeta", "query_id", "embedding"]].itertuples(index=False):
-        vectors.setdefault(q, e)
-        members.setdefault((t, c), []).append(q)
-    qids = np.array(sorted(vectors), dtype=np.int64)
-    matrix = _unit(np.stack([vectors[q] for q in qids]).astype(np.float64))
-    slots = {key: np.searchsorted(qids, np.array(qs)) for key, qs in members.items()}
+    spark = index.vectors.sparkSession
+    if batch.empty:
+        return spark.createDataFrame([], HITS)
+    qids = batch["query_id"].to_numpy(np.int64)
+    matrix = _matrix(batch["embedding"])
+    own, queries = model.buckets(matrix), _unit(matrix)
+    probes = pd.DataFrame([
+        (t, int(own[q, t]) + step, q)
+        for q in range(len(qids)) for t in range(model.tables) for step in range(-probe, probe + 1)
+    ], columns=["tabla", "cubeta", "q"])
+    asked = probes.groupby(["tabla", "cubeta"])["q"].agg(list).reset_index()
+    asked = F.broadcast(spark.createDataFrame(asked, "tabla int, cubeta int, q array<int>"))
+    met = (
+        index.buckets.join(asked, ["tabla", "cubeta"])
+        .groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("q"))).alias("q"))
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
         for b in batches:
             if b.num_rows == 0:
                 continue
-            keys = pd.DataFrame({"t": b.column(0).to_numpy(), "c": b.column(1).to_numpy()})
-            ids, vecs = b.column(2).to_numpy(), _matrix(b.column(3))
-            for (t, c), rows in keys.groupby(["t", "c"]).indices.items():
-                who = slots.get((t, c))
-                if who is None:
-                    continue
-                found = _score(ids[rows], vecs[rows], qids[who], matrix[who], k)
-                best = found if best is None else pd.concat([best, found])
-            if best is not None:
-                best = _keep_best(best, k)
+            doc = pc.list_parent_indices(b.column(2)).to_numpy(zero_copy_only=False)
+            who = pc.list_flatten(b.column(2)).to_numpy(zero_copy_only=False)
+            ids, vectors = b.column(0).to_numpy(), _unit(_matrix(b.column(1)))
+            parts = [] if best is None else [best]
+            for lo in range(0, len(doc), PAIR_ROWS):
+                d, q = doc[lo:lo + PAIR_ROWS], who[lo:lo + PAIR_ROWS]
+                parts.append(_keep_best(pd.DataFrame({
+                    "query_id": qids[q], "id": ids[d],
+                    "similitud": np.round(np.einsum("ij,ij->i", vectors[d], queries[q]), SIM_DIGITS) + 0.0,
+                }), k))
+            best = _keep_best(pd.concat(parts), k)
         if best is not None:
             yield _as_batch(best)
 
-    reached = F.broadcast(spark.createDataFrame(
-        pd.DataFrame(list(members), columns=["tabla", "cubeta"]), "tabla int, cubeta int"
-    ))
-    candidates = index.join(reached, ["tabla", "cubeta"], "left_semi")
-    scored = candidates.select("tabla", "cubeta", "id", "embedding").mapInArrow(run, HITS)
-    return rank(scored, k)
+    return index.vectors.join(met, "id").select("id", "embedding", "q").mapInArrow(run, HITS)
+
+
+def nearest_lsh(index: LshIndex, queries: DataFrame, model: LshModel, k: int = fixed.DENSE_TOP_K,
+                probe: int = 1, max_broadcast_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+    """Approximate top k: only documents in buckets near a query's own are scored.
+
+    Similarities are exact.  Queries of another dimension than the index give no rows.
+    Larger query batches are taken in slices.
+    """
+    wanted = _whole(queries.select("query_id", "embedding")).filter(F.size("embedding") == model.dims)
+    batch = _bounded(wanted, max_broadcast_queries)
+    if batch is None:
+        return rank(_sliced(wanted, max_broadcast_queries, lambda part: rank(
+            _probed_scores(index, part, model, k, probe), k)), k)
+    return rank(_probed_scores(index, batch, model, k, probe), k)
 
 
 # ------------------------------------------------------------------ embedding

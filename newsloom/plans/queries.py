@@ -14,10 +14,10 @@ from newsloom import schemas
 from newsloom.operators import articles as ar
 from newsloom.operators import dense, lexical, metrics, retrieval, transcripts, versions
 from newsloom.operators import pages as pg
-from newsloom.plans import ingest
+from newsloom.plans import indexing, ingest
 from newsloom.session import work_dir
 from newsloom.sources import testviews as tv
-from newsloom.sources.store import ArticleStore, LexicalTables
+from newsloom.sources.store import ArticleStore, DocumentIndex, LexicalTables
 from newsloom.streaming import changes as st_changes
 from newsloom.streaming import ingest as st_ingest
 from newsloom.streaming import timeline as st_timeline
@@ -335,6 +335,37 @@ def dense_lsh(spark, sf):
     return dense.nearest_lsh(dense.lsh_index(docs, model), tv.label_centroids(spark, sf), model)
 
 
+@query
+def dense_mixed(spark, sf):
+    """Vectors and queries of several dimensions; the queries without an answer say why."""
+    docs, queries = tv.mixed_vectors(spark, sf), tv.mixed_queries(spark, sf)
+    hits = dense.nearest(docs, queries).withColumn("motivo", F.lit(None).cast("string"))
+    return hits.unionByName(dense.incomparable(docs, queries), allowMissingColumns=True)
+
+
+@query
+def index_refresh(spark, sf):
+    """The document index after two appends and a refresh of edited articles.
+
+    Vectors are made from the documents' lengths: no model is shipped.
+    """
+    index = DocumentIndex(spark, work_dir(spark, "index-refresh"))
+    articles = tv.articles(spark, sf, "lang")
+    later = articles.withColumn("texto", F.when(
+        F.col("lang") == "es", F.concat("texto", F.lit(" EDIT"))).otherwise(F.col("texto"))
+    ).withColumn("hash_texto", F.md5("texto"))
+
+    def embed(docs: DataFrame) -> DataFrame:
+        return docs.withColumn("embedding", F.array(F.length("document").cast("float"), F.lit(1.0).cast("float")))
+
+    indexing.append_new(index, articles.filter(~F.col("lang").eqNullSafe(F.lit("fr"))), 0, embed)
+    indexing.append_new(index, later, 1, embed)
+    indexing.append_new(index, later, 2, embed, refresh=True)
+    return index.read().select(
+        "doc_key", F.md5("document").alias("md5_document"), "batch_id",
+        F.col("embedding")[0].cast("long").alias("largo"), F.col("metadata")["url"].alias("url"))
+
+
 @query
 def index_delta(spark, sf):
     """Articles to index, with the documents that have a vector indexed already."""

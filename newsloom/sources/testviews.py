@@ -129,6 +129,21 @@ def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` of two dimensions: every third label keeps its first 16 parts only."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.when(
+        F.col("label") % 3 == 0, F.slice("embedding", 1, 16)).otherwise(F.col("embedding")).alias("embedding"))
+
+
+def mixed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per label its mean vector whole, its first 16 and first 3 parts, and no vector."""
+    whole = F.col("embedding")
+    forms = F.array(whole, F.slice(whole, 1, 16), F.slice(whole, 1, 3), F.lit(None))
+    return label_centroids(spark, sf_dir).select(
+        "query_id", F.posexplode(forms).alias("form", "embedding")
+    ).select((F.col("query_id") * 4 + F.col("form")).alias("query_id"), "embedding")
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(*schemas.PAGES.names)
 

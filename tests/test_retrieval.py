@@ -288,6 +288,40 @@ def test_nearest_with_null_and_repeated_rows(spark):
         assert [(r.query_id, r.id, r["rank"]) for r in rows] == [(q, i, r) for q in (0, 7) for i, r in ((1, 1), (3, 2))]
 
 
+@pytest.mark.parametrize("limit", [4096, 2])
+def test_each_dimension_is_searched_by_itself(spark, limit):
+    rng = np.random.default_rng(8)
+    docs = [(i, rng.normal(size=(5, 3, 8)[i % 3]).tolist()) for i in range(90)]
+    docs += [(90, []), (91, None)]
+    asked_ = [(q, rng.normal(size=(3, 8, 5, 3, 4, 0)[q]).tolist()) for q in range(6)] + [(6, None)]
+    d = spark.createDataFrame(docs, "id long, embedding array<double>").repartition(3)
+    q = spark.createDataFrame(asked_, "query_id long, embedding array<double>")
+    rows = dense.nearest(d, q, 4, max_broadcast_queries=limit).collect()
+    want = set()
+    for qid, vector in asked_[:4]:
+        same = [(i, v) for i, v in docs if v and len(v) == len(vector)]
+        ids = [i for i, _ in same]
+        want |= {(qid, ids[i]) for _, i in exact(np.array([v for _, v in same]), np.array([vector]), 4)}
+    assert {(r.query_id, r.id) for r in rows} == want
+    assert sorted(map(tuple, dense.incomparable(d, q).collect())) == [
+        (4, "sin_documentos"), (5, "sin_vector"), (6, "sin_vector")]
+
+
+def test_planes_are_a_stated_table(spark):
+    model = dense.LshModel(tables=3, dims=5, bucket_length=0.5)
+    rows = {(r.tabla, r.dim): r.coef for r in model.table(spark).collect()}
+    raw = [((7919 * 2 * d * d + 104729 * d + 31 * 2) % 2003 - 1001) / 1001 for d in range(1, 6)]
+    norm = math.sqrt(sum(x * x for x in raw))
+    assert [rows[1, d] for d in range(5)] == pytest.approx([x / norm for x in raw])
+
+
+def test_lsh_index_holds_no_vectors(clouds):
+    d, *_ = clouds
+    index = dense.lsh_index(d, dense.lsh_model(d, bucket_length=0.5, tables=8))
+    assert index.buckets.columns == ["tabla", "cubeta", "id"]
+    assert index.buckets.count() == 8 * 300
+
+
 def test_lsh_takes_any_number_of_queries(spark):
     docs = spark.range(40).select("id", F.array(F.cos("id"), F.sin("id")).alias("embedding"))
     queries = docs.select(F.col("id").alias("query_id"), "embedding")
