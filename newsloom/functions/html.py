@@ -15,10 +15,8 @@ from pyspark.sql import functions as F
 from newsloom.functions import text as tx
 
 _TAG = r"""<[a-zA-Z/!?](?:[^"'>]++|"[^"]*+"|'[^']*+')*+>"""
-_HIDDEN = (
-    r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-    r"|<template\b.*?</template\s*>"
-)
+_UNREAD = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+_HIDDEN = _UNREAD + r"|<template\b.*?</template\s*>"
 _ATTRS = r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+"""
 _NODE_BREAK = "\u0001"
 
@@ -28,6 +26,11 @@ def visible(html: Column) -> Column:
     return F.regexp_replace(html, _HIDDEN, "")
 
 
+def markup(html: Column) -> Column:
+    """Markup without comments, scripts and styles: templates hold anchors, too."""
+    return F.regexp_replace(html, _UNREAD, "")
+
+
 def _entity_map() -> Column:
     """Entity name to character, as one constant (names are case-sensitive)."""
     pairs = (f"{name}\u0002{chr(cp)}" for name, cp in sorted(name2codepoint.items()))

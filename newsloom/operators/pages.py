@@ -48,7 +48,7 @@ def links(pages: DataFrame, portals: list[dict] = fixed.PORTALS,
     """
     found = (
         with_portal(pages, portals)
-        .withColumn("crudos", hx.hrefs(hx.visible(F.col("html"))))
+        .withColumn("crudos", hx.hrefs(hx.markup(F.col("html"))))
         .withColumn("crudos", F.when(
             F.col("strip_href"), F.transform("crudos", tx.strip)).otherwise(F.col("crudos")))
         .withColumn("enlaces", F.transform("crudos", lambda h: urls.resolve(h, F.col("dominio"))))

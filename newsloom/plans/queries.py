@@ -228,6 +228,18 @@ def page_gate(spark, sf):
     return pg.gate(tv.pages(spark, sf)).select("page_id", "url", "gate")
 
 
+@query
+def page_gate_answers(spark, sf):
+    return pg.gate(tv.answered_pages(spark, sf)).select("page_id", "status", "gate")
+
+
+@query
+def page_articles_header(spark, sf):
+    return ingest.arrivals(tv.header_pages(spark, sf), tv.HEADER_PORTALS).select(
+        "seq", "url", "titulo", F.md5("texto").alias("md5_texto"), F.length("texto").alias("n"), "fuente",
+        "fecha_pub")
+
+
 @query
 def page_links(spark, sf):
     return pg.links(pg.accepted(tv.pages(spark, sf)), tv.SAMPLE_PORTALS)

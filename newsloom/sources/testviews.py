@@ -148,6 +148,41 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(*schemas.PAGES.names)
 
 
+def answered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` as a crawl meets them: by page id refused, limited, missing, broken,
+    with a blocking phrase in either case, without markup at its head, or as they are."""
+    n, html = F.col("page_id") % 9, F.col("html")
+    return pages(spark, sf_dir).select(
+        "page_id", "url",
+        F.when(n == 0, 403).when(n == 1, 429).when(n == 2, 404).when(n == 3, 500).otherwise(200)
+        .cast("int").alias("status"),
+        F.when(n == 4, F.concat(html, F.lit("<p>Please solve the CAPTCHA</p>")))
+        .when(n == 5, F.concat(F.lit("<html>Access Denied"), html))
+        .when(n == 6, F.concat(F.repeat(F.lit("no markup "), 60), html))
+        .when(n == 7, F.concat(F.lit(" \n"), html)).otherwise(html).alias("html"),
+    )
+
+
+def header_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of ``pages`` laid out for the page-header parser, in six forms by page id:
+    marked title, title tag only, empty marked title, unmarked title, short body, no body."""
+    form, none = F.col("page_id") % 6, F.lit("")
+    page = F.col("page_id").cast("string")
+    words = F.regexp_replace("html", r"<[^>]*>|[&<> \t\r\n]+", " ")
+    title = (
+        F.when(form.isin(0, 4, 5), F.concat(F.lit('<h1 class="big page-header"> Título <b>'), page, F.lit("</b></h1>")))
+        .when(form == 2, '<h1 class="page-header"> <i></i> </h1>')
+        .when(form == 3, "<h1>Sin marca</h1>").otherwise(none)
+    )
+    body = F.when(form == 4, "<p>Nota breve.</p>").otherwise(
+        F.concat(F.lit("<div><p>Nota "), page, F.lit(".</p></div><p>Palabras: <b>"), words, F.lit("</b> fin.</p>")))
+    return pages(spark, sf_dir).select("page_id", "url", F.concat(
+        F.lit('<!DOCTYPE html><html><head><meta property="og:title" content="Etiqueta '), page,
+        F.lit('"><meta content="2024-03-01T10:00:00Z" property="article:published_time"></head><body>'), title,
+        F.when(form == 5, "<div>").otherwise('<div class="field field-name-body">'), body,
+        F.lit("</div><div><p>Pie de la nota</p></div></body></html>")).alias("html"))
+
+
 # Portals of the generated pages: hosts end in one of three domains.  Links in
 # the pages have one path segment, hence the low minimum.
 SAMPLE_PORTALS = [
@@ -165,6 +200,8 @@ SAMPLE_PORTALS = [
     {
         "fuente": "Portal Net", "portada": "https://example.net/", "dominio": "https://example.net",
         "sitio": "example.net", "min_segments": 1, "sections": [],
-        "excluded": ["#", "javascript", "mailto"], "strip_href": True, "parser": "page_header",
+        "excluded": ["#", "javascript", "mailto"], "strip_href": True, "parser": "article_tag",
     },
 ]
+HEADER_PORTALS = [{**p, "parser": "page_header"} for p in SAMPLE_PORTALS]
+

@@ -5,6 +5,7 @@ from newsloom import fixed
 from newsloom.functions import html as hx
 from newsloom.operators import pages as pg
 from newsloom.plans import ingest
+from newsloom.sources import testviews as tv
 from newsloom.sources.store import ArticleStore
 from pyspark.sql import functions as F
 
@@ -150,3 +151,11 @@ def test_ingest_job(spark, tmp_path):
     assert {r.fuente for r in store.articles().collect()} == {"EL DEBER"}
     reasons = sorted(r.motivo for r in ingest.rejected(spark.createDataFrame(rows, schema)).collect())
     assert reasons == ["bloqueado", "sin_articulo"]
+
+
+def test_links_inside_templates_are_found(spark):
+    html = ('<html><!-- <a href="/c/1">no</a> --><template><a href="/t/1">x</a></template>'
+            '<script>"<a href=/s/1>"</script><a href="/p/1">y</a></html>')
+    pages = spark.createDataFrame([(1, "https://example.com/x", html)], "page_id long, url string, html string")
+    rows = pg.links(pages, tv.SAMPLE_PORTALS).orderBy("pos").collect()
+    assert [r.enlace for r in rows] == ["https://example.com/t/1", "https://example.com/p/1"]
