@@ -4,14 +4,19 @@ Layout under one base folder, every write under the batch that made it:
 
     outcomes/batch_id=N            narrow result of the merge (status rows)
     article_history/batch_id=N/bucket=B   superseded versions
-    articles/batch_id=N/bucket=B   full content of each bucket the batch touched
+    articles/batch_id=N/bucket=B   new and changed articles of the batch, with bodies
+    heads/batch_id=N/bucket=B      every article of each bucket the batch touched,
+                                   without body, and the batch that wrote its body
     snapshot/batch_id=N            the buckets the batch rewrote (at most BUCKETS rows)
+                                   and the batches their bodies lie in
     runs/batch_id=N                run summary
 
-A bucket is a hash of the url.  The current table is, per bucket, the content
-written by its latest batch: a batch reads only the buckets its urls fall into,
-rewrites only those it changes, and readers list only live folders.  Bucket
-lists are at most BUCKETS numbers, which bounds what the driver sees of a batch.
+A bucket is a hash of the url.  Bodies are written once, so what a batch writes
+follows its own size; only the narrow heads of touched buckets are written again.
+The current table is, per bucket, the heads of its latest batch joined to their
+bodies: merging needs heads alone, bodies are read for versions that go to history,
+and readers list live folders only.  Bucket lists are at most BUCKETS numbers, which
+bounds what the driver sees of a batch.
 The ``snapshot`` rows are written last but for the summary and make a batch visible.  A batch reads only batches
 before its own number and overwrites its own folders: after a failure it is run
 again with the same result.
@@ -21,7 +26,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +48,12 @@ OUTCOMES = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("fuente", T.StringType()),
     T.StructField("fecha_pub", T.StringType()),
 ])
+HEADS = T.StructType([
+    *[f for f in schemas.ARTICLES if f.name not in ("texto", "fecha_scrape")],
+    T.StructField("origen", T.LongType()),
+])
+SNAPSHOT = T.StructType([
+    _BUCKET, T.StructField("origenes", T.ArrayType(T.LongType())), _BATCH])
 HISTORY = T.StructType([*schemas.ARTICLE_HISTORY, T.StructField("version", T.LongType())])
 
 
@@ -62,31 +73,54 @@ class ArticleStore:
 
     # ------------------------------------------------------------------ read
 
-    def _live(self, before: int | None) -> dict[int, int]:
-        """Latest visible batch of each bucket: at most ``buckets`` entries."""
-        seen = self._read("snapshot", T.StructType([_BUCKET, _BATCH]))
+    def _live(self, before: int | None) -> dict[int, Row]:
+        """Latest visible batch of each bucket and the batches of its bodies.
+
+        At most ``buckets`` entries; each lists folders that a reader has to list anyway.
+        """
+        seen = self._read("snapshot", SNAPSHOT)
         if before is not None:
             seen = seen.filter(F.col("batch_id") < before)
-        latest = seen.groupBy("bucket").agg(F.max("batch_id").alias("batch_id"))
-        return {r.bucket: r.batch_id for r in latest.collect()}
+        latest = seen.groupBy("bucket").agg(
+            F.max_by(F.struct("batch_id", "origenes"), "batch_id").alias("at"))
+        return {r.bucket: r["at"] for r in latest.collect()}
+
+    def _only(self, live: dict[int, Row], buckets: DataFrame) -> dict[int, Row]:
+        return {r.bucket: live[r.bucket] for r in buckets.collect() if r.bucket in live}
 
     def _buckets_of(self, df: DataFrame) -> DataFrame:
         return df.select(self.bucket(F.col("url")).alias("bucket")).distinct()
 
+    def _folders(self, table: str, schema: T.StructType, at: list[tuple[int, int]]) -> DataFrame:
+        """Rows of some (batch, bucket) folders, with both numbers as columns."""
+        whole = T.StructType([*schema, _BATCH, _BUCKET])
+        if not at:
+            return empty(self.spark, whole)
+        root = self._path(table)
+        return self.spark.read.schema(whole).option("basePath", root).parquet(
+            *[f"{root}/batch_id={b}/bucket={k}" for b, k in sorted(at)])
+
+    def _heads(self, live: dict[int, Row]) -> DataFrame:
+        at = [(v.batch_id, k) for k, v in live.items()]
+        return self._folders("heads", HEADS, at).select(*HEADS.names)
+
+    def _bodies(self, live: dict[int, Row], heads: DataFrame) -> DataFrame:
+        """Whole articles of some heads; bodies that newer ones replaced are left out."""
+        at = [(b, k) for k, v in live.items() for b in v.origenes]
+        wanted = heads.select(F.col("url").alias("de"), "origen")
+        rows = self._folders("articles", schemas.ARTICLES, at)
+        return rows.join(
+            wanted, (F.col("url") == F.col("de")) & (F.col("batch_id") == F.col("origen")), "left_semi",
+        ).select(*schemas.ARTICLES.names)
+
+    def heads(self, before: int | None = None) -> DataFrame:
+        """Current articles without their bodies, and the batch that wrote each body."""
+        return self._heads(self._live(before))
+
     def articles(self, before: int | None = None) -> DataFrame:
         """Current articles (as they were before batch ``before``)."""
-        return self._articles(before)
-
-    def _articles(self, before: int | None, buckets: DataFrame | None = None) -> DataFrame:
-        """Live articles, of the given buckets only if any are given."""
         live = self._live(before)
-        if buckets is not None:
-            live = {r.bucket: live[r.bucket] for r in buckets.collect() if r.bucket in live}
-        if not live:
-            return empty(self.spark, schemas.ARTICLES)
-        root = self._path("articles")
-        folders = [f"{root}/batch_id={b}/bucket={k}" for k, b in sorted(live.items())]
-        return self.spark.read.schema(schemas.ARTICLES).parquet(*folders)
+        return self._bodies(live, self._heads(live))
 
     def history(self) -> DataFrame:
         return self._read("article_history", T.StructType([*HISTORY, _BATCH, _BUCKET])).drop(
@@ -98,13 +132,11 @@ class ArticleStore:
         return row.first()["b"]
 
     def article(self, url: str) -> DataFrame:
-        """One article: only the live folder of its bucket is read."""
-        live = self._live(None)
+        """One article: only live folders of its bucket are read."""
         bucket = self._bucket_of([url])[0]
-        if bucket not in live:
-            return empty(self.spark, schemas.ARTICLES)
-        folder = f"{self._path('articles')}/batch_id={live[bucket]}/bucket={bucket}"
-        return self.spark.read.schema(schemas.ARTICLES).parquet(folder).filter(F.col("url") == url)
+        live = {k: v for k, v in self._live(None).items() if k == bucket}
+        one = F.col("url") == url
+        return self._bodies(live, self._heads(live).filter(one)).filter(one)
 
     def history_of(self, url: str) -> DataFrame:
         """History of one url: the folders of its bucket, and the url inside them."""
@@ -120,35 +152,47 @@ class ArticleStore:
 
     # ----------------------------------------------------------------- write
 
+    def _write_buckets(self, df: DataFrame, table: str, batch_id: int) -> None:
+        (
+            df.withColumn("bucket", self.bucket(F.col("url")))
+            .hint("rebalance", "bucket")  # AQE splits large buckets and joins small ones
+            .write.mode("overwrite").partitionBy("bucket").parquet(self._path(table, batch_id))
+        )
+
+    def _read_batch(self, table: str, schema: T.StructType, batch_id: int) -> DataFrame:
+        """What a batch wrote to its buckets, with the bucket."""
+        return self.spark.read.schema(T.StructType([*schema, _BUCKET])).parquet(
+            self._path(table, batch_id))
+
     def apply(self, incoming: DataFrame, batch_id: int, now: str | None = None,
               rejected: DataFrame | None = None, track_title: bool = False) -> None:
         """Merge one batch of arrivals.  ``rejected`` rows count as errors."""
         stamp = F.lit(now or run_stamp()).cast("timestamp_ntz")
-        existing = self._articles(batch_id, self._buckets_of(incoming))
+        live = self._only(self._live(batch_id), self._buckets_of(incoming))
+        heads = self._heads(live)
 
-        resolved = versions.resolve(existing, incoming, track_title)
+        resolved = versions.resolve(heads, incoming, track_title)
         resolved.write.mode("overwrite").parquet(self._path("outcomes", batch_id))
         # Later steps start from the written rows instead of the whole lineage.
         resolved = self.spark.read.schema(OUTCOMES).parquet(self._path("outcomes", batch_id))
 
+        # Of the stored bodies only those are read that an arrival replaces.
+        replaced = versions.latest_of(resolved).select("url")
+        existing = self._bodies(live, heads.join(replaced, "url", "left_semi"))
+        self._write_buckets(
+            versions.history_of(resolved, existing, incoming, stamp), "article_history", batch_id)
+
+        self._write_buckets(versions.delta_of(resolved, incoming, stamp), "articles", batch_id)
+        written = self._read_batch("articles", schemas.ARTICLES, batch_id)
+        touched = self._only(live, self._buckets_of(written))
+        fresh = written.withColumn("origen", F.lit(batch_id).cast("long")).select(*HEADS.names)
+        self._write_buckets(
+            self._heads(touched).join(replaced, "url", "left_anti").unionByName(fresh), "heads", batch_id)
         (
-            versions.history_of(resolved, existing, incoming, stamp)
-            .withColumn("bucket", self.bucket(F.col("url")))
-            .hint("rebalance", "bucket")
-            .write.mode("overwrite").partitionBy("bucket")
-            .parquet(self._path("article_history", batch_id))
-        )
-
-        delta = versions.delta_of(resolved, incoming, stamp)
-        touched = self._buckets_of(resolved.filter(~F.col("stored") & F.col("changed")))
-        merged = versions.current_of(self._articles(batch_id, touched), resolved, delta)
-        (
-            merged.withColumn("bucket", self.bucket(F.col("url")))
-            .hint("rebalance", "bucket")  # AQE splits large buckets and joins small ones
-            .write.mode("overwrite").partitionBy("bucket")
-            .parquet(self._path("articles", batch_id))
+            self._read_batch("heads", HEADS, batch_id)
+            .groupBy("bucket").agg(F.sort_array(F.collect_set("origen")).alias("origenes"))
+            .coalesce(1).write.mode("overwrite").parquet(self._path("snapshot", batch_id))
         )
-        touched.coalesce(1).write.mode("overwrite").parquet(self._path("snapshot", batch_id))
 
         outcomes = versions.status_of(resolved).select("estado")
         if rejected is not None:

@@ -83,7 +83,11 @@ def test_point_reads_list_one_bucket(spark, tmp_path):
     article, history = store.article("u7"), store.history_of("u7")
     assert [r.texto for r in article.collect()] == ["b157"]
     assert sorted(r.texto_anterior for r in history.collect()) == ["b107", "b57", "b7"]
-    assert len(article.inputFiles()) == 1
+    # One bucket of heads and bodies, and the url reaches both scans.
+    folders = {re.sub(r"/[^/]*$", "", f.split("/store/")[1]) for f in article.inputFiles()}
+    assert len(folders) == 2 and len({f.split("bucket=")[1] for f in folders}) == 1
+    scans = [line for line in plan(article).splitlines() if "FileScan" in line]
+    assert len(scans) >= 2 and all("EqualTo(url,u7)" in line for line in scans)
     text = plan(history)
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", text) and "PushedFilters: [IsNotNull(url), EqualTo(url,u7)]" in text
     assert store.article("nothing").count() == store.history_of("nothing").count() == 0

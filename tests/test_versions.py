@@ -161,6 +161,41 @@ def test_store_batches_equal_one_batch_and_replay(spark, tmp_path):
     assert {r.texto for r in two.articles(before=1).collect()} <= set("ABC")
 
 
+def folder_bytes(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+
+def test_store_writes_follow_the_batch(spark, tmp_path):
+    """Bodies are written once: a small batch over all buckets rewrites heads only."""
+    rnd = random.Random(4)
+    body = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ", k=20_000))
+    store = ArticleStore(spark, str(tmp_path / "s"), buckets=4)
+    frame = lambda rows: spark.createDataFrame(rows, schemas.INCOMING)
+    first = [(f"u{i}", f"t{i}", body(), "s", None, i) for i in range(200)]
+    edits = [(f"u{i}", f"n{i}", body(), "s", None, i) for i in range(0, 200, 25)]
+    store.apply(frame(first), 0, NOW)
+    store.apply(frame(edits + [("neu", "n", "b", "s", None, 1)]), 1, NOW)
+    bodies = tmp_path / "s" / "articles"
+    assert folder_bytes(bodies / "batch_id=1") < folder_bytes(bodies / "batch_id=0") / 20
+    assert spark.read.parquet(str(bodies / "batch_id=1")).count() == 9
+    heads = store.heads()
+    assert "texto" not in heads.columns and heads.count() == 201
+    assert heads.filter("origen = 1").count() == 9
+    want = {r[0]: r[1:3] for r in first + edits} | {"neu": ("n", "b")}
+    assert {r.url: (r.titulo, r.texto) for r in store.articles().collect()} == want
+    assert {r.url: r.texto for r in store.articles(before=1).collect()} == {r[0]: r[2] for r in first}
+    assert {r.url: r.texto_anterior for r in store.history().collect()} == {
+        r[0]: first[int(r[0][1:])][2] for r in edits}
+    assert [r.texto for r in store.article("u25").collect()] == [edits[1][2]]
+    # A batch that replaces every body: no folder of the first one is listed any more.
+    store.apply(frame([(r[0], "x", "x" + r[0], "s", None, 0) for r in first]), 2, NOW)
+    assert not any("batch_id=0" in f for f in store.articles().inputFiles() if "/articles/" in f)
+    assert store.articles().count() == 201
+    store.apply(frame([]), 3, NOW)  # nothing arrives
+    assert store.articles().count() == 201
+    assert store.runs().filter("batch_id = 3").first().nuevas == 0
+
+
 def test_history_reads(spark):
     arrivals = [("u", "T1", "B1", "S", None, 0), ("u", "T2", "B2", "S", None, 1),
                 ("u", "T3", "B3", "S", None, 2), ("v", "T", "B", "S", None, 0)]
