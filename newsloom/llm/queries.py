@@ -12,7 +12,7 @@ from newsloom.llm import (
     alignment, jaccard, langid, licenses, mixing, packing, pages, quality, structure, suffixes,
     tokens, urls, vectors,
 )
-from newsloom.llm.common import table
+from newsloom.llm.common import UPPER, WORD, table
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +81,53 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+def _quality_sql() -> str:
+    """op3 in SQL: the counts of each text, and the rule table as one condition."""
+    stops = ", ".join(f"'{w}'" for w in quality.STOP_FORMS)
+    ratios = {
+        "mean_word_chars": "word_chars / greatest(n_words, 1)",
+        "symbols_per_word": "n_symbols / greatest(n_words, 1)",
+        "stop_word_ratio": "n_stop_words / greatest(n_words, 1)",
+        "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)",
+        "upper_ratio": "n_upper / greatest(word_chars, 1)",
+    }
+    bounds = [
+        f"{ratios.get(r.metric, r.metric)} {sign} {bound}"
+        for r in quality.RULES for sign, bound in ((">=", r.low), ("<=", r.high)) if bound is not None]
+    return rf"""
+        WITH d AS (
+            SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
+                regexp_extract_all(coalesce(text, ''), '{WORD}') AS words,
+                list_filter(string_split(coalesce(text, ''), chr(10)), lambda x:
+                    regexp_matches(x, '{quality.IN_WORD}')) AS lines
+            FROM documents),
+        w AS (SELECT rid, unnest(words) AS a, generate_subscripts(words, 1) AS i FROM d),
+        g AS (
+            SELECT rid, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c
+            FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)),
+        f AS (
+            SELECT rid, i FROM g WHERE c IS NOT NULL
+            QUALIFY count(*) OVER (PARTITION BY rid, a, b, c) > 1),
+        e AS (
+            SELECT rid, least(3, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i) - i, 3)) AS n
+            FROM f),
+        r AS (SELECT rid, CAST(sum(n) AS BIGINT) AS n FROM e GROUP BY rid),
+        m AS (
+            SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+                CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT)
+                    AS word_chars,
+                CAST(len(regexp_extract_all(t, '{quality.SYMBOL}')) AS BIGINT) AS n_symbols,
+                CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+                coalesce(r.n, 0) AS n_repeat_words, len(lines) AS n_lines,
+                len(list_filter(words, lambda x: x IN ({stops}))) AS n_stop_words,
+                len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper
+            FROM d LEFT JOIN r USING (rid)),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND {" AND ".join(bounds)} AS kept
+        FROM b"""
+
+
 SQL: dict[str, str] = {
     "op1_topk_search": """
         WITH v AS (
@@ -98,4 +145,34 @@ SQL: dict[str, str] = {
             SELECT *, CAST(row_number() OVER (
                 PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op3_quality_rules": _quality_sql(),
+    # Sets are joined on their shingles; meant for the small table of the comparison.
+    "op10_ngram_jaccard": rf"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'),
+                '{WORD}') AS words
+            FROM documents WHERE doc_id IS NOT NULL),
+        w AS (SELECT doc_id, unnest(words) AS a, generate_subscripts(words, 1) AS i FROM d),
+        g AS (
+            SELECT doc_id, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c
+            FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        s AS (
+            SELECT DISTINCT doc_id, concat_ws(' ', a, b, c) AS x FROM g WHERE c IS NOT NULL
+            UNION ALL
+            SELECT doc_id, array_to_string(words, ' ') FROM d WHERE len(words) IN (1, 2)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (
+            SELECT l.doc_id AS a, r.doc_id AS b, count(*) AS m
+            FROM s l JOIN s r ON l.x = r.x AND l.doc_id <> r.doc_id GROUP BY ALL),
+        links AS (
+            SELECT p.a, p.b FROM p JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b
+            WHERE {jaccard.OF} * p.m >= {jaccard.PARTS} * (na.n + nb.n - p.m)),
+        reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM d
+            UNION
+            SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+        c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a),
+        k AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links
+        FROM c LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)""",
 }
