@@ -175,4 +175,77 @@ SQL: dict[str, str] = {
         k AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a)
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links
         FROM c LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    # One step of the recursion takes the next row of every conversation, over four states:
+    # 0 nothing yet, 1 after the system row, 2 after a user's, 3 after an assistant's.
+    "op11_structure_repair": rf"""
+        WITH RECURSIVE k AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+            FROM conversations),
+        h AS (
+            SELECT *, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(key) + 1),
+                lambda i: CAST(ascii(substr(key, i, 1)) AS BIGINT))), lambda c, x:
+                list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, y:
+                    xor(d >> 1, 3988292384 * (d & 1)))), 4294967295) % 20 AS way
+            FROM k),
+        d AS (
+            SELECT conv_id, turn, CASE WHEN way = 4 THEN 'user' ELSE role END AS role,
+                CASE WHEN way = 1 THEN '' WHEN way = 2 THEN regexp_replace(text, '[.!?]', '', 'g')
+                    ELSE text END AS text,
+                unnest(CASE WHEN way = 0 THEN CAST([] AS INTEGER[]) WHEN way = 3 THEN [1, 2] ELSE [1] END)
+            FROM h),
+        o AS (SELECT conv_id, row_number() OVER () AS cid FROM (SELECT DISTINCT conv_id FROM conversations)),
+        n AS (
+            SELECT cid, turn, role, text, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST,
+                md5(concat(length(role), ':', role, text))) AS i
+            FROM d JOIN o ON d.conv_id IS NOT DISTINCT FROM o.conv_id),
+        r AS (
+            SELECT *, substr(role, 1, 1) AS x, lead(substr(role, 1, 1)) OVER (PARTITION BY cid ORDER BY i) AS y,
+                CASE WHEN NOT regexp_matches(text, '{WORD}') THEN 'blank'
+                    WHEN row_number() OVER (PARTITION BY cid, role, text ORDER BY i) > 1 THEN 'duplicate'
+                    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'none' END AS fault
+            FROM n),
+        f AS (
+            SELECT cid, count(*) AS size, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                count(*) FILTER (fault = 'truncated') AS truncated,
+                count(*) FILTER (x || y NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM r GROUP BY cid),
+        step (src, x, dst) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+        ins (src, dst, cost, audit, lines) AS (
+            SELECT src, src, 0, '', '' FROM (VALUES (0), (1), (2), (3)) v (src)
+            UNION ALL
+            SELECT src, dst, 2, 'I', chr(10) || if(dst = 2, 'user:', 'assistant:') FROM step WHERE x <> 's'
+            UNION ALL
+            SELECT src, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:' FROM step
+            WHERE dst = 2),
+        w AS (
+            SELECT cid, 0::BIGINT AS i, 0 AS st, {{'cost': 0::BIGINT, 'audit': '', 'lines': ''}} AS best FROM o
+            UNION ALL
+            SELECT cid, i, st, min(best) FROM (
+                SELECT w.cid, r.i, e.dst AS st, {{
+                    'cost': CAST(w.best.cost + ins.cost + e.cost
+                        + if(e.edit <> 'D' AND r.fault = 'truncated', 1, 0) AS BIGINT),
+                    'audit': w.best.audit || ins.audit || e.edit,
+                    'lines': w.best.lines || ins.lines || CASE e.edit WHEN 'D' THEN ''
+                        WHEN 'K' THEN chr(10) || r.role || ':' || r.text
+                        ELSE chr(10) || if(e.dst = 2, 'user:', 'assistant:') || r.text END}} AS best
+                FROM w JOIN ins ON ins.src = w.st JOIN r ON r.cid = w.cid AND r.i = w.i + 1
+                JOIN (
+                    SELECT src, NULL AS x, dst, 'R' AS edit, 2 AS cost FROM step WHERE x <> 's'
+                    UNION ALL SELECT src, x, dst, 'K', 0 FROM step
+                    UNION ALL SELECT src, NULL, src, 'D', 3 FROM (VALUES (0), (1), (2), (3)) v (src)
+                ) e ON e.src = ins.dst AND (e.edit = 'D' OR r.fault IN ('none', 'truncated'))
+                    AND (e.edit <> 'K' OR e.x = r.x))
+            GROUP BY cid, i, st),
+        z AS (
+            SELECT w.cid, min({{'cost': w.best.cost + ins.cost, 'audit': w.best.audit || ins.audit,
+                'lines': w.best.lines || ins.lines}}) AS best
+            FROM w LEFT JOIN f USING (cid) JOIN ins ON ins.src = w.st
+            WHERE w.i = coalesce(f.size, 0) AND ins.dst IN (0, 3) GROUP BY w.cid)
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+            coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+            coalesce(illegal, 0) AS illegal, z.best.cost AS cost, z.best.audit AS audit,
+            sha256(substr(z.best.lines, 2)) AS repaired_sha256
+        FROM o JOIN z USING (cid) LEFT JOIN f USING (cid)""",
 }
