@@ -6,6 +6,9 @@ import datetime as dt
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -45,13 +48,35 @@ def run_stamp() -> str:
     return dt.datetime.now().isoformat(sep=" ", timespec="seconds")
 
 
+#: Folder of the innermost ``scratch`` block.
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession, label: str) -> Iterator[str]:
+    """Intermediate tables of the block lie in one folder, removed when the block ends.
+
+    Results of the block must be written elsewhere inside it (``work_dir`` called before
+    the block names such a folder).  After a failure the folder goes as well: a job is
+    run again from its input.
+    """
+    folder = work_dir(spark, label)
+    token = _SCRATCH.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCRATCH.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``.
+    """A fresh folder under ``spark.checkpoint.dir``, or under that of a ``scratch`` block.
 
     The cluster names that folder; it must be reachable from every executor.
     Only a local-mode session without the setting gets a temporary folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+    base = _SCRATCH.get() or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not base:

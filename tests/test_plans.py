@@ -1,5 +1,6 @@
 """What the physical plans must and must not contain."""
 
+import os
 import re
 
 import pytest
@@ -7,8 +8,10 @@ import pytest
 import __spark_entry__ as entry
 from newsloom import schemas
 from newsloom.operators import lexical, versions
+from newsloom.session import scratch, work_dir
 from newsloom.sources import testviews as tv
 from newsloom.sources.store import ArticleStore, LexicalTables
+from newsloom.sources.tables import kept
 
 SF_DIR = "/root/testdata/sf0.001"
 LAZY = sorted(n for n in entry.queries()
@@ -91,3 +94,21 @@ def test_point_reads_list_one_bucket(spark, tmp_path):
     text = plan(history)
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", text) and "PushedFilters: [IsNotNull(url), EqualTo(url,u7)]" in text
     assert store.article("nothing").count() == store.history_of("nothing").count() == 0
+
+
+def test_intermediate_tables_go_with_their_block(spark):
+    target = work_dir(spark, "result")
+    with scratch(spark, "outer") as outer:
+        step = kept(spark.range(5), "step")
+        with scratch(spark, "inner") as inner:
+            assert inner.startswith(outer)
+            kept(step, "more").write.parquet(target)
+            assert len(os.listdir(inner)) == 1
+        assert os.path.exists(outer) and not os.path.exists(inner)
+        assert step.count() == 5
+    assert not os.path.exists(outer) and spark.read.parquet(target).count() == 5
+    assert not work_dir(spark, "after").startswith(outer)
+    with pytest.raises(ZeroDivisionError), scratch(spark, "failed") as failed:
+        kept(spark.range(1), "step")
+        1 / 0
+    assert not os.path.exists(failed)
