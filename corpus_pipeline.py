@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import jaccard, langid, mixing, packing, suffixes
-from newsloom.llm.common import table, written
+from newsloom.llm.common import table
+from newsloom.session import scratch, work_dir
 
 #: Least mean probability of the predicted language for a document to stay.
 LEAST_SCORE = 0.3
@@ -81,7 +82,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    """Rows of the last stage, read from the one table that the run leaves behind.
+
+    What a stage writes on its way goes when its result stands; the tables between the
+    stages go when the last one stands.
+    """
+    docs, result = table(spark, sf_dir, "documents"), work_dir(spark, "pipeline")
+    with scratch(spark, "stages"):
+        for name, stage in STAGES:
+            label = name.replace(" ", "-")
+            target = result if name == STAGES[-1][0] else work_dir(spark, label)
+            with scratch(spark, f"{label}-steps"):
+                rows = stage(spark, docs, sf_dir)
+                rows.write.parquet(target)
+            docs = spark.read.schema(rows.schema).parquet(target)
     return docs
