@@ -1,6 +1,7 @@
 """The operators against brute-force versions, and on awkward rows."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -357,6 +358,49 @@ def test_mixing(docs, rows, none):
     assert mixing.mix(none).count() == 0
 
 
+def fair_queue(sizes, order):
+    """Weighted fair queueing as stated: always the copy that finishes first, one by one.
+
+    ``sizes`` {source: {doc_id: words}}; returns {doc_id: words taken}.
+    """
+    sources = sorted(sizes, key=lambda s: (s is None, s or ""))
+    total = {s: sum(sizes[s].values()) for s in sources}
+    target = plain_targets(total)
+    queues = {s: [d for _ in range(2) for d in sorted(sizes[s], key=order.get) if sizes[s][d]]
+              for s in sources}
+    used, budget, taken = Counter(), sum(target.values()), Counter()
+    while any(queues.values()):
+        due = [((used[s] + sizes[s][q[0]]) / target[s], i, s)
+               for i, (s, q) in enumerate((s, queues[s]) for s in sources) if q]
+        _, _, s = min(due)
+        d = queues[s].pop(0)
+        if sum(taken.values()) + sizes[s][d] > budget:
+            break
+        used[s] += sizes[s][d]
+        taken[d] += sizes[s][d]
+    return taken
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_mix_takes_what_a_fair_queue_takes(spark, hot):
+    """A hot source, one that is far too small for its weight, null, and empty texts."""
+    rng = random.Random(7)
+    data = [(i, prose(rng, rng.randrange(0, 40)), None, "s%d" % rng.randrange(4), 0) for i in range(300)]
+    data += [(1000 + i, prose(rng, 3), None, "a", 0) for i in range(4)]
+    data += [(2000 + i, prose(rng, 11), None, None, 0) for i in range(30)]
+    if hot:
+        data += [(3000 + i, prose(rng, rng.randrange(0, 9)), None, "s1", 0) for i in range(900)]
+    docs = spark.createDataFrame(data, DOCS)
+    sizes = {}
+    for d, t, _, s, _ in data:
+        sizes.setdefault(s, {})[d] = len(words(t))
+    order = {r.doc_id: r.h for r in docs.select(
+        "doc_id", F.xxhash64(F.lit(mixing.SEED), "doc_id").alias("h")).collect()}
+    want = fair_queue(sizes, order)
+    assert {r.doc_id: r.taken for r in mixing.mix(docs).collect()} == {
+        d: want[d] for s in sizes for d in sizes[s]}
+
+
 def test_mix_comes_near_its_targets(spark):
     rng = random.Random(5)
     data = [(i, prose(rng, rng.randrange(1, 60)), None, "s%d" % (i % 7 if i % 3 else 0), 0)
@@ -674,6 +718,15 @@ def test_components(spark):
 
 # --- pipeline -------------------------------------------------------------
 
+def test_pipeline_run_leaves_one_table(spark):
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = set(os.listdir(shared)) - before
+    assert len(left) == 1 and left.pop().startswith("pipeline-")
+    assert out.count() > 0
+
+
 def test_pipeline_stages(spark, docs, rows):
     names = docs.columns
     plain = [r for r in rows if r[0] is not None]
