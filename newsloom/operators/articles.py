@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom import fixed
 from newsloom.functions import dates, text as tx
+from newsloom.sources.tables import kept
+
+# Workers get the task function by value and need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 Rules = list[tuple[str, list[str]]]
 
@@ -42,52 +52,145 @@ def tag_topics(articles: DataFrame, rules: Rules = fixed.TOPIC_RULES,
     return articles.withColumn(out, topic_case(_content(), rules, default))
 
 
-GRAM = 3
+# Keywords go by size classes, the powers of two.  A window of a class's size is told by
+# the least hash of the runs of bytes inside it; a text that holds a keyword holds all
+# windows of the keyword, hence the anchors (least hashes) of all of them.
+SMALL_INDEX = 8 << 20  # bytes of index rows that may be broadcast
+MARK_BITS = 22
+WINDOW_BYTES = 1 << 18  # text whose windows a task holds at a time
+
+
+def _run_bytes(size: int) -> int:
+    return max(min(size, 6), size // 2)
+
+
+def _least(h: np.ndarray, n: int) -> np.ndarray:
+    """Least of every ``n`` values in a row, by doubling."""
+    got = 1
+    while got < n:
+        step = min(got, n - got)
+        h = np.minimum(h[:-step], h[step:])
+        got += step
+    return h
 
 
-def _grams(text: Column, lengths: range) -> Column:
-    """Distinct runs of characters of the given lengths, and the empty one."""
-    def of(chars: Column) -> Column:
-        parts = [F.array(F.lit(""))]
-        for n in lengths:
-            ends = [F.slice(chars, 1 + i, F.greatest(F.size(chars) - (n - 1), F.lit(0))) for i in range(n)]
-            joined = ends[0]
-            for e in ends[1:]:
-                joined = F.zip_with(joined, e, lambda x, y: F.concat(x, y))
-            parts.append(joined)
-        return F.array_distinct(F.concat(*parts))
+def _run_hashes(known: dict[int, np.ndarray], n: int) -> np.ndarray:
+    """A hash of every run of ``n`` bytes, made from those of shorter runs in ``known``."""
+    if n not in known:
+        part = 1 << ((n - 1).bit_length() - 1)
+        h = _run_hashes(known, part)
+        h = (h[:part - n] * np.uint64(0xBF58476D1CE4E5B9) + h[n - part:]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        known[n] = h
+    return known[n]
 
-    return tx.bind(F.split(text, ""), of)
+
+def _marks(anchors: np.ndarray) -> np.ndarray:
+    """A table of the top bits of some anchors."""
+    table = np.zeros(1 << MARK_BITS, bool)
+    table[anchors.view(np.uint64) >> np.uint64(64 - MARK_BITS)] = True
+    return table
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], sizes: list[int] | None,
+             wanted: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(n, size, anchor) of (n, size, bytes): of all ``sizes``, or of each row's own.
+
+    Of a size in ``wanted``, anchors that cannot be among those are left out.
+    """
+    marks = {size: _marks(anchors) for size, anchors in wanted.items()}
+    for batch in batches:
+        keys, own, texts = batch.column(0), batch.column(1).to_numpy(), batch.column(2)
+        lengths = pc.binary_length(texts).to_numpy().astype(np.int64)
+        ends = np.cumsum(lengths)
+        group = (ends - lengths) // WINDOW_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1), len(texts)]
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            data = np.frombuffer(b"".join(texts.slice(lo, hi - lo).to_pylist()), np.uint8)
+            row = np.repeat(np.arange(lo, hi, dtype=np.int32), lengths[lo:hi])
+            hashes = {1: (data + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)}
+            for size in sizes if sizes is not None else np.unique(own[lo:hi]).tolist():
+                if size == 0:  # the empty keyword, which every text holds
+                    at = np.arange(lo, hi) if sizes is not None else lo + np.flatnonzero(own[lo:hi] == 0)
+                    least = np.zeros(len(at), np.uint64)
+                elif len(data) < size:
+                    continue
+                else:
+                    run = _run_bytes(size)
+                    least = _least(_run_hashes(hashes, run), size - run + 1)
+                    at = row[:len(least)]
+                    whole = at == row[size - 1:]  # windows do not cross texts
+                    if sizes is None:
+                        whole &= own[at] == size
+                    least, at = least[whole], at[whole]
+                    if size in marks:
+                        likely = marks[size][least >> np.uint64(64 - MARK_BITS)]
+                        least, at = least[likely], at[likely]
+                    new = np.append(True, (least[1:] != least[:-1]) | (at[1:] != at[:-1]))[:len(at)]
+                    least, at = least[new], at[new]
+                yield pa.RecordBatch.from_arrays(
+                    [keys.take(pa.array(at)), pa.array(np.full(len(at), size, np.int32)),
+                     pa.array(least.view(np.int64))], ["n", "size", "anchor"])
+
+
+def _with_anchors(rows: DataFrame, sizes: list[int] | None = None,
+                  wanted: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """``rows`` (n, size, bytes) to (n, size, anchor), at least once per anchor."""
+    key = rows.schema["n"].dataType.simpleString()
+    return rows.mapInArrow(
+        lambda batches: _anchors(batches, sizes, wanted or {}), f"n {key}, size int, anchor long")
 
 
 def keyword_index(rules: DataFrame) -> DataFrame:
-    """(gram, priority, topic, keyword): each keyword under the one of its grams that
-    fewest keywords have.  Keywords below GRAM characters are their own gram."""
+    """(size, anchor, priority, topic, keyword): each keyword once, with the rule that
+    comes first of those that have it, under the anchor that fewest keywords have."""
     words = rules.select("priority", "topic", F.explode("keywords").alias("keyword")).filter(
         F.col("keyword").isNotNull())
-    size = F.length("keyword")
-    longest = F.filter(_grams(F.col("keyword"), range(GRAM, GRAM + 1)), lambda g: F.length(g) == GRAM)
-    own = F.when(size >= GRAM, longest).otherwise(F.array("keyword"))
-    grams = words.withColumn("gram", F.explode(own))
-    often = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    return grams.join(often, "gram").groupBy("priority", "topic", "keyword").agg(
-        F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    first = words.groupBy("keyword").agg(F.min(F.struct("priority", "topic")).alias("rule"))
+    n = F.octet_length("keyword")
+    # The greatest power of two that is not above the length; 0 if empty.
+    size = F.when(n == 0, 0).otherwise(F.call_function("shiftleft", F.lit(1), F.length(F.bin(n)) - 1))
+    anchors = kept(_with_anchors(first.select(
+        F.col("keyword").alias("n"), size.alias("size"), F.encode("keyword", "UTF-8"))).distinct(), "anchors")
+    often = anchors.groupBy("size", "anchor").agg(F.count("*").alias("often"))
+    under = anchors.join(often, ["size", "anchor"]).groupBy("n", "size").agg(
+        F.min_by("anchor", F.struct("often", "anchor")).alias("anchor"))
+    return first.join(under, F.col("keyword") == F.col("n")).select(
+        "size", "anchor", "rule.priority", "rule.topic", "keyword")
 
 
 def tag_topics_from_table(articles: DataFrame, rules: DataFrame,
                           default: str = fixed.TOPIC_DEFAULT, out: str = "topico",
-                          key: str = "id") -> DataFrame:
+                          key: str = "id", room: int = SMALL_INDEX) -> DataFrame:
     """Same tagger with the rules in a table (priority, topic, keywords) of any size.
 
-    Articles (unique by ``key``) meet the rules on the grams of the keyword index; what
+    Articles (unique by ``key``) meet the rules on the anchors of the keyword index; what
     meets is folded to one list of candidates per article, tested for containment, and
-    the hit of least priority wins.  Only keys and grams move, not texts.
+    the hit of least priority wins.  Only keys and anchors move, not texts; size classes
+    of few keywords are broadcast, so that not even anchors move for them.
     """
-    index = keyword_index(rules)
-    emitted = articles.select(
-        F.col(key).alias("_de"), F.explode(_grams(_content(), range(1, GRAM + 1))).alias("gram"))
-    candidates = emitted.join(index, "gram").groupBy("_de").agg(
-        F.array_sort(F.collect_set(F.struct("priority", "topic", "keyword"))).alias("_reglas"))
+    index = kept(keyword_index(rules), "keywords")
+    held = index.groupBy("size").agg(
+        F.sum(F.octet_length("keyword") + F.octet_length(F.coalesce("topic", F.lit(""))) + 64).alias("held")).collect()
+    small, large = [], []
+    for r in sorted(held, key=lambda r: (r.held, r.size)):  # a row per size class
+        room -= r.held
+        (small if room >= 0 else large).append(r.size)
+    texts = articles.select(
+        F.col(key).alias("n"), F.lit(0).alias("size"), F.encode(_content(), "UTF-8").alias("bytes"))
+
+    def met(anchors: DataFrame, side: DataFrame) -> DataFrame:
+        return anchors.join(side, ["size", "anchor"]).select(
+            F.col("n").alias("_de"), F.struct("priority", "topic", "keyword").alias("rule"))
+
+    few = index.filter(F.col("size").isin(small))
+    listed = few.select("size", "anchor").toPandas()  # bounded by SMALL_INDEX
+    wanted = {int(n): g.to_numpy(np.int64) for n, g in listed.groupby("size")["anchor"]}
+    pairs = met(_with_anchors(texts, small, wanted), F.broadcast(few))
+    if large:
+        pairs = pairs.unionByName(
+            met(_with_anchors(texts, large), index.filter(F.col("size").isin(large))))
+    candidates = pairs.groupBy("_de").agg(F.array_sort(F.collect_set("rule")).alias("_reglas"))
 
     def first_hit(text: Column) -> Column:
         hits = F.filter(F.col("_reglas"), lambda r: F.contains(text, r["keyword"]))

@@ -64,6 +64,26 @@ def test_fifty_thousand_rules_match_a_plain_search(spark, make):
         assert got[i] == want
 
 
+def test_long_rules_meet_few_articles(spark, make):
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice("ab ") for _ in range(300)) for _ in range(150)]
+    words = [t[i % 200:i % 200 + 70 + i % 30] for i, t in enumerate(texts)]
+    words += [w[:20 + i % 9] for i, w in enumerate(words)] + ["", "zz", "é", "a b"]
+    rules = [(i, f"T{i}", [w, w]) for i, w in enumerate(words + words[:50])]
+    table = spark.createDataFrame(rules, "priority long, topic string, keywords array<string>")
+    index = ar.keyword_index(table)
+    assert index.count() == len(set(words))
+    rows = spark.createDataFrame([(i, 0, t.encode()) for i, t in enumerate(texts)], "n long, size int, bytes binary")
+    long = ar._with_anchors(rows, [16, 64]).join(index, ["size", "anchor"]).select("n", "keyword").distinct()
+    assert long.count() <= 12 * len(texts)  # of 45,000 pairs
+    df = make(*[article(i, texto=t, titulo="") for i, t in enumerate([*texts, "zzé", "é"])])
+    for room in (0, ar.SMALL_INDEX):
+        got = {r.id: r.topico for r in ar.tag_topics_from_table(
+            df, table.filter("priority != 300"), "General", room=room).select("id", "topico").collect()}
+        for i, t in enumerate([*texts, "zzé", "é"]):
+            assert got[i] == next((topic for n, topic, (w, _) in rules if n != 300 and w in " " + t), "General")
+
+
 def test_dates_and_missing_values(make):
     df = ar.enrich(make(
         article(1), article(2, pub=None), article(3, pub=""), article(4, pub="2026-05-16 08:00:00"),
