@@ -141,12 +141,31 @@ def row_tie() -> Column:
     return F.xxhash64("texto", "titulo", "fuente", "fecha_pub")
 
 
+BITS = 1 << 27  # of a sieve: 16 MB, however many keys it takes
+_CELL = 1 << 15  # bits of one row of it
+
+
+def sifted(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are in ``wanted``, and a few more that share a hash with one.
+
+    The hashes of the wanted keys are marked in a table of bounded size that goes to
+    every task, so the join that follows moves the bodies it needs and few others.
+    """
+    at = F.pmod(F.xxhash64(*keys), F.lit(BITS))
+    cell, bit = F.floor(at / _CELL).cast("int"), (at % _CELL).cast("int")
+    marks = wanted.select(cell.alias("_cell"), bit.cast("long").alias("_bit")).groupBy("_cell").agg(
+        F.bitmap_construct_agg("_bit").alias("_marks"))
+    byte = F.conv(F.hex(F.substring("_marks", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    return rows.withColumn("_cell", cell).withColumn("_bit", bit).join(F.broadcast(marks), "_cell").filter(
+        F.getbit(byte.cast("int"), F.col("_bit") % 8) == 1).drop("_cell", "_bit", "_marks")
+
+
 def with_payload(resolved: DataFrame, incoming: DataFrame) -> DataFrame:
     """Title and body of resolved arrivals; repeated rows meet in one partition and fold."""
     keys = ["url", "seq", "tie"]
     payload = incoming.select(
         "url", F.col("seq").cast("long").alias("seq"), row_tie().alias("tie"), "titulo", "texto")
-    return resolved.join(payload, keys).dropDuplicates(keys)
+    return resolved.join(sifted(payload, resolved, keys), keys).dropDuplicates(keys)
 
 
 def status_of(resolved: DataFrame) -> DataFrame:
@@ -157,7 +176,9 @@ def history_of(resolved: DataFrame, existing: DataFrame, incoming: DataFrame,
                now: Column) -> DataFrame:
     """Every superseded version, with the title and body it was stored with."""
     superseded = resolved.filter(F.col("changed") & (F.col("version") < F.col("versions")))
-    from_store = superseded.filter("stored").join(existing.select("url", "titulo", "texto"), "url")
+    stored = superseded.filter("stored")
+    from_store = stored.join(
+        sifted(existing.select("url", "titulo", "texto"), stored, ["url"]), "url")
     from_batch = with_payload(superseded.filter(~F.col("stored")), incoming)
     columns = [
         F.xxhash64("url", "hash", now, "version").alias("id"),

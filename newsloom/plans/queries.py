@@ -203,7 +203,8 @@ def run_summary(spark, sf):
 @query
 def history_for_url(spark, sf):
     u = merged(spark, sf)
-    return versions.history_cards(versions.history_for(u.history, u.current)).select(
+    # Cards come first: the sort then moves excerpts, not bodies.
+    return versions.history_for(versions.history_cards(u.history), u.current).select(
         F.col("articulo_url").alias("url"), "version", "titulo", "texto_corto", "guardado"
     )
 
@@ -422,7 +423,7 @@ def drained_store(spark: SparkSession, sf: str) -> ArticleStore:
     columns = schemas.INCOMING.names
     stored = tv.articles(spark, sf).withColumn("seq", F.lit(0).cast("long"))
     for crawl in (stored, tv.incoming(spark, sf)):
-        crawl.select(*columns).write.mode("append").parquet(f"{base}/landing")
+        crawl.select(*columns).write.mode("append").option("compression", "zstd").parquet(f"{base}/landing")
         stream = st_ingest.landed(spark, f"{base}/landing")
         st_ingest.ingest(stream, store, f"{base}/checkpoint", NOW).awaitTermination()
     return store
