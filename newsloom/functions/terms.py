@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import REST, bind
+from newsloom.functions.text import bind
+
+# Workers get the task function by value and need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _decompositions() -> tuple[str, str, dict[str, str]]:
@@ -65,29 +74,44 @@ def tokens(c: Column, stop_words: list[str]) -> Column:
     return F.filter(words, lambda w: ~w.isin(stop_words))
 
 
-def with_bigrams(words: Column) -> Column:
-    """The words followed by their bigrams."""
-    n = F.greatest(F.size(words) - 1, F.lit(0))
-    left = F.slice(words, F.lit(1), n)
-    right = F.slice(words, F.lit(2), n)
-    return F.concat(words, F.zip_with(left, right, lambda a, b: F.concat(a, F.lit(" "), b)))
+WORDS = 500_000  # words counted together
 
 
-def run_starts(ordered: Column) -> Column:
-    """Start offsets of equal runs in a sorted array."""
-    marks = F.transform(
-        ordered,
-        lambda t, i: F.when(
-            (i == 0) | (F.get(ordered, F.greatest(i - 1, F.lit(0))) != t), i
-        ),
-    )
-    return F.filter(marks, lambda m: m.isNotNull())
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, words) to (key, ``array<struct<term, tf>>``): words and bigrams, sorted."""
+    for batch in batches:
+        sizes = pc.list_value_length(batch.column(1)).fill_null(0).to_numpy().astype(np.int64)
+        run = (np.cumsum(sizes) - sizes) // WORDS
+        edges = [0, *(np.flatnonzero(np.diff(run)) + 1), batch.num_rows]
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            lists = _counted(pc.list_flatten(batch.column(1).slice(lo, hi - lo)), sizes[lo:hi])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(lo, hi - lo), lists], [batch.schema.names[0], "terminos"])
 
 
-def runs(ordered: Column, starts: Column) -> Column:
-    """``array<struct<term, tf>>`` from a sorted array and its run starts."""
-    ends = F.concat(F.slice(starts, 2, REST), F.array(F.size(ordered)))
-    return F.zip_with(
-        starts, ends,
-        lambda s, e: F.struct(F.get(ordered, s).alias("term"), (e - s).alias("tf")),
-    )
+def _counted(words: pa.Array, sizes: np.ndarray) -> pa.ListArray:
+    """Term counts of rows of words.
+
+    Words are numbered in the order of their bytes.  All of them sort after the blank
+    of a bigram, so terms sort as pairs (first, second or none).
+    """
+    coded = pc.dictionary_encode(words)
+    order = pc.sort_indices(coded.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    w = rank[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+    row, base = np.repeat(np.arange(len(sizes)), sizes), len(order) + 1
+    pairs = row[1:] == row[:-1]
+    key = np.concatenate([
+        (row * base + w) * base, ((row * base + w)[:-1] * base + w[1:] + 1)[pairs]])
+    key, tf = np.unique(key, return_counts=True)
+    row, term = np.divmod(key, base * base)
+    term, place = np.unique(term, return_inverse=True)
+    first, second = np.divmod(term, base)
+    ordered = coded.dictionary.take(order)
+    text = pc.binary_join_element_wise(
+        ordered.take(pa.array(first)), ordered.take(pa.array(second - 1, mask=second == 0)), " ",
+        null_handling="skip")
+    at = np.searchsorted(row, np.arange(len(sizes) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays(
+        [text.take(pa.array(place)), pa.array(tf.astype(np.int32))], ["term", "tf"]))

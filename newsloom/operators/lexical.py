@@ -62,15 +62,13 @@ def term_arrays(docs: DataFrame, key: str, content: Column,
                 stop_words: list[str]) -> DataFrame:
     """(key, terminos: array<struct<term, tf>>) of every document.
 
-    The n-grams of a row are sorted and cut into runs, so counting needs no
-    shuffle; the staged columns keep each array evaluated once.
+    The words of a row are numbered and its n-grams counted as numbers, so counting
+    needs no shuffle and a term becomes text once per run of rows.
     """
-    return (
-        docs.select(key, terms.tokens(content, stop_words).alias("w"))
-        .select(key, F.sort_array(terms.with_bigrams(F.col("w"))).alias("g"))
-        .select(key, "g", terms.run_starts(F.col("g")).alias("s"))
-        .select(key, terms.runs(F.col("g"), F.col("s")).alias("terminos"))
-    )
+    words = docs.select(key, terms.tokens(content, stop_words).alias("w"))
+    spec = words.schema[key].dataType.simpleString()
+    return words.mapInArrow(
+        terms.counted, f"`{key}` {spec}, terminos array<struct<term: string, tf: int>>")
 
 
 def term_counts(arrays: DataFrame, key: str) -> DataFrame:

@@ -341,3 +341,19 @@ def test_refreshed_document_replaces_the_old_one(spark, tmp_path):
     rows = index.read().filter("doc_key = 'noticia_0'").collect()
     assert len(rows) == 1 and "nuevo" in rows[0].document and "Sindicatos" not in rows[0].document
     assert index.read().count() == len(DOCS)
+
+
+def test_terms_are_counted_over_runs_of_rows(monkeypatch):
+    import pyarrow as pa
+
+    from newsloom.functions import terms
+
+    monkeypatch.setattr(terms, "WORDS", 3)
+    rows = [["b", "a", "b", "a"], [], None, ["a1", "a", "é", "ab"], ["a"], ["zz", "a"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(rows, pa.list_(pa.string()))], ["id", "w"])
+    got = {i: [(t["term"], t["tf"]) for t in terms_] for part in terms.counted([batch])
+           for i, terms_ in zip(part["id"].to_pylist(), part["terminos"].to_pylist())}
+    for i, words in enumerate(rows):
+        words = words or []
+        grams = sorted([*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))], key=str.encode)
+        assert got[i] == [(g, grams.count(g)) for g in dict.fromkeys(grams)]
