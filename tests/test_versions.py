@@ -233,3 +233,12 @@ def test_repeated_and_sparse_orders_match_the_sequential_model(spark):
         assert current[url] == texts[-1]
         edits += sum(a != b for a, b in zip(texts, texts[1:]))
     assert u.history.count() == edits
+
+
+def test_a_sieve_keeps_the_wanted_rows_and_few_others(spark):
+    rows = spark.range(4000).selectExpr("if(id % 50 = 0, null, concat('u', id)) url", "id seq", "repeat('x', 9) texto")
+    wanted = rows.filter("seq % 40 = 0").select("url", "seq")
+    kept = sorted(r.seq for r in versions.sifted(rows, wanted, ["url", "seq"]).collect())
+    assert set(range(0, 4000, 40)) <= set(kept) and len(kept) == len(set(kept)) <= 110
+    assert versions.sifted(rows, wanted, ["url", "seq"]).columns == rows.columns
+    assert versions.sifted(rows, wanted.filter("false"), ["url", "seq"]).count() == 0
