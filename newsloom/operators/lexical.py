@@ -1,17 +1,19 @@
 """Distributed TF-IDF index and batch search.
 
 Fit
-    Token counts are computed inside each document row (no shuffle), exploded
-    once and aggregated per term with map-side partial results.  The vocabulary
-    has a fixed maximum size and is therefore always broadcast.  Weights need one
-    shuffle, of narrow postings by document.
+    Texts are dealt by id and cut into words.  A task adds up the counts of all terms
+    over runs of documents, so that Spark adds rows of (run, term), not of (document,
+    term).  The vocabulary has a fixed maximum size; up to a limit the fit brings it to
+    the driver, and a second pass looks for its terms alone in each text: no other
+    term leaves a task.  Weights need one shuffle, of these terms by document.
 Search
     Queries go through the same expressions and meet the postings on the term.
     Query terms are broadcast up to a checked number of rows; beyond it both
     sides are salted, so a term found in a large part of all documents is spread
     over several tasks.  Rank per query is cut to the top k before the shuffle.
-    Stored rows (one per document, with all its terms) are scored whole in the
-    task that reads them: k rows per query leave it, and no pair is a row before.
+    Documents are scored whole in the task that reads them: k rows per query leave it,
+    and no pair is a row before.  Rows that share an id are one document; where there
+    are such rows, the postings are joined instead.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 from newsloom import fixed
 from newsloom.functions import scoring, terms, text as tx
+from newsloom.functions.terms import Vocabulary, runs_of  # by name: tasks get no module
 from newsloom.operators.articles import tag_topics
 
 SIM_DIGITS = 6
@@ -49,7 +52,9 @@ class LexicalIndex:
     documents: DataFrame  # id of every document, with or without terms
     stop_words: list[str]
     max_features: int = fixed.MAX_FEATURES
-    rows: DataFrame | None = None  # stored: id, terminos (array<struct<term, tf>>)
+    rows: DataFrame | None = None  # id, terminos (array<struct<term, tf>>)
+    texts: DataFrame | None = None  # id, palabras (``terms.word_text``)
+    repeated: bool = False  # whether rows share an id or have none
 
 
 def corpus_text(titulo: Column, texto: Column, title_weight: int = fixed.TITLE_WEIGHT) -> Column:
@@ -115,23 +120,89 @@ def weigh(counts: DataFrame, vocab: DataFrame, key: str,
     return raw.select(key, "term", (F.col("w") / norm).alias("peso"))
 
 
+def word_texts(docs: DataFrame, key: str, content: Column) -> DataFrame:
+    """(key, palabras): the text of every document as ``terms.Words`` cuts it.
+
+    Documents are dealt by key before they are cut, so that few input files do not
+    leave the cutting to few tasks.
+    """
+    dealt = docs.select(key, content.alias("contenido")).repartition(key)
+    return dealt.select(key, terms.word_text(F.col("contenido")).alias("palabras"))
+
+
+def counted_texts(texts: DataFrame, key: str, stop_words: list[str]) -> DataFrame:
+    """(key, terminos) like ``term_arrays``, from ``word_texts``."""
+    spec = texts.schema[key].dataType.simpleString()
+    return texts.select(key, "palabras").mapInArrow(
+        terms.counted_texts(stop_words), f"`{key}` {spec}, terminos array<struct<term: string, tf: int>>")
+
+
+def term_totals(texts: DataFrame, stop_words: list[str]) -> DataFrame:
+    """(term, cf, df) of all terms of the corpus."""
+    parts = texts.select("palabras").mapInArrow(
+        terms.totals(stop_words), "term string, cf long, df long")
+    return parts.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+
+
+def local_vocabulary(vocab: DataFrame) -> DataFrame:
+    """The vocabulary, brought to the driver: it is bounded by its caller."""
+    return vocab.sparkSession.createDataFrame(vocab.toArrow())
+
+
+def weighed_texts(texts: DataFrame, vocab: pd.DataFrame, stop_words: list[str]) -> DataFrame:
+    """(id, term, peso) of the vocabulary's terms, like ``weigh``, from one pass of texts."""
+    finder = Vocabulary(vocab["term"].tolist(), stop_words)
+    idf, names = vocab["idf"].to_numpy(np.float64), pa.array(vocab["term"], pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in runs_of(batch.column(1)):
+                row, term, tf = finder.counts(batch.column(1).slice(lo, hi - lo))
+                w = (np.log(tf) + 1) * idf[term]
+                edges = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays(
+                    [names.take(pa.array(term)), pa.array(w)], ["term", "w"]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array(np.bincount(row, w * w, hi - lo)), lists],
+                    ["id", "n2", "pesos"])
+
+    spec = texts.schema["id"].dataType.simpleString()
+    rows = texts.select("id", "palabras").mapInArrow(
+        run, f"id {spec}, n2 double, pesos array<struct<term: string, w: double>>").repartition("id")
+    # Rows that share an id have one norm.
+    norm = F.sqrt(F.sum("n2").over(Window.partitionBy("id")))
+    return rows.select("id", norm.alias("norma"), "pesos").select(
+        "id", "norma", F.inline_outer("pesos")).filter(F.col("term").isNotNull()).select(
+        "id", "term", (F.col("w") / F.col("norma")).alias("peso"))
+
+
 def fit(articles: DataFrame, max_features: int = fixed.MAX_FEATURES,
         stop_words: list[str] = fixed.STOP_WORDS,
         title_weight: int = fixed.TITLE_WEIGHT) -> LexicalIndex:
     """Vocabulary and weighed postings of a corpus.
 
-    The per-document arrays are distributed by id once.  Both the vocabulary and
-    the postings read that exchange, so texts are tokenised once, and weights
-    and scores, which are per document, need no further shuffle.
+    Up to ``MAX_BROADCAST_ROWS`` features the vocabulary is computed here and held by the
+    driver, and postings and scores read the texts once more.  A larger one stays a
+    table: the term arrays of all documents are distributed by id once and joined to it.
     """
     content = corpus_text(F.col("titulo"), F.col("texto"), title_weight)
-    arrays = term_arrays(articles, "id", content, stop_words).repartition("id")
-    counts = term_counts(arrays, "id")
-    n_docs = articles.agg(F.count("*").alias("n")).scalar()
-    vocab = vocabulary(counts, n_docs, max_features)
+    if max_features > MAX_BROADCAST_ROWS:
+        n_docs = articles.agg(F.count("*").alias("n")).scalar()
+        arrays = term_arrays(articles, "id", content, stop_words).repartition("id")
+        counts = term_counts(arrays, "id")
+        vocab = vocabulary(counts, n_docs, max_features)
+        return LexicalIndex(vocab, weigh(counts, vocab, "id", max_features),
+                            articles.select("id"), stop_words, max_features)
+    texts = word_texts(articles, "id", content)
+    sizes = articles.groupBy("id").agg(F.count("*").alias("n")).agg(
+        F.sum("n").alias("n"), F.max("n").alias("most"),
+        F.count_if(F.col("id").isNull()).alias("nulls")).first()
+    vocab = local_vocabulary(cut(
+        term_totals(texts, stop_words), F.lit(sizes.n or 0).cast("long"), max_features))
+    known = vocab.select("term", "idf").toPandas()
     return LexicalIndex(
-        vocab, weigh(counts, vocab, "id", max_features), articles.select("id"), stop_words,
-        max_features,
+        vocab, weighed_texts(texts, known, stop_words), articles.select("id"), stop_words,
+        max_features, texts=texts, repeated=(sizes.most or 0) > 1 or sizes.nulls > 0,
     )
 
 
@@ -177,7 +248,9 @@ class RowScorer:
     weight any query gives each term, is left out before its products are made.
     """
 
-    def __init__(self, vocab: pd.DataFrame, asked: pd.DataFrame, k: int):
+    def __init__(self, vocab: pd.DataFrame, asked: pd.DataFrame, k: int,
+                 stop_words: list[str] = fixed.STOP_WORDS):
+        self.finder = Vocabulary(vocab["term"].tolist(), stop_words)
         self.terms = pa.array(vocab["term"], pa.string())
         self.idf, self.k = vocab["idf"].to_numpy(np.float64), k
         self.qids, query = np.unique(asked["query_id"].to_numpy(np.int64), return_inverse=True)
@@ -199,7 +272,13 @@ class RowScorer:
         known = code.is_valid().to_numpy(zero_copy_only=False)
         code = code.fill_null(0).to_numpy(zero_copy_only=False)[known]
         tf = flat.field("tf").to_numpy(zero_copy_only=False)[known]
-        doc = doc[known]
+        self._add(ids, doc[known], code, tf)
+
+    def add_texts(self, ids: np.ndarray, texts: pa.Array) -> None:
+        for lo, hi in runs_of(texts):
+            self._add(ids[lo:hi], *self.finder.counts(texts.slice(lo, hi - lo)))
+
+    def _add(self, ids: np.ndarray, doc: np.ndarray, code: np.ndarray, tf: np.ndarray) -> None:
         w = (np.log(tf) + 1) * self.idf[code]
         w /= np.sqrt(np.bincount(doc, w * w, len(ids)))[doc]
         reach = np.bincount(doc, w * self.most[code], len(ids))
@@ -248,26 +327,30 @@ def _bounds(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def task_hits(index: LexicalIndex, queries: DataFrame, k: int,
               max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame | None:
-    """Top k per query and task of stored rows; None if queries or vocabulary exceed
+    """Top k per query and task of texts or rows; None if queries or vocabulary exceed
     ``max_rows``, of which not more than one row beyond is fetched."""
-    if index.max_features > max_rows:
+    if index.max_features > max_rows or index.repeated or (index.texts is None and index.rows is None):
         return None
+    read = ("id", "palabras") if index.texts is not None else ("id", "terminos")
     weights = weigh(asked_counts(index, queries), index.vocab, "query_id", index.max_features)
     asked = weights.limit(max_rows + 1).toPandas()
     if len(asked) > max_rows:
         return None
     vocab = index.vocab.select("term", "idf").limit(index.max_features).toPandas()
+    stop_words = index.stop_words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = RowScorer(vocab, asked, k)
+        scorer = RowScorer(vocab, asked, k, stop_words)
         for b in batches:
             if b.num_rows and len(asked):
-                scorer.add(b.column(0).to_numpy(), b.column(1))
+                add = scorer.add if read[1] == "terminos" else scorer.add_texts
+                add(b.column(0).to_numpy(), b.column(1))
         found = scorer.result()
         if found is not None:
             yield found
 
-    return index.rows.select("id", "terminos").mapInArrow(
+    source = index.rows if index.texts is None else index.texts
+    return source.select(*read).mapInArrow(
         run, "query_id long, id long, bruta double, similitud double"
     ).withColumn("bruta", F.round("bruta", SUM_DIGITS))
 
@@ -283,7 +366,7 @@ def search(index: LexicalIndex, queries: DataFrame, k: int = fixed.LEXICAL_TOP_K
     asked = queries.withColumn("consulta", tx.strip(F.col("consulta"))).filter(
         F.col("consulta") != ""
     )
-    scored = None if index.rows is None else task_hits(index, asked, k, max_broadcast_rows)
+    scored = task_hits(index, asked, k, max_broadcast_rows)
     if scored is None:
         scored = scores(index, asked, max_broadcast_rows)
     hits = top_k(scored, k).drop("rank")

@@ -357,3 +357,74 @@ def test_terms_are_counted_over_runs_of_rows(monkeypatch):
         words = words or []
         grams = sorted([*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))], key=str.encode)
         assert got[i] == [(g, grams.count(g)) for g in dict.fromkeys(grams)]
+
+
+ODD_WORDS = [
+    None, "", " ", "a", "El Niño, ¿qué año?", "ŒUVRE ﬁn İstanbul", "Hℋ Hotel hℋ", "ΟΔΟΣ'α ΣΑΣ.", "x́y éa",
+    "Straße_9 9ª Ŀl ŉ ǆ Ǆ", "uno dos—tres…€5 «cita»", "ⓐⓑ ①② ​x", "日本語 と 한국어 текст", "²³ ½x ´y ¨z",
+]
+
+
+def test_words_are_the_tokens_of_a_text(spark):
+    """Cut by Arrow and folded once a word, texts have the words of the expression."""
+    import pyarrow as pa
+
+    from newsloom.functions import terms
+
+    alone = [f"x{chr(c)}y Ab{chr(c)} {chr(c)}{chr(c)}" for c in (*range(1, 0x260), *range(0x2000, 0x2100))]
+    df = spark.createDataFrame(list(enumerate(ODD_WORDS + alone)), "id int, t string").coalesce(1)
+    rows = df.select("id", terms.tokens(F.col("t"), fixed.STOP_WORDS).alias("want"),
+                     terms.word_text(F.col("t")).alias("text")).orderBy("id").collect()
+    words = terms.Words(pa.array([r.text for r in rows], pa.string()), fixed.STOP_WORDS)
+    got = [[] for _ in rows]
+    for row, word in zip(words.row, words.dictionary.take(pa.array(words.code)).to_pylist()):
+        got[row].append(word)
+    assert got == [r.want or [] for r in rows]
+
+
+def test_terms_leave_a_task_added_up(spark, monkeypatch):
+    """One row for each term of a run of texts, not of each document."""
+    import pyarrow as pa
+
+    from newsloom.functions import terms
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["gol rojo gol", "gol rojo", None, "rojo"] * 50)], ["palabras"])
+    whole = [r for b in terms.totals([])([batch]) for r in b.to_pylist()]
+    assert sorted(map(tuple, (r.values() for r in whole))) == [
+        ("gol", 150, 100), ("gol rojo", 100, 100), ("rojo", 150, 150), ("rojo gol", 50, 50)]
+    monkeypatch.setattr(terms, "TEXT_BYTES", 40)
+    parts = [r for b in terms.totals([])([batch]) for r in b.to_pylist()]
+    assert len(parts) > 4 and sum(r["cf"] for r in parts) == 450
+
+
+def test_postings_hold_no_term_beyond_the_vocabulary(spark):
+    """What is sent by document are weights of the vocabulary; they equal the joined ones."""
+    docs = corpus(spark, *DOCS, ("Única", " ".join(f"rara{i}" for i in range(500))))
+    index = lexical.fit(docs, max_features=12)
+    plan = index.postings._jdf.queryExecution().optimizedPlan().toString()
+    assert "pesos" in plan and "terminos" not in plan
+    arrays = lexical.term_arrays(
+        docs, "id", lexical.corpus_text(F.col("titulo"), F.col("texto")), fixed.STOP_WORDS)
+    want = lexical.weigh(lexical.term_counts(arrays, "id"), index.vocab, "id", 12)
+    key = lambda r: (r.id, r.term, round(r.peso, 12))
+    assert sorted(map(key, index.postings.collect())) == sorted(map(key, want.collect()))
+
+
+def test_rows_that_share_an_id_stay_one_document(spark):
+    docs = corpus(spark, *DOCS)
+    twice = docs.unionByName(docs.filter("id < 2")).unionByName(
+        docs.filter("id = 3").withColumn("id", F.lit(None).cast("long")))
+    queries = asked(spark, "bloqueo carretera", "economía dólar", "gol")
+    index = lexical.fit(twice)
+    assert index.repeated and lexical.task_hits(index, queries, 5) is None
+    norms = index.postings.groupBy("id").agg(F.round(F.sum(F.col("peso") ** 2), 9).alias("n")).collect()
+    assert {r.n for r in norms} == {1.0}
+    assert not lexical.fit(docs).repeated
+    assert lexical.task_hits(lexical.fit(docs), queries, 5) is not None
+
+
+def test_a_large_vocabulary_stays_a_table(spark, monkeypatch):
+    docs, queries = corpus(spark, *DOCS), asked(spark, "bloqueo carretera", "economía dólar")
+    want = sorted(map(tuple, lexical.search(lexical.fit(docs), queries).collect()))
+    monkeypatch.setattr(lexical, "MAX_BROADCAST_ROWS", 10)
+    assert sorted(map(tuple, lexical.search(lexical.fit(docs), queries).collect())) == want
