@@ -105,7 +105,8 @@ def _plain_table() -> dict[int, str]:
 
 
 _TABLE = _plain_table()
-SEPARATORS = r"[\x00-/:-@\[-^`{-\x7f]+"  # of ASCII
+#: Bytes of ASCII lowered, blanks for those in no word; other bytes as they are.
+_BYTES = np.array([ord(_TABLE[b]) if b < 128 else b for b in range(256)], np.uint8)
 
 
 WORDS = 500_000  # words counted together
@@ -116,14 +117,15 @@ class Words:
     """The words of some texts (``word_text``) as numbers: ``tokens`` of each row."""
 
     def __init__(self, texts: pa.Array, stop_words: list[str]):
-        told = pc.starts_with(texts, TOLD).fill_null(False).to_numpy(zero_copy_only=False)
+        texts = texts.fill_null("")
+        told = pc.starts_with(texts, TOLD).to_numpy(zero_copy_only=False)
         places, rows, parts, held = [], [], [], 0
         for mine, raw in ((~told, True), (told, False)):
             if not mine.any():
                 continue
             some = texts if mine.all() else texts.filter(pa.array(mine))
-            lists = pc.split_pattern(pc.replace_substring_regex(some, SEPARATORS, " ") if raw else some, " ")
-            sizes = pc.list_value_length(lists).fill_null(0).to_numpy().astype(np.int64)
+            lists = pc.split_pattern(_lowered(some) if raw else some, " ")
+            sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
             coded = pc.dictionary_encode(pc.list_flatten(lists))
             row, form = np.repeat(np.flatnonzero(mine), sizes), coded.indices.to_numpy()
             words, first, count = _folded(coded.dictionary) if raw else (coded.dictionary, None, None)
@@ -157,18 +159,28 @@ class Words:
         return np.flatnonzero(self.row[1:] == self.row[:-1])
 
 
+def _lowered(texts: pa.Array) -> pa.Array:
+    """Texts with their bytes of ASCII lowered and blanks for those in no word."""
+    ends, data = texts.buffers()[1:]
+    if data is None:
+        return texts
+    ends = np.frombuffer(ends, np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    data = _BYTES[np.frombuffer(data, np.uint8)[ends[0]:ends[-1]]]
+    return pa.StringArray.from_buffers(
+        len(texts), pa.py_buffer(ends - ends[0]), pa.py_buffer(data))
+
+
 def _folded(forms: pa.Array) -> tuple[pa.Array, np.ndarray | None, np.ndarray | None]:
     """Words of forms between separators; the first word and number of words of each form,
     or none if each form is the word at its place."""
-    words = pc.ascii_lower(forms)
     odd = np.flatnonzero(~pc.string_is_ascii(forms).to_numpy(zero_copy_only=False))
     if not len(odd):
-        return words, None, None
+        return forms, None, None
     split = [f.translate(_TABLE).split() for f in forms.take(pa.array(odd)).to_pylist()]
     first, count = np.arange(len(forms)), np.ones(len(forms), np.int64)
     count[odd] = late = np.fromiter(map(len, split), np.int64, len(split))
     first[odd] = len(forms) + np.cumsum(late) - late
-    return pa.concat_arrays([words, pa.array([w for x in split for w in x], pa.string())]), first, count
+    return pa.concat_arrays([forms, pa.array([w for x in split for w in x], pa.string())]), first, count
 
 
 def runs_of(texts: pa.Array) -> Iterator[tuple[int, int]]:

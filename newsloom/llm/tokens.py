@@ -17,7 +17,7 @@ from newsloom.session import work_dir
 
 END = 0
 #: Text encoded together.
-CHUNK_CHARS = 1 << 22
+CHUNK_CHARS = 1 << 23
 FILE_SCHEMA = "doc_id long, start_in_file long, n_tokens long, ids array<int>"
 
 #: Ids as dictionary indices, counts and positions as deltas; small pages with an
@@ -48,33 +48,39 @@ _CACHES: dict[str, WordCache] = {}
 class WordCache:
     """Ids of texts by way of their units, each of which is encoded once.
 
-    The units of a chunk are split and told apart by Arrow; only the different ones are
-    looked up.  The first ``limit`` of all are kept, later ones encoded each time.  A key
-    is a unit less the space it begins with, or the first unit of a text, which has none,
-    after a space; both cannot meet, as no later unit begins with two.
+    The units of a chunk are split, told apart and looked up by Arrow; only those not held
+    yet are encoded.  The first ``limit`` of all are kept, later ones encoded each time.  A
+    key is a unit less the space it begins with, or the first unit of a text, which has
+    none, after a space; both cannot meet, as no later unit begins with two.
     """
 
-    def __init__(self, tokenizer, limit: int = 600_000):
+    def __init__(self, tokenizer, limit: int = 1_000_000):
         self.encoder = UnitEncoder(tokenizer)
         self.limit = limit
-        self.number: dict[str, int] = {}
+        self.keys = pa.array([], pa.string())
         self.ids, self.ends = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
-    def find(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def find(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place of each key, and the ids and ends the places refer to."""
-        known, held = self.number, len(self.ends)
-        new = [w for w in dict.fromkeys(keys) if w not in known]
+        found = pc.index_in(keys, value_set=self.keys)
+        at = found.fill_null(0).to_numpy().astype(np.int64)
         ids, ends = self.ids, self.ends
+        if not found.null_count:
+            return at, ids, ends
+        missing = keys.filter(found.is_null())
+        new = missing.unique()
         # First units of texts have no space before them; they come last among the keys.
-        later, first = [w for w in new if w[0] != " "], [w[1:] for w in new if w[0] == " "]
-        fresh = dict(zip([*later, *(" " + w for w in first)], range(held, held + len(new))))
-        for coded, sizes in (self.encoder.encode(later), self.encoder.alone(first)) if new else ():
+        leads = pc.starts_with(new, " ")
+        later, first = new.filter(pc.invert(leads)), new.filter(leads)
+        new = pa.concat_arrays([later, first])
+        at[found.is_null().to_numpy(zero_copy_only=False)] = len(ends) + pc.index_in(
+            missing, value_set=new).to_numpy()
+        for coded, sizes in (self.encoder.encode(later.to_pylist()),
+                             self.encoder.alone([w[1:] for w in first.to_pylist()])):
             ends = np.concatenate([ends, len(ids) + np.cumsum(sizes)])
             ids = np.concatenate([ids, coded])
-        at = np.fromiter((known[w] if w in known else fresh[w] for w in keys), np.int64, len(keys))
         if len(ends) <= self.limit:
-            self.ids, self.ends = ids, ends
-            known |= fresh
+            self.ids, self.ends, self.keys = ids, ends, pa.concat_arrays([self.keys, new])
         return at, ids, ends
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,9 +91,9 @@ class WordCache:
         leads = np.zeros(len(keys), bool)
         leads[(np.cumsum(counts) - counts)[counts > 0]] = True
         later = pc.dictionary_encode(keys.filter(pa.array(~leads)))
-        first = [" " + k for k in keys.filter(pa.array(leads)).to_pylist()]
-        different = later.dictionary.to_pylist()
-        place, ids, ends = self.find(different + first)
+        first = pc.binary_join_element_wise("", keys.filter(pa.array(leads)), " ")
+        different = later.dictionary
+        place, ids, ends = self.find(pa.concat_arrays([different, first]))
         at = np.empty(len(keys), np.int64)
         at[~leads] = place[:len(different)][later.indices.to_numpy()]
         at[leads] = place[len(different):]

@@ -1196,3 +1196,17 @@ def test_words_beyond_the_kept_ones_are_encoded_each_time():
             ids, sizes = cache.encode(pa.array(texts))
             cut = np.cumsum(sizes)[:-1]
             assert [x.tolist() for x in np.split(ids, cut)] == want
+
+
+def test_units_held_are_not_looked_up_one_by_one():
+    """Units are held by Arrow, and a text met again needs no encoding."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    cache = tokens.WordCache(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+    texts = pa.array(["the cat", " the  cat", "cat the the", "", "the"])
+    first = [x.tolist() for x in cache.encode(texts)]
+    assert isinstance(cache.keys, pa.Array) and len(cache.keys) == len(set(cache.keys.to_pylist()))
+    cache.encoder = None
+    assert [x.tolist() for x in cache.encode(texts)] == first
