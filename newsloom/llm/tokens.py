@@ -12,12 +12,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.units import UnitEncoder, runs, units_of
+from newsloom.llm.shingles import mix
+from newsloom.llm.suffixes import powers
+from newsloom.llm.units import SLICE, PieceEncoder, pieces_of, runs, string_data, units_of
 from newsloom.session import work_dir
 
 END = 0
 #: Text encoded together.
-CHUNK_CHARS = 1 << 23
+CHUNK_CHARS = 1 << 22
 FILE_SCHEMA = "doc_id long, start_in_file long, n_tokens long, ids array<int>"
 
 #: Ids as dictionary indices, counts and positions as deltas; small pages with an
@@ -45,43 +47,98 @@ def default_vocabulary() -> str:
 _CACHES: dict[str, WordCache] = {}
 
 
+def key_hashes(keys: pa.Array) -> np.ndarray:
+    """64-bit hash of each string."""
+    found = [np.zeros(0, np.uint64)]
+    for i in range(0, len(keys), SLICE):
+        edges, data = string_data(keys.slice(i, SLICE))
+        up, down = powers(len(data) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(mix(np.frombuffer(data, np.uint8) + np.uint64(1)) * up[:len(data)], out=total[1:])
+        found.append(mix((total[edges[1:]] - total[edges[:-1]]) * down[edges[:-1]]))
+    return np.concatenate(found)
+
+
+def gather(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``ids`` that begin at ``starts``, one after the other."""
+    index = np.repeat((starts - (np.cumsum(sizes) - sizes)).astype(np.int32), sizes)
+    index += np.arange(len(index), dtype=np.int32)
+    return ids[index]
+
+
 class WordCache:
-    """Ids of texts by way of their units, each of which is encoded once.
+    """Ids of texts by way of their pieces, each of which is encoded once.
 
-    The units of a chunk are split, told apart and looked up by Arrow; only those not held
-    yet are encoded.  The first ``limit`` of all are kept, later ones encoded each time.  A
-    key is a unit less the space it begins with, or the first unit of a text, which has
-    none, after a space; both cannot meet, as no later unit begins with two.
+    The units of a chunk are split and told apart by Arrow, the different ones are cut into
+    pieces, and those are looked up in a sorted table of hashes and compared as strings;
+    only pieces not held yet are encoded.  The first ``limit`` of all are kept, later ones
+    encoded each time.  A key is a piece less the space it begins with, or a piece that
+    begins with none, after a space; both cannot meet, as no unit begins with two.
     """
 
     def __init__(self, tokenizer, limit: int = 1_000_000):
-        self.encoder = UnitEncoder(tokenizer)
+        self.encoder = PieceEncoder(tokenizer)
+        self.kinds = self.encoder.kinds
         self.limit = limit
         self.keys = pa.array([], pa.string())
-        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(0, np.int64)
-
-    def find(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place of each key, and the ids and ends the places refer to."""
-        found = pc.index_in(keys, value_set=self.keys)
-        at = found.fill_null(0).to_numpy().astype(np.int64)
-        ids, ends = self.ids, self.ends
-        if not found.null_count:
-            return at, ids, ends
-        missing = keys.filter(found.is_null())
-        new = missing.unique()
-        # First units of texts have no space before them; they come last among the keys.
-        leads = pc.starts_with(new, " ")
-        later, first = new.filter(pc.invert(leads)), new.filter(leads)
-        new = pa.concat_arrays([later, first])
-        at[found.is_null().to_numpy(zero_copy_only=False)] = len(ends) + pc.index_in(
-            missing, value_set=new).to_numpy()
-        for coded, sizes in (self.encoder.encode(later.to_pylist()),
-                             self.encoder.alone([w[1:] for w in first.to_pylist()])):
-            ends = np.concatenate([ends, len(ids) + np.cumsum(sizes)])
-            ids = np.concatenate([ids, coded])
-        if len(ends) <= self.limit:
-            self.ids, self.ends, self.keys = ids, ends, pa.concat_arrays([self.keys, new])
-        return at, ids, ends
+        self.ids, self.starts, self.sizes = (np.zeros(0, t) for t in (np.int32, np.int32, np.int32))
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+    def find(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different keys, one after the other, and how many each has."""
+        hashes = key_hashes(keys)
+        at = np.searchsorted(self.hashes, hashes)
+        held = at < len(self.hashes)
+        held[held] = self.hashes[at[held]] == hashes[held]
+        taken = held.copy()  # hashes held, be it by another key
+        place = self.places[at[held]]
+        same = pc.equal(self.keys.take(pa.array(place)), keys.filter(pa.array(held)))
+        same = same.to_numpy(zero_copy_only=False)
+        held[held] = same
+        starts, sizes = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        starts[held], sizes[held] = self.starts[place[same]], self.sizes[place[same]]
+        if held.all():
+            return gather(self.ids, starts, sizes), sizes
+        new, missing = keys.filter(pa.array(~held)), np.flatnonzero(~held)
+        bare = pc.starts_with(new, " ")
+        parts = [self.encoder.encode(new.filter(pc.invert(bare)), True),
+                 self.encoder.encode(pc.utf8_slice_codeunits(new.filter(bare), 1), False)]
+        late = bare.to_numpy(zero_copy_only=False)
+        missing = np.concatenate([missing[~late], missing[late]])
+        n = np.concatenate([p[1] for p in parts])
+        starts[missing], sizes[missing] = len(self.ids) + np.cumsum(n) - n, n
+        ids = np.concatenate([self.ids, *[p[0] for p in parts]])
+        kept = missing[~taken[missing]][:max(self.limit - len(self.keys), 0)]
+        if len(kept):
+            self._keep(keys.take(pa.array(kept)), hashes[kept], starts[kept], sizes[kept], ids)
+        return gather(ids, starts, sizes), sizes
+
+    def _keep(self, keys: pa.Array, hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray,
+              ids: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.places = np.insert(self.places, at, (len(self.keys) + order).astype(np.int32))
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.starts = np.concatenate([self.starts, starts.astype(np.int32)])
+        self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
+        self.keys = pa.concat_arrays([self.keys, keys])
+        self.ids = ids
+
+    def unit_ids(self, units: pa.Array, spaced: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units, of which the first ``spaced`` come after a space, and their numbers."""
+        counts, pieces, _ = pieces_of(units, self.kinds)
+        edges = np.concatenate([[0], np.cumsum(counts)])
+        bare = np.ones(len(pieces), bool)
+        bare[edges[:spaced]] = False
+        after, alone = (pc.dictionary_encode(pieces.filter(pa.array(b))) for b in (~bare, bare))
+        ids, n = self.find(pa.concat_arrays([
+            after.dictionary, pc.binary_join_element_wise("", alone.dictionary, " ")]))
+        which = np.empty(len(pieces), np.int64)
+        which[~bare] = after.indices.to_numpy()
+        which[bare] = alone.indices.to_numpy() + len(after.dictionary)
+        sizes = n[which]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        return gather(ids, (np.cumsum(n) - n)[which], sizes), np.diff(total[edges])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
@@ -91,20 +148,15 @@ class WordCache:
         leads = np.zeros(len(keys), bool)
         leads[(np.cumsum(counts) - counts)[counts > 0]] = True
         later = pc.dictionary_encode(keys.filter(pa.array(~leads)))
-        first = pc.binary_join_element_wise("", keys.filter(pa.array(leads)), " ")
-        different = later.dictionary
-        place, ids, ends = self.find(pa.concat_arrays([different, first]))
+        different = pa.concat_arrays([later.dictionary, keys.filter(pa.array(leads))])
+        ids, n = self.unit_ids(different, len(later.dictionary))
         at = np.empty(len(keys), np.int64)
-        at[~leads] = place[:len(different)][later.indices.to_numpy()]
-        at[leads] = place[len(different):]
-        starts = np.concatenate([[0], ends[:-1]])[at] if len(at) else at
-        sizes = ends[at] - starts
-        before = np.cumsum(sizes) - sizes
-        index = np.repeat((starts - before).astype(np.int32), sizes)
-        index += np.arange(len(index), dtype=np.int32)
+        at[~leads] = later.indices.to_numpy()
+        at[leads] = np.arange(len(later.dictionary), len(different))
+        sizes = n[at]
         total = np.concatenate([[0], np.cumsum(sizes)])
         edges = np.concatenate([[0], np.cumsum(counts)])
-        return ids[index], np.diff(total[edges])
+        return gather(ids, (np.cumsum(n) - n)[at], sizes), np.diff(total[edges])
 
 
 def encoder(vocabulary: str | None, end: int = END):

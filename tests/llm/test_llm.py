@@ -1210,3 +1210,78 @@ def test_units_held_are_not_looked_up_one_by_one():
     assert isinstance(cache.keys, pa.Array) and len(cache.keys) == len(set(cache.keys.to_pylist()))
     cache.encoder = None
     assert [x.tolist() for x in cache.encode(texts)] == first
+
+
+def byte_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def ids_by_text(cache, texts):
+    import pyarrow as pa
+
+    ids, sizes = cache.encode(pa.array(texts, pa.string()))
+    assert len(sizes) == len(texts)
+    return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
+def test_words_held_are_known_beside_other_signs():
+    """A word met before is not encoded again for the sign or the line break beside it."""
+    model = byte_tokenizer()
+    cache = tokens.WordCache(model)
+    ids_by_text(cache, ["a a zquat brellif", "zquat brellif,", "brellif\nzquat 17"])
+    cache.encoder = None
+    texts = ["a brellif,\nzquat brellif zquat, 17", "zquat\nbrellif a,\nzquat"]
+    assert ids_by_text(cache, texts) == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_pieces_match_whole_encodings_for_every_character():
+    """No character of the table of kinds is parted otherwise by the tokenizer."""
+    model = byte_tokenizer()
+    chars = [chr(i) for i in range(1, 0x10400) if not 0xD800 <= i < 0xE000]
+    texts = [f"a{c}b{c}1{c}. {c} {c}{c}x\n{c}9\n\n{c}" for c in chars]
+    want = [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+    assert ids_by_text(tokens.WordCache(model, 50_000), texts) == want
+
+
+def test_random_texts_match_whole_encodings():
+    model = byte_tokenizer()
+    rng = random.Random(23)
+    parts = ["a", "zquat", "É", "ß", "7", "½", "'s", "'ll", ",", "...", "«", "“x”", "<|endoftext|>", "<",
+             "|>", "\n", "\n\n", "\t", " ", " ", " ", "  ", "́", "日本。", "\U0001f600", "ş", " ", "᠎"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(4000)]
+    want = [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+    for limit in (1_000_000, 40, 0):
+        cache = tokens.WordCache(model, limit)
+        for _ in range(2):
+            assert ids_by_text(cache, texts) == want
+        assert len(cache.keys) <= limit
+
+
+def test_words_of_one_hash_keep_their_ids(monkeypatch):
+    model = byte_tokenizer()
+    texts = ["zquat brellif a zquat", "brellif, a\nzquat", "c brellif"]
+    want = [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(tokens, "key_hashes", lambda keys: np.full(len(keys), 5, np.uint64))
+    cache = tokens.WordCache(model)
+    for _ in range(3):
+        assert ids_by_text(cache, texts) == want
+
+
+def test_vocabularies_that_part_words_otherwise_have_no_plain_pieces():
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    texts = ["Zquat 12345,\nbrellif 12 x1234", "a12345 b,c"]
+    three = byte_tokenizer()
+    three.pre_tokenizer = pre_tokenizers.Sequence([
+        pre_tokenizers.Split(Regex(r"\p{N}{1,3}"), "isolated"),
+        pre_tokenizers.ByteLevel(add_prefix_space=False)])
+    lower = byte_tokenizer()
+    lower.normalizer = normalizers.Lowercase()
+    added = byte_tokenizer()
+    added.add_tokens(["ell", "345"])
+    for model in (three, lower, added):
+        want = [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+        assert ids_by_text(tokens.WordCache(model), texts) == want
