@@ -84,6 +84,49 @@ def test_long_rules_meet_few_articles(spark, make):
             assert got[i] == next((topic for n, topic, (w, _) in rules if n != 300 and w in " " + t), "General")
 
 
+def test_topic_rules_move_parts_of_texts_only(spark, make):
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choice("abcdefgh ") for _ in range(2000)) for _ in range(200)]
+    rules = [(i, f"T{i}", [t[500:580 + i % 40]]) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rules, "priority long, topic string, keywords array<string>")
+    index = ar.keyword_index(table)
+    rows = spark.createDataFrame([(i, 0, t.encode()) for i, t in enumerate(texts)], "n long, size int, bytes binary")
+    parts = ar._with_anchors(rows, [64], ar.mark_tables(index, {64: len(rules)}))
+    assert parts.count() <= 2 * len(texts)  # of 23,000 anchors
+    assert parts.agg(F.max(F.octet_length("part"))).first()[0] <= 190
+    got = ar.tag_topics_from_table(make(*[article(i, texto=t, titulo="") for i, t in enumerate(texts)]),
+                                   table, "General", room=0).select("id", "topico")
+    node = got._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().head()
+    assert "texto" not in node.left().output().mkString(" ")
+    assert {r.id: r.topico for r in got.collect()} == {i: f"T{i}" for i in range(len(texts))}
+
+
+def test_topic_rules_on_repeats_long_keywords_and_repeated_keys(spark, make):
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abé😀 ") for _ in range(n))
+    long = word(4000)
+    waves = "ab" * 20_000
+    words = [long[100:3000], long[:700], long[-900:], long[1000:1040], "ab" * 9_000, "ba" * 6_000 + "c",
+             "ab" * 40, "abab", "éa", "x" * 16, "x" * 15, "y" * 31, "y" * 32 + "é"]
+    rules = [(i, None if i == 8 else f"T{i}", [w]) for i, w in enumerate(words)]
+    table = spark.createDataFrame(rules, "priority long, topic string, keywords array<string>")
+    texts = [waves, waves + "c", waves[:9_000], long, long[1:], long[:-1], long[150:], long[3000:], "x" * 40, "x" * 15,
+             "x" * 14, "y" * 33, "y" * 32 + "é", "y" * 31, "éa", "é a", "ab" * 41, "", "ba" * 6_000]
+    case = [(t, [w]) for _, t, (w,) in rules]
+
+    def want(text):
+        return next((t or "General" for t, (w,) in case if w in " " + text), "General")
+
+    rows = [article(i % 5, texto=t, titulo="") for i, t in enumerate(texts)]  # keys repeat
+    for room in (0, ar.SMALL_INDEX):
+        got = ar.tag_topics_from_table(make(*rows), table, "General", room=room).select("texto", "topico")
+        assert sorted(got.collect()) == sorted((t, want(t)) for t in texts)
+    parts = ar._with_anchors(spark.createDataFrame([(0, 0, waves.encode())], "n long, size int, bytes binary"), [8192])
+    assert parts.agg(F.sum(F.octet_length("part"))).first()[0] <= 2 * len(waves)
+
+
 def test_dates_and_missing_values(make):
     df = ar.enrich(make(
         article(1), article(2, pub=None), article(3, pub=""), article(4, pub="2026-05-16 08:00:00"),
