@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 from operator import and_
 
 import numpy as np
@@ -59,10 +60,11 @@ def tag_topics(articles: DataFrame, rules: Rules = fixed.TOPIC_RULES,
 SMALL_INDEX = 8 << 20  # bytes of index rows that may be broadcast
 EXACT = 16
 WINDOW_BYTES = 1 << 18  # text whose windows a task holds at a time
-# Anchors of the index are marked in a table of bits, in blocks by the anchor's top bits.
+PART_BYTES = 1 << 24  # parts that a task makes at a time
+# Anchors of the index are marked in a table of bits, in blocks by bits of the anchor.
 BLOCK_BITS = 15
 MARK_BITS = 28  # of a class's table at most, as the power of two
-FLAT_BITS = 24
+FLAT_BITS = 24  # up to here a task holds the table as bytes too
 MARKS_PER_ANCHOR = 24
 BASE = 0x9E3779B97F4A7C15
 PROBES = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
@@ -149,6 +151,12 @@ def _cut(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Array:
         pa.large_binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(bytes_)]).cast(pa.binary())
 
 
+def _bounds(lengths: np.ndarray, room: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that come to about ``room`` bytes."""
+    group = (np.cumsum(lengths) - lengths) // room
+    return pairwise([0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(lengths)])
+
+
 def _merged(of: np.ndarray, anchors: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
     """Parts of one text under one anchor made one where they overlap."""
     order = np.lexsort((first, anchors, of))
@@ -173,10 +181,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], sizes: list[int] | None,
     for batch in batches:
         keys, own, texts = batch.column(0), batch.column(1).to_numpy(), batch.column(2)
         lengths = pc.binary_length(texts).to_numpy().astype(np.int64)
-        ends = np.cumsum(lengths)
-        group = (ends - lengths) // WINDOW_BYTES
-        edges = [0, *(np.flatnonzero(np.diff(group)) + 1), len(texts)]
-        for lo, hi in zip(edges[:-1], edges[1:]):
+        for lo, hi in _bounds(lengths, WINDOW_BYTES):
             data = np.frombuffer(b"".join(texts.slice(lo, hi - lo).to_pylist()), np.uint8)
             starts = np.cumsum(lengths[lo:hi]) - lengths[lo:hi]
             stops = starts + lengths[lo:hi]
@@ -218,13 +223,15 @@ def _anchors(batches: Iterator[pa.RecordBatch], sizes: list[int] | None,
             if not found:
                 continue
             rows, size, anchors, first, last = (np.concatenate(x) for x in zip(*found))
-            hits = pa.table({
-                "row": rows, "size": size, "anchor": anchors.view(np.int64), "part": _cut(data, first, last),
-            }).group_by(["row", "size", "anchor", "part"], use_threads=False).aggregate([]).combine_chunks()
-            for hits in hits.to_batches():
-                yield pa.RecordBatch.from_arrays(
-                    [keys.take(pc.add(hits["row"], lo)), hits["size"], hits["anchor"], hits["part"]],
-                    ["n", "size", "anchor", "part"])
+            for a, b in _bounds(last - first, PART_BYTES):
+                hits = pa.table({
+                    "row": rows[a:b], "size": size[a:b], "anchor": anchors[a:b].view(np.int64),
+                    "part": _cut(data, first[a:b], last[a:b]),
+                }).group_by(["row", "size", "anchor", "part"], use_threads=False).aggregate([])
+                for hit in hits.to_batches():
+                    yield pa.RecordBatch.from_arrays(
+                        [keys.take(pc.add(hit["row"], lo)), hit["size"], hit["anchor"], hit["part"]],
+                        ["n", "size", "anchor", "part"])
 
 
 def _with_anchors(rows: DataFrame, sizes: list[int] | None = None,
